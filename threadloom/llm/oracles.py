@@ -33,7 +33,7 @@ good AS (SELECT lang, text, any_value(symbols) AS symbols, any_value(capitals) A
 labelled AS (SELECT count(DISTINCT lang) AS strata FROM good),
 cuts AS (SELECT unnest({list(CUTOFFS)}) AS cut),
 counts AS ({counts}),
-bound AS (SELECT lang, rule, cut, n, wrong, wrong < n * {risk!r} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r}))) FROM range(wrong + 1) q(i)) <= {LEVEL!r} / (strata * {len(RULES)}) AS sure FROM counts, labelled),
+bound AS (SELECT lang, rule, cut, n, wrong, wrong < n * {risk!r} AND list_sum(list_transform(range(0, (wrong + 1)::BIGINT), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))) <= {LEVEL!r} / (strata * {len(RULES)}) AS sure FROM counts, labelled),
 chosen AS (SELECT lang, rule, cut FROM (SELECT *, bool_and(sure) OVER (PARTITION BY lang, rule ORDER BY cut DESC) AS so_far FROM bound) WHERE so_far)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over.replace('s.lines >', 's.lines_ >')}) AS kept FROM (SELECT * EXCLUDE (lines), {score['lines']} AS lines_ FROM s) s
 """
@@ -47,3 +47,27 @@ def _add(name: str, sql: str) -> None:
 
 
 _add("op1_quality_rules", _quality())
+
+
+def _secrets() -> str:
+    from threadloom.llm.secrets import RULES
+
+    none = "[]::STRUCT(s BIGINT, k INTEGER, e BIGINT)[]"
+    spans = []
+    for k, r in enumerate(RULES):
+        regex = r.regex.replace("'", "''")
+        marked = f"string_split(regexp_replace(t, '({regex})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344))"
+        group = f"length(regexp_extract(m, '^{regex}', {r.group}))" if r.group else "length(m)"
+        spans.append(f"""list_filter(list_transform({marked}, lambda m, i: CASE WHEN i % 2 = 0 AND {group} >= {r.least} THEN {{'s': length(array_to_string(({marked})[1:i - 1], ''))::BIGINT, 'k': {k}, 'e': length(array_to_string(({marked})[1:i], ''))::BIGINT}} END), lambda x: x IS NOT NULL)""")
+    both = " || ".join(f"coalesce({x}, {none})" for x in spans)
+    said = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda x: ([{', '.join(repr(r.kind) for r in RULES)}])[x.k + 1] || ':' || x.s || ':' || x.e), ','), '')"
+    counts = ", ".join(f"len(list_filter(spans, lambda x: x.k = {k}))::BIGINT AS n_{r.kind}" for k, r in enumerate(RULES) if r.base)
+    base = "list_filter(spans, lambda x: x.k < 3)"
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(57344) || chr(57345), chr(65533) || chr(65533)) AS t FROM documents),
+s AS (SELECT doc_id, list_sort({both}) AS spans FROM d)
+SELECT doc_id, {counts}, sha256({said(base)}) AS base_sha256, {said('spans')} AS spans FROM s
+"""
+
+
+_add("op9_secret_scans", _secrets())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import byte_bpe, packing, quality, token_counts
+from threadloom.llm import byte_bpe, packing, quality, secrets, token_counts
 from threadloom.llm.common import table
 from threadloom.llm.oracles import SQL
 
@@ -27,5 +27,9 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_packing, op5_byte_bpe)}
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_packing, op5_byte_bpe, op9_secret_scans)}
 ORACLES: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
