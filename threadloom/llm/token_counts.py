@@ -16,6 +16,7 @@ import json
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,11 @@ from threadloom.llm.common import Memo
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Pre-tokens whose tables are remembered, and pairs of tokens whose validity is.
-PIECES, PAIRS = 400_000, 400_000
+PIECES, PAIRS = 800_000, 400_000
+#: Pairs of ids are kept as one number.
+SHIFT, MASK, NEVER = 20, (1 << 20) - 1, 1 << 40
+#: Where a node of the trie keeps the token that ends there; the other keys are bytes.
+TOKEN = -1
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,49 +51,72 @@ class PrefixCounter:
             said = json.load(f)
         letters = byte_letters()
         as_bytes = lambda x: bytes(letters[c] for c in x)
-        self.vocab = {as_bytes(x) for x in said["model"]["vocab"]}
+        self.id_of = {as_bytes(x): i for i, x in enumerate(said["model"]["vocab"])}
         merges = [m.split(" ") if isinstance(m, str) else m for m in said["model"]["merges"]]
-        self.ranks = {(as_bytes(a), as_bytes(b)): i for i, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, self.vocab))
+        self.rank = {}
+        parents: dict[int, tuple[int, int, int]] = {}
+        for rank, (x, y) in enumerate(merges):
+            left, right = self.id_of[as_bytes(x)], self.id_of[as_bytes(y)]
+            self.rank[left << SHIFT | right] = rank
+            parents.setdefault(self.id_of[as_bytes(x + y)], (left, right, rank))
+        self.trie = {}
+        for token, i in self.id_of.items():
+            node = self.trie
+            for byte in token:
+                node = node.setdefault(byte, {})
+            node[TOKEN] = i
+        self.right_edge = {t: self._edge(parents, t, 1) for t in self.id_of.values()}
+        self.left_edge = {t: self._edge(parents, t, 0) for t in self.id_of.values()}
+        self.alone = {t for t in self.id_of.values() if t not in parents or self._apart(parents[t][0], parents[t][1], parents[t][2])}
         self.pattern = regex.compile(pattern)
         added = sorted((x["content"] for x in said["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.valid = Memo(self._valid, PAIRS)
+        self.valid = Memo(lambda pair: self._apart(pair >> SHIFT, pair & MASK), PAIRS)
         self.totals = Memo(lambda piece: self.prefixes(piece.encode())[-1], piece_limit)
 
-    def plain(self, piece: bytes) -> list[bytes]:
-        """Merge by merge, for the few bytes of a pair."""
-        out = [piece[i : i + 1] for i in range(len(piece))]
-        while len(out) > 1:
-            rank, i = min((self.ranks.get((a, b), 1 << 30), i) for i, (a, b) in enumerate(zip(out, out[1:], strict=False)))
-            if rank == 1 << 30:
-                break
-            pair = out[i], out[i + 1]
-            merged, k = [], 0
-            while k < len(out):
-                if k + 1 < len(out) and (out[k], out[k + 1]) == pair:
-                    merged.append(out[k] + out[k + 1])
-                    k += 2
-                else:
-                    merged.append(out[k])
-                    k += 1
-            out = merged
+    @staticmethod
+    def _edge(parents: dict[int, tuple[int, int, int]], token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens that stand at one end of a token while it is being merged, each with the rank of the merge that takes it."""
+        out = [(token, NEVER)]
+        while token in parents:
+            rank = parents[token][2]
+            token = parents[token][side]
+            out.append((token, rank))
         return out
 
-    def _valid(self, pair: tuple[bytes, bytes]) -> bool:
-        a, b = pair
-        return self.plain(a + b) == [a, b] if a else self.plain(b) == [b]
+    def _apart(self, a: int, b: int, before: int = NEVER) -> bool:
+        """Whether no merge of a rank below `before` joins a's end with b's beginning.
+
+        A pair's rank is above those of both its tokens, so merges happen in the order of ranks. Two tokens at the border are
+        merged if their pair comes before the merge that takes either; of equal ranks the left comes first.
+        """
+        get = self.rank.get
+        for x, taken in self.right_edge[a]:
+            for y, gone in self.left_edge[b]:
+                rank = get(x << SHIFT | y, NEVER)
+                if rank < taken and rank <= gone and rank < before:
+                    return False
+        return True
 
     def prefixes(self, piece: bytes) -> list[int]:
-        """counts[i]: the tokens of the encoding of piece[:i]."""
-        counts, last, vocab, valid, most = [0], [b""], self.vocab, self.valid, self.longest
-        for i in range(1, len(piece) + 1):
-            for k in range(max(0, i - most), i):
-                token = piece[k:i]
-                if token in vocab and valid[last[k], token]:
-                    counts.append(counts[k] + 1)
-                    last.append(token)
+        """counts[i]: the tokens of the encoding of piece[:i].
+
+        From each prefix, every token that begins there is tried as the next; exactly one way into each prefix is valid.
+        """
+        n = len(piece)
+        counts, last = [0] * (n + 1), [0] * (n + 1)
+        trie, valid, alone = self.trie, self.valid, self.alone
+        for k in range(n):
+            more, before, node = counts[k] + 1, last[k] << SHIFT, trie
+            for j in range(k, n):
+                node = node.get(piece[j])
+                if node is None:
                     break
+                if TOKEN in node and not counts[j + 1]:
+                    token = node[TOKEN]
+                    if valid[before | token] if k else token in alone:
+                        counts[j + 1] = more
+                        last[j + 1] = token
         return counts
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -118,6 +146,25 @@ class PrefixCounter:
                 pieces.append(None if special else raw)
         return PrefixTable(self, ends, counts, pieces)
 
+    def total_and_cut(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of the whole text, and bytes of its longest prefix within the budget: total() and table().longest() in one."""
+        if self.added and self.added.search(text):
+            n = self.total(text)
+            return n, self.table(text).longest(budget) if n > budget else len(text.encode())
+        found = self.pattern.findall(text)
+        counts = list(map(self.totals.__getitem__, found))
+        n = sum(counts)
+        if n <= budget:
+            return n, len(text.encode())
+        # only the few pre-tokens about the budget's end are looked into
+        k = next(i for i, total in enumerate(accumulate(counts)) if total > budget)
+        start = max(0, k - 3)
+        before, ends, at = sum(counts[:start]), [len("".join(found[:start]).encode())], [0]
+        for piece, c in zip(found[start : k + 2], counts[start : k + 2], strict=True):
+            ends.append(ends[-1] + len(piece.encode()))
+            at.append(at[-1] + c)
+        return n, PrefixTable(self, ends, at, [b"", *(x.encode() for x in found[start : k + 2])]).longest(budget - before)
+
 
 class PrefixTable:
     """Counts at pre-token boundaries; what is beyond them comes from the pre-tokens' own tables.
@@ -189,21 +236,16 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
             n_bytes, n_tokens, cut = [], [], []
             for x in b.column(1):
                 text = x.as_py() or ""
-                n = c.total(text)
+                n, end = c.total_and_cut(text, limit)
                 n_bytes.append(len(text.encode()))
                 n_tokens.append(n)
-                cut.append(n_bytes[-1] if n <= limit else c.table(text[: _enough(limit, c)]).longest(limit))
+                cut.append(end)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(np.array(n_tokens, np.int64) > limit), pa.array(cut, pa.int64())], ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_bytes"])
 
     kind = taken.schema["doc_id"].dataType.simpleString()
     return taken.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long")
 
 
-def _enough(limit: int, c: PrefixCounter) -> int:
-    """Characters that are sure to hold more than `limit` tokens: no token has more bytes than the longest."""
-    return (limit + 2) * c.longest
-
-
 def token_prefixes(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ends, counts: bytes and tokens before every pre-token boundary of each text."""
     path, pattern = path or tokenizer_path(VOCABULARY), pattern or default_pattern()
