@@ -35,7 +35,7 @@ CAPACITY, END = 4096, 2
 #: Attention costs as much as the layers' linear work at this length.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 GROUP = 1 << 15
-WORDS = 400_000
+WORDS = 1_000_000
 
 
 class WordTokens:
