@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import byte_bpe, packing, quality, secrets, token_counts
+from threadloom.llm import byte_bpe, packing, quality, secrets, token_counts, top_k, url_filter
 from threadloom.llm.common import table
 from threadloom.llm.oracles import SQL
 
@@ -31,5 +31,13 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_packing, op5_byte_bpe, op9_secret_scans)}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_packing, op5_byte_bpe, op8_url_filter, op9_secret_scans, op10_top_k)}
 ORACLES: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
