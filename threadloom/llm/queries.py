@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import byte_bpe, packing, quality, secrets, token_counts, top_k, url_filter
+from threadloom.llm import byte_bpe, packing, quality, secrets, substrings, token_counts, top_k, url_filter
 from threadloom.llm.common import table
 from threadloom.llm.oracles import SQL
 
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_substrings(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_packing, op5_byte_bpe, op8_url_filter, op9_secret_scans, op10_top_k)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_token_counts, op4_packing, op5_byte_bpe, op8_url_filter, op9_secret_scans, op10_top_k)}
 ORACLES: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
