@@ -9,8 +9,8 @@ Documents are dealt into chunks of about CHUNK_BYTES by a hash of id and text; h
 2. The chunks' sketches are merged block by block. Each chunk is told which of its own counters reached 2. A window's
    merged counter is never below its true count, so every repeated window is among those.
 3. Each chunk passes on its windows with such a counter: for windows of equal words only the earliest of the chunk, as the
-   others are repeated for sure. The windows that are passed on are grouped exactly, by 128 bits of hash, and all but the earliest
-   of each group are marked. A window that many documents share so costs one row a chunk.
+   others are repeated for sure. The windows that are passed on are grouped exactly, by 96 bits of hash, block by block, and all
+   but the earliest of each group are marked. A window that many documents share so costs one entry a chunk.
 4. Each chunk removes the words that marked windows cover, in one pass over its texts.
 
 No sketch is broadcast and none passes through the driver; all four steps read one shuffle of the texts, by chunk.
@@ -31,7 +31,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from threadloom.llm.common import Memo, words
 
@@ -43,8 +42,8 @@ BYTES_PER_WORD = 6
 CELL_BITS = 24
 WORDS = 600_000
 LAST_ID = (1 << 63) - 1
-#: Bits of a place beside the window's start, to tell rows of one id apart.
-ROW_BITS = 24
+#: Bits of a window's start; those above number the rows of one id.
+START_BITS = 40
 
 
 @lru_cache(1)
@@ -120,7 +119,8 @@ def unpacked(low: bytes, high: bytes) -> np.ndarray:
 
 
 SKETCH = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType())])
-PLACES = T.StructType([T.StructField(x, T.LongType()) for x in ("chunk", "h1", "h2", "id", "at", "n")])
+#: Windows of one chunk and block, or marks of one chunk (block below 0), as arrays one after the other.
+PLACES = T.StructType([T.StructField("block", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType())])
 
 
 def _rows(rows: list[tuple], schema: T.StructType) -> pa.Table:
@@ -158,8 +158,30 @@ def merge(key: tuple, table: pa.Table) -> pa.Table:
     return _rows(rows, SKETCH)
 
 
+def planes(*arrays: np.ndarray) -> bytes:
+    """Arrays of 8-byte numbers, byte by byte: all lowest bytes first. High bytes are mostly 0 and so compress to nothing."""
+    return b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in arrays)
+
+
+def from_planes(data: bytes, n: int, count: int) -> list[np.ndarray]:
+    each = np.frombuffer(data, np.uint8).reshape(count, 8, n)
+    return [np.ascontiguousarray(x.T).reshape(-1).view(np.int64) for x in each]
+
+
+def numbered(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For each row its id and its number, which is 0 but where texts of one chunk share an id; equal rows share both."""
+    ids, tags = np.array(docs.column("id"), np.int64), np.array(docs.column("tag"), np.int64)
+    order = np.lexsort((tags, ids))
+    i, t = ids[order], tags[order]
+    fresh = np.r_[True, i[1:] != i[:-1]] if len(i) else np.zeros(0, bool)
+    step = np.cumsum(np.r_[True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])]) if len(i) else np.zeros(0, np.int64)
+    nth = np.empty(len(i), np.int64)
+    nth[order] = step - np.maximum.accumulate(np.where(fresh, step, 0))
+    return ids, nth
+
+
 def places(key: tuple, docs: pa.Table, replies: pa.Table, window: int, blocks: int) -> pa.Table:
-    """Step 3: windows to group exactly (n = 0), and runs of n windows that are repeated for sure."""
+    """Step 3: windows to group exactly, block by block, and runs of windows that are repeated for sure."""
     chunk = key[0].as_py()
     if not len(docs) or not len(replies):
         return _rows([], PLACES)
@@ -176,30 +198,48 @@ def places(key: tuple, docs: pa.Table, replies: pa.Table, window: int, blocks: i
         return _rows([], PLACES)
     row = np.repeat(np.arange(len(c.counts)), c.counts)[at]
     start = at - (np.cumsum(c.counts) - c.counts)[row]
-    ids = np.array(docs.column("id"), np.int64)[row]
-    tags = np.array(docs.column("tag"), np.int64)[row]
-    h1, h2 = c.h1[at], c.h2[at]
+    ids, nth = (x[row] for x in numbered(docs))
+    h1, h2 = c.h1[at], c.h2[at] >> np.uint64(32)
     order = np.lexsort((start, ids, h2, h1))
-    h1, h2, ids, start, tags, row = h1[order], h2[order], ids[order], start[order], tags[order], row[order]
-    new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    h1, h2, ids, start, nth, row = h1[order], h2[order], ids[order], start[order], nth[order], row[order]
+    head = heads(h1, h2)
     later = (ids != ids[head]) | (start != start[head])
     ahead = ~later
-    sure = np.lexsort((start[later], row[later]))
-    s_row, s_start, s_id, s_tag = (x[later][sure] for x in (row, start, ids, tags))
-    breaks = np.flatnonzero((np.diff(s_row) != 0) | (np.diff(s_start) != 1)) + 1 if len(sure) else np.zeros(0, np.int64)
-    begins = np.r_[0, breaks] if len(sure) else breaks
-    lengths = np.diff(np.r_[begins, len(sure)])
-    place = lambda s, t: (s.astype(np.int64) << ROW_BITS) | t
-    both = [
-        np.full(int(ahead.sum()) + len(begins), chunk, np.int64),
-        np.r_[h1[ahead].view(np.int64), mixed(s_id[begins].view(np.uint64) + s_start[begins].astype(np.uint64)).view(np.int64)],
-        np.r_[h2[ahead].view(np.int64), np.full(len(begins), -1, np.int64)],
-        np.r_[ids[ahead], s_id[begins]],
-        np.r_[place(start[ahead], tags[ahead]), place(s_start[begins], s_tag[begins])],
-        np.r_[np.zeros(int(ahead.sum()), np.int64), lengths],
-    ]
-    return pa.table([pa.array(x) for x in both], names=PLACES.names)
+    start = start | (nth << START_BITS)
+    block = (cells(h1[ahead], blocks) >> np.uint64(CELL_BITS)).astype(np.int64)  # ascends, as h1 does
+    ends = np.flatnonzero(np.diff(block)) + 1
+    parts = [np.split(x[ahead], ends) for x in (h1.view(np.int64), h2.view(np.int64), ids, start)]
+    rows = [(int(b), chunk, len(p[0]), planes(*p)) for b, *p in zip(block[np.r_[0, ends]], *parts, strict=True)]
+    if later.any():
+        sure = np.lexsort((start[later], row[later]))
+        s_row, s_start, s_id = (x[later][sure] for x in (row, start, ids))
+        begins = np.r_[0, np.flatnonzero((np.diff(s_row) != 0) | (np.diff(s_start) != 1)) + 1]
+        rows.append((-1 - chunk, chunk, len(begins), planes(s_id[begins], s_start[begins], np.diff(np.r_[begins, len(sure)]))))
+    return _rows(rows, PLACES)
+
+
+def heads(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Of sorted windows: where the first of equal ones stands."""
+    new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def resolve(key: tuple, table: pa.Table) -> pa.Table:
+    """Step 3, for a block: marks for all windows but the earliest of each group. Marks pass through."""
+    if key[0].as_py() < 0:
+        return table.select(PLACES.names)
+    chunks, sizes = (np.array(table.column(x), np.int64) for x in ("chunk", "n"))
+    each = [from_planes(d.as_py(), int(n), 4) for d, n in zip(table.column("data"), sizes, strict=True)]
+    h1, h2, ids, start = (np.concatenate(x) for x in zip(*each, strict=True))
+    chunk = np.repeat(chunks, sizes)
+    begin = start & ((1 << START_BITS) - 1)
+    order = np.lexsort((begin, ids, h2, h1))
+    first = order[heads(h1[order], h2[order])]
+    late = order[(ids[order] != ids[first]) | (begin[order] != begin[first])]
+    late = late[np.argsort(chunk[late], kind="stable")]
+    ends = np.flatnonzero(np.diff(chunk[late])) + 1
+    rows = [(-1, int(chunk[k[0]]), len(k), planes(ids[k], start[k], np.ones(len(k), np.int64))) for k in np.split(late, ends) if len(k)]
+    return _rows(rows, PLACES)
 
 
 def covered(n_words: int, starts: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
@@ -214,17 +254,17 @@ def kept_words(docs: pa.Table, marks: pa.Table, window: int):
     """Step 4: for each row of docs, its words and which of them are removed (None: none)."""
     by = {}
     if len(marks):
-        ids, at, n = (np.array(marks.column(x), np.int64) for x in ("id", "at", "n"))
-        order = np.lexsort((at & ((1 << ROW_BITS) - 1), ids))
-        ids, at, n = ids[order], at[order], n[order]
-        tags = at & ((1 << ROW_BITS) - 1)
-        ends = np.flatnonzero((np.diff(ids) != 0) | (np.diff(tags) != 0)) + 1
+        each = [from_planes(d.as_py(), n.as_py(), 3) for d, n in zip(marks.column("data"), marks.column("n"), strict=True)]
+        ids, at, n = (np.concatenate(x) for x in zip(*each, strict=True))
+        order = np.lexsort((at, ids))
+        ids, nth, at, n = ids[order], at[order] >> START_BITS, at[order] & ((1 << START_BITS) - 1), n[order]
+        ends = np.flatnonzero((np.diff(ids) != 0) | (np.diff(nth) != 0)) + 1
         for a, b in zip(np.r_[0, ends], np.r_[ends, len(ids)], strict=True):
-            by[int(ids[a]), int(tags[a])] = a, b
-    for x, i, tag in zip(docs.column("text"), docs.column("id"), docs.column("tag"), strict=True):
+            by[int(ids[a]), int(nth[a])] = a, b
+    for x, i, k in zip(docs.column("text"), *(z.tolist() for z in numbered(docs)), strict=True):
         tokens = words(x.as_py())
-        span = by.get((i.as_py(), tag.as_py()))
-        yield x.as_py(), tokens, None if span is None else covered(len(tokens), at[span[0] : span[1]] >> ROW_BITS, np.maximum(n[span[0] : span[1]], 1), window)
+        span = by.get((i, k))
+        yield x.as_py(), tokens, None if span is None else covered(len(tokens), at[span[0] : span[1]], n[span[0] : span[1]], window)
 
 
 def _joined(tokens: list[bytes], gone: np.ndarray | None) -> bytes:
@@ -239,14 +279,12 @@ def marked(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[Da
     text = F.coalesce(F.col(text_col), F.lit(""))
     dealt = docs.select(
         F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).alias("chunk"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"),
-        F.pmod(F.xxhash64(F.lit(1), text), F.lit(1 << ROW_BITS)).alias("tag"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.col(text_col).isNull().alias("__null")).alias("doc"),
+        F.pmod(F.xxhash64(F.lit(1), text), F.lit(1 << 40)).alias("tag"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.col(text_col).isNull().alias("__null")).alias("doc"),
     )
     sketches = dealt.groupBy("chunk").applyInArrow(lambda k, t: sketch(k, t, window, blocks), SKETCH)
     replies = sketches.groupBy("block").applyInArrow(merge, SKETCH)
     found = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(lambda k, a, b: places(k, a, b, window, blocks), PLACES)
-    place = F.struct(F.col("id"), F.shiftright("at", ROW_BITS).alias("start"))
-    earliest = F.min(place).over(Window.partitionBy("h1", "h2"))
-    marks = found.select("chunk", "id", "at", "n", place.alias("place"), earliest.alias("earliest")).where("n > 0 or place > earliest").select("chunk", "id", "at", "n")
+    marks = found.groupBy("block").applyInArrow(resolve, PLACES).drop("block")
     return dealt, marks
 
 
