@@ -15,6 +15,7 @@ of doc_id, start, CRC. Repeated rows are packed one by one. Null doc_ids stay nu
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,24 +44,57 @@ class WordTokens:
     """Ids of a text as little-endian bytes, word by word.
 
     The vocabulary's normaliser drops white space and no pre-token or added token spans it, so a text's ids are those of its
-    words one after the other. Words that the worker has not seen lately are encoded together, the others are remembered.
+    words one after the other. Words that the worker has not seen lately are split as the vocabulary's pattern splits them, and
+    pre-tokens that are new are encoded together; words and pre-tokens are remembered.
     """
 
     def __init__(self, path: str, limit: int = WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.limit = Tokenizer.from_file(path), {}, limit
+        self.tokenizer, self.known, self.parts, self.limit = Tokenizer.from_file(path), {}, {}, limit
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.split = regex.compile(said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        suffix = said["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(1 + max(self.tokenizer.get_vocab().values()), bool)
+        self.ends[[i for t, i in said["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self.added = "".join({x["content"][0] for x in said["added_tokens"]})
+        # the same model for pre-tokens that are normalised and split already
+        bare = said | {"normalizer": None, "added_tokens": [], "post_processor": None}
+        bare["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *said["pre_tokenizer"]["pretokenizers"][1:]]}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+
+    def _encode(self, text: str, bare: bool = False) -> np.ndarray:
+        return np.array((self.bare if bare else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, tokens: list[bytes]) -> None:
         new = list({t for t in tokens if t not in self.known})
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
+            self.parts.clear()
             new = list(set(tokens))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for t, e in zip(some, self.tokenizer.encode_batch([t.decode() for t in some], add_special_tokens=False), strict=True):
-                self.known[t] = np.array(e.ids, "<u4").tobytes()
+        split = {}
+        for t in new:
+            word = t.decode()
+            if word.isascii() and word.isalpha():
+                split[t] = (word.lower(),)
+            # of letters below U+0100, normalising leaves all but capitals as they are
+            elif max(word) < "\u0100" and not any(map(word.__contains__, self.added)):
+                split[t] = self.split(word.lower())
+            else:
+                self.known[t] = self._encode(word).tobytes()
+        unseen = list({p for ps in split.values() for p in ps if p not in self.parts})
+        if unseen:
+            # one call for many pre-tokens; the last id of each says so
+            ids = self._encode(" ".join(unseen), True)
+            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) == len(unseen):
+                self.parts.update((p, raw[a:b]) for p, a, b in zip(unseen, [0, *cuts], cuts, strict=False))
+            else:
+                self.parts.update((p, self._encode(p).tobytes()) for p in unseen)
+        get = self.parts.__getitem__
+        self.known.update((t, b"".join(map(get, ps))) for t, ps in split.items())
 
     def ids(self, text: str | None) -> bytes:
         tokens = words(text)
