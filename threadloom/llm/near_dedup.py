@@ -283,3 +283,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     null = lambda c: F.when(F.col(c) < LAST_ID, F.col(c))
     return grouped_documents(docs, percent, size, id_col, text_col).select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that a smaller id of their component stands for. Rows that share an id stay or go together."""
+    gone = settled(grouped_documents(docs, percent, size, id_col, text_col).where("id <> component").select("id").distinct(), "near-gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    key = F.coalesce(F.col(f"doc.`{id_col}`").cast("long"), F.lit(LAST_ID))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")).join(gone, key == F.col("id"), "left_anti").select("doc.*")
