@@ -305,19 +305,20 @@ def repeated_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "do
 def remove_repeated(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs without the covered words. A text that loses none stays as it is; the others' kept words are joined by one space, and a length column follows."""
     dealt, marks = marked(docs, window, id_col, text_col)
+    names = docs.columns
 
     def rewrite(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
         texts = [x if gone is None else _joined(tokens, gone).decode("utf-8", "surrogatepass") for x, tokens, gone in kept_words(rows, told, window)]
         doc = rows.column("doc").combine_chunks()
         null = doc.field("__null")
         cols = []
-        for f in docs.schema.fields:
-            if f.name == text_col:
+        for name in names:
+            if name == text_col:
                 cols.append(pa.array([None if n.as_py() else t for t, n in zip(texts, null, strict=True)], pa.string()))
-            elif f.name == length_col:
-                cols.append(pa.array([len(t) for t in texts], doc.field(f.name).type))
+            elif name == length_col:
+                cols.append(pa.array([len(t) for t in texts], doc.field(name).type))
             else:
-                cols.append(doc.field(f.name))
-        return pa.table(cols, names=docs.columns)
+                cols.append(doc.field(name))
+        return pa.table(cols, names=names)
 
     return dealt.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(rewrite, docs.schema)
