@@ -21,12 +21,15 @@ first weights stay. Empty tables give no rows.
 from __future__ import annotations
 
 import math
+import uuid
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -214,6 +217,34 @@ def expectation(counts: DataFrame, pieces: list[str], kinds: list[str], logs: li
     return weights
 
 
+def logs_of_words(counts: DataFrame, pieces: list[str], kinds: list[str], logs: list[float]) -> DataFrame:
+    """word, c, p: log probability of each word by its pieces, or of an end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log = piece_log(Lattice(pieces, kinds, logs))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([log(w) for w in b.column(0).to_pylist()], pa.float64())], ["word", "c", "p"])
+
+    return counts.select("word", "c").mapInArrow(run, "word binary, c long, p double")
+
+
+def piece_log(lattice: Lattice) -> Callable[[bytes], float]:
+    end = lattice.logs[lattice.kinds.index("end")]
+    return lambda w: lattice.log(w) if w else end
+
+
+_HELD: dict[str, tuple] = {}
+
+
+def on_worker(name: str, told: Broadcast) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, Memo]:
+    """What a worker makes of a broadcast model, once for all its tasks: places of frequent words, their two scores, and a memory of other words' logs."""
+    if name not in _HELD:
+        _HELD.clear()
+        words, base, likely, *model = told.value
+        _HELD[name] = {w: i for i, w in enumerate(words)}, base, likely, Memo(piece_log(Lattice(*model)), WORDS)
+    return _HELD[name]
+
+
 def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: int = EM_STEPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs."""
     rest = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % MODULUS
@@ -237,29 +268,26 @@ def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: i
         if held > hot:
             break
         least = k
-    frequent = counts.where(size >= least).toArrow()
+    frequent = logs_of_words(counts.where(size >= least), pieces, kinds, logs).toArrow()
     spark = docs.sparkSession
-    told = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), np.array(frequent.column("c"), np.int64), pieces, kinds, logs))
     floor = math.log10(total["n"] + total["v"] + 1)
+    c = np.array(frequent.column("c"), np.int64)
+    likely = np.log10((c - discount) / all_tokens + left * np.exp(np.array(frequent.column("p"), np.float64)))
+    told = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), np.log10(c + 1.0) - floor, likely, pieces, kinds, logs))
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, c, *model = told.value
-        lattice, index = Lattice(*model), {w: i for i, w in enumerate(words)}
-        end = model[2][model[1].index("end")]
-        base = np.log10(c + 1.0) - floor
-        pieces_log = Memo(lambda w: lattice.log(w) if w else end, WORDS)
-        likely = Memo(lambda w: math.log10((c[index[w]] - discount) / all_tokens + left * math.exp(lattice.log(w) if w else end)), 2 * hot)
+        index, base, likely, rare_log = on_worker(name, told)
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("p", pa.float64())]))]
         for b in batches:
             rows = []
             for x in b.column(2):
                 tokens = lowered(x.as_py())
                 tokens.append(b"")
-                at = np.fromiter((index.get(w, -1) for w in tokens), np.int64, len(tokens))
-                rare = Counter(tokens[i] for i in np.flatnonzero(at < 0))
+                at = np.fromiter(map(index.get, tokens, repeat(-1)), np.int64, len(tokens))
                 known = at[at >= 0]
-                score = math.fsum(likely[words[i]] for i in known.tolist())
-                rows.append((len(tokens), len(known), float(base[known].sum()), score, [{"word": w, "n": k, "p": pieces_log[w]} for w, k in rare.items()]))
+                rare = Counter([tokens[i] for i in np.flatnonzero(at < 0).tolist()]) if len(known) < len(tokens) else {}
+                rows.append((len(tokens), len(known), float(base[known].sum()), float(likely[known].sum()), [{"word": w, "n": k, "p": rare_log[w]} for w, k in rare.items()]))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(v, t) for v, t in zip(cols, kinds, strict=True))], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare"])
 
