@@ -35,12 +35,12 @@ from pyspark.sql import types as T
 from threadloom.llm.common import Memo, words
 
 WINDOW = 20
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 WINDOWS_PER_BLOCK = 1 << 20
 #: About the bytes of a word and its space; only the number of blocks depends on it.
 BYTES_PER_WORD = 6
 CELL_BITS = 24
-WORDS = 600_000
+WORDS = 200_000
 LAST_ID = (1 << 63) - 1
 #: Bits of a window's start; those above number the rows of one id.
 START_BITS = 40
