@@ -122,3 +122,48 @@ def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 9), (7, 8)], "a long, b long")
     assert {r["node"]: r["component"] for r in links.connected_components(e).collect()} == {4: 4, 5: 4, 9: 4, 7: 7, 8: 7}
     assert links.connected_components(e.where(F.lit(False))).count() == 0
+
+
+def test_hulls():
+    from threadloom.functions import hulls
+
+    square, shifted = hulls.hull([(0, 0), (2, 0), (2, 2), (0, 2), (1, 1)]), hulls.hull([(1, 1), (3, 1), (3, 3), (1, 3)])
+    assert len(square) == 4 and hulls.area(square) == 4 and abs(hulls.iou(square, shifted) - 1 / 7) < 1e-12 and hulls.iou(square, square) == 1
+    assert hulls.hull([(0, 0), (1, 1), (2, 2)]) == [] and hulls.iou([], square) == 0 and hulls.iou(square, hulls.hull([(9, 9), (9, 8), (8, 9)])) == 0
+    r = np.random.default_rng(4)
+    grid = np.stack(np.meshgrid(np.linspace(0, 1, 300), np.linspace(0, 1, 300)), -1).reshape(-1, 2)
+    inside = lambda h: np.all([(b[0] - a[0]) * (grid[:, 1] - a[1]) >= (b[1] - a[1]) * (grid[:, 0] - a[0]) for a, b in zip(h, h[1:] + h[:1], strict=True)], axis=0)
+    for _ in range(20):
+        a, b = (hulls.hull([tuple(p) for p in r.random((6, 2))]) for _ in range(2))
+        x, y = inside(a), inside(b)
+        assert abs(hulls.iou(a, b) - (x & y).sum() / (x | y).sum()) < 0.02
+
+
+def test_accumulation():
+    from threadloom.operators.decisions import Fragment, accumulation
+
+    f = [Fragment(k, 10 * k, 10 * k + 9, 50, p1=[0.9, 0.1] if k % 2 == 0 else [0.2, 0.8]) for k in range(6)]
+    for a, b in ((0, 1), (2, 3), (4, 5)):
+        f[a].near.append(f[b])
+        f[b].near.append(f[a])
+    assert {k: v[0] for k, v in accumulation([[f[0], f[1]], [f[2], f[3]], [f[4], f[5]]], 2).items()} == {0: 1, 1: 2, 2: 1, 3: 2, 4: 1, 5: 2}
+    f[3].certainty = 0.0
+    assert set(accumulation([[f[0], f[1]], [f[2], f[3]]], 2)) == {0, 1}
+    assert accumulation([], 2) == {}
+
+
+def test_jumps_are_corrected():
+    from threadloom.operators.decisions import Fragment, corrected_jumps
+
+    a = Fragment(0, 0, 10, 10, p2=[1, 0], identity=1, fixed=True, leave=(0, 0))
+    b = Fragment(1, 10, 20, 10, p2=[0.4, 0.6], identity=1, entry=(90, 0), leave=(90, 0))
+    c = Fragment(2, 20, 30, 10, p2=[1, 0], identity=1, entry=(0, 0), fixed=True)
+    d = Fragment(3, 0, 9, 9, p2=[0, 1], identity=2, leave=(90, 1), fixed=True)
+    corrected_jumps([a, b, c, d], 0, 5.0, 2)
+    assert [x.identity for x in (a, b, c, d)] == [1, 2, 1, 2]
+
+
+def test_image_sizes():
+    from threadloom.operators.blobs import image_size
+
+    assert image_size(50) == (36, 1.0) and image_size(200) == (80, 0.56) and image_size(100, 0.5) == (36, 0.5)

@@ -85,3 +85,12 @@ def bijection_faults(rows: DataFrame, column: str) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col(column).isNull(), F.col("_n"))), F.lit(0)).alias("nulls"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeated"),
         F.count_if((F.col(column) < 0) | (F.col(column) >= F.col("_rows"))).alias("outside"),
     )
+
+
+def episode_faults(eps: DataFrame, n_frames: int) -> DataFrame:
+    """One row: frames of [0, n_frames) in no episode, frames in several, and neighbours that do not touch. All 0 for a tiling."""
+    w = Window.orderBy("start_frame")
+    touch = eps.select((F.col("start_frame") != F.lag("end_frame").over(w)).alias("_apart")).agg(F.count_if("_apart").alias("gaps"))
+    per = eps.select(F.explode(F.sequence("start_frame", F.col("end_frame") - 1)).alias("frame")).groupBy("frame").agg(F.count("*").alias("_n"))
+    inside = per.where((F.col("frame") >= 0) & (F.col("frame") < n_frames))
+    return inside.agg((F.lit(n_frames) - F.count("*")).alias("uncovered"), F.count_if(F.col("_n") > 1).alias("covered_twice")).crossJoin(F.broadcast(touch))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import geometry as geo
-from threadloom.operators import assignment, clusters, collisions, frames, identities, intervals, links, runs, sampling, votes
+from threadloom.functions import hulls
+from threadloom.operators import assignment, blobs, clusters, collisions, decisions, frames, identities, intervals, links, runs, sampling, votes
 from threadloom.sources import fixtures as fx
 from threadloom.sources import trajectories as io
 
@@ -514,3 +515,94 @@ def score_assignment(spark, d):
 @query()
 def slot_assignment(spark, d):
     return identities.first_free_slots(fx.fragments(spark, d))
+
+
+def blobs_of(spark: SparkSession, d: str) -> DataFrame:
+    return fx.detections(spark, d).select("frame", F.col("event_id").alias("blob_id"), F.col("cx").alias("area"), F.sqrt(F.col("cx") * F.col("cx") + F.col("cy") * F.col("cy")).alias("extension"))
+
+
+FULL = """+ b AS (SELECT frame, event_id AS blob_id, cx AS area, sqrt(cx * cx + cy * cy) AS extension, count(*) OVER (PARTITION BY frame) AS n FROM detections),
+full_ AS (SELECT * FROM b WHERE n = 14 OR NOT EXISTS (SELECT 1 FROM b WHERE n = 14))"""
+
+
+@query(FULL + " SELECT blob_id, n = 14 OR area - (SELECT median(area) FROM full_) < 1.5 * (SELECT stddev_pop(area) FROM full_) AS seems_individual FROM b", ("detections",))
+def area_heuristic(spark, d):
+    return blobs.individual_flags(blobs_of(spark, d), 14, 1.5).select("blob_id", "seems_individual")
+
+
+@query(FULL + " SELECT round(median(extension), 6) AS body_length FROM full_", ("detections",))
+def body_length(spark, d):
+    return blobs.body_length(blobs_of(spark, d), 14).select(*six("body_length"))
+
+
+@query("""SELECT s.node AS source, s.next AS target FROM links s JOIN events a ON a.event_id = s.node JOIN events b ON b.event_id = s.next WHERE floor(a.value) % 2 = floor(b.value) % 2""", ("links",))
+def fragment_links(spark, d):
+    edges = fx.links(spark, d).where("next is not null").select(F.col("node").alias("source"), F.col("next").alias("target"))
+    rows = fx.table(spark, d, "events").select(F.col("event_id").alias("blob_id"), (F.floor("value") % 2).alias("class_id"))
+    return blobs.one_to_one(blobs.link_degrees(rows, edges), edges)
+
+
+@query("SELECT count(*) FILTER (n > 15) AS crowded_frames, sum(good)::BIGINT AS usable_instances FROM (SELECT frame, count(*) AS n, count(*) FILTER (event_id % 4 > 0) AS good FROM detections GROUP BY frame)", ("detections",))
+def preflight(spark, d):
+    node = lambda there: F.struct(F.when(there, F.col("cx")).alias("x"), F.col("cy").alias("y"))
+    poses = fx.detections(spark, d).select("frame", F.array(node(F.lit(True)), node(F.lit(True)), node(F.col("event_id") % 4 > 0)).alias("pose"))
+    return blobs.preflight(poses, 15)
+
+
+@query("SELECT frame, identity FROM (SELECT DISTINCT frame FROM tracks), (SELECT unnest(range(1, 6)) AS identity) EXCEPT SELECT frame, individual + 1 FROM tracks", TRACKED)
+def missing_identities(spark, d):
+    return blobs.missing_identities(tracks(spark, d).select("frame", (F.col("individual") + 1).alias("identity")), [1, 2, 3, 4, 5])
+
+
+@query("SELECT frame, instance_idx FROM detections WHERE event_id NOT IN (SELECT event_id FROM resolved WHERE outcome = 'kept')", ("detections", "resolved"))
+def instances_without_track(spark, d):
+    return blobs.instances_without_row(fx.detections(spark, d).select("frame", "instance_idx"), resolved(spark, d).where("outcome = 'kept'"))
+
+
+@query("""+ c AS (SELECT DISTINCT frame, 3 AS identity, CASE WHEN frame % 2 = 0 THEN -1 ELSE 9 END AS new_identity FROM detections WHERE frame % 5 = 0),
+h AS (SELECT d.frame, new_identity, first(instance_idx ORDER BY sqrt(pow(cx - 250, 2) + pow(cy - 500, 2)), instance_idx) AS instance_idx FROM detections d JOIN c ON c.frame = d.frame AND c.identity = d.identity GROUP BY ALL)
+SELECT event_id, identity FROM (SELECT event_id, coalesce(new_identity, identity) AS identity FROM detections d LEFT JOIN h ON h.frame = d.frame AND h.instance_idx = d.instance_idx) WHERE identity <> -1""", ("detections",))
+def manual_corrections(spark, d):
+    det = fx.detections(spark, d)
+    new = F.when(F.col("frame") % 2 == 0, -1).otherwise(9).cast("long")
+    c = det.where("frame % 5 = 0").select("frame").distinct().select("frame", F.lit(3).cast("long").alias("identity"), new.alias("new_identity"), F.lit(250.0).alias("x"), F.lit(500.0).alias("y"))
+    return blobs.corrected(det, c).select("event_id", "identity")
+
+
+@query("SELECT round(avg(sqrt(pow(l_quantity - l_partkey % 50, 2) + pow(l_discount * 100 - l_suppkey % 10, 2)) / l_linenumber), 6) AS length_unit FROM lineitem")
+def length_unit(spark, d):
+    c = fx.table(spark, d, "lineitem").select(F.col("l_quantity").alias("x1"), (F.col("l_discount") * 100).alias("y1"), (F.col("l_partkey") % 50).alias("x2"), (F.col("l_suppkey") % 10).alias("y2"), F.col("l_linenumber").cast("double").alias("length"))
+    return blobs.length_unit(c).select(*six("length_unit"))
+
+
+@query("SELECT 0::BIGINT AS uncovered, 0::BIGINT AS covered_twice, 0::BIGINT AS gaps")
+def episode_invariants(spark, d):
+    return frames.episode_faults(frames.episodes(spark, 720, 100), 720)
+
+
+@query(CENTRES + """, near AS (SELECT vec_id, label, nearest FROM (SELECT v.vec_id, v.label, c.label AS nearest, row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(list_zip(v, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.label) AS r FROM vectors v, centres c) WHERE r = 1)
+SELECT label, label AS matched, round(count(*) FILTER (nearest = label) / count(*), 6) AS share FROM near GROUP BY label""", ("vectors",))
+def cluster_matching(spark, d):
+    v = fx.embeddings(spark, d)
+    return assignment.matched(clusters.confusion(clusters.nearest_centres(v, clusters.label_centres(v)), "label", "nearest", 10), 10)
+
+
+@query()
+def hull_overlaps(spark, d):
+    at = lambda c, *by: F.array(*(F.col(c) + x for x in by))
+    iou = hulls.hull_iou(at("cx", 0, 40, 40, 0, 20), at("cy", 0, 0, 20, 20, 10), at("cx", 10, 60, 35), at("cy", 5, 5, 30))
+    return fx.detections(spark, d).select("event_id", F.round(iou, 6).alias("iou"))
+
+
+@query()
+def jump_correction(spark, d):
+    f = fx.fragments(spark, d)
+    probs = p2(spark, d).groupBy("fragment_id").agg(F.sum("n_images").alias("n_images"), F.transform(F.array_sort(F.collect_list(F.struct("identity", "p1"))), lambda s: s["p1"]).alias("p1"), F.transform(F.array_sort(F.collect_list(F.struct("identity", "p2"))), lambda s: s["p2"]).alias("p2"))
+    at = lambda m: ((F.col("fragment_id") * m) % 997).cast("double")
+    rows = f.join(probs, "fragment_id").select(
+        "video_id", "fragment_id", "start_frame", "end_frame", "n_images", "p1", "p2", F.lit(1.0).alias("certainty"), (F.array_position("p2", F.array_max("p2"))).cast("long").alias("identity"), (F.array_max("p2") > 0.9).alias("fixed"),
+        at(7).alias("x1"), at(11).alias("y1"), at(13).alias("x2"), at(17).alias("y2"),
+    )
+    known = rows.select((F.col("fragment_id") + 0).alias("_f"))
+    e = pairs(spark, d).join(known, F.col("frag_a") == F.col("_f"), "left_semi").join(known.select(F.col("_f").alias("_g")), F.col("frag_b") == F.col("_g"), "left_semi")
+    return decisions.correct_jumps(rows, e.select((F.col("video_id") + 0).alias("video_id"), "frag_a", "frag_b"), 200.0, 7)
