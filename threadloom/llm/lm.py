@@ -120,26 +120,44 @@ class Lattice:
     def expect(self, token: bytes, count: float, out: array) -> None:
         """Adds the expected number of each piece in `count` occurrences of a word."""
         word = "▁" + token.decode("utf-8", "surrogatepass")
-        arcs, n = self.arcs(word), len(word)
+        n = len(word)
         if len(token) <= SHORT:
-            probs = self.probs
-            weights = [probs[p] if p >= 0 else math.prod(probs[b] for b in self._bytes(word[i])) for i, _, p in arcs]
-            f, b = [0.0] * (n + 1), [0.0] * (n + 1)
+            probs, trie = self.probs, self.trie
+            f, b, trail = [0.0] * (n + 1), [0.0] * (n + 1), []
             f[0] = b[n] = 1.0
-            for (i, j, _), w in zip(arcs, weights, strict=True):
-                f[j] += f[i] * w
+            for i, start in enumerate(word):
+                if not (here := f[i]):
+                    continue
+                node = trie.get(start)
+                if node is None or PIECE not in node:
+                    w = math.prod(probs[k] for k in self._bytes(start))
+                    f[i + 1] += here * w
+                    trail.append((i, i + 1, -1, w))
+                j = i
+                while node is not None:
+                    j += 1
+                    piece = node.get(PIECE)
+                    if piece is not None:
+                        w = probs[piece]
+                        f[j] += here * w
+                        trail.append((i, j, piece, w))
+                    if j == n:
+                        break
+                    node = node.get(word[j])
             if f[n] > 1e-250:
-                for (i, j, _), w in zip(reversed(arcs), reversed(weights), strict=True):
-                    b[i] += b[j] * w
                 scale = count / f[n]
-                for (i, j, p), w in zip(arcs, weights, strict=True):
-                    x = f[i] * w * b[j] * scale
-                    if p >= 0:
-                        out[p] += x
+                for i, j, piece, w in reversed(trail):
+                    w *= b[j]
+                    if not w:
+                        continue
+                    b[i] += w
+                    if piece >= 0:
+                        out[piece] += f[i] * w * scale
                     else:
                         for k in self._bytes(word[i]):
-                            out[k] += x
+                            out[k] += f[i] * w * scale
                 return
+        arcs = self.arcs(word)
         logs = [self.logs[p] if p >= 0 else sum(self.logs[k] for k in self._bytes(word[i])) for i, _, p in arcs]
         a, z = np.full(n + 1, -math.inf), np.full(n + 1, -math.inf)
         a[0] = z[n] = 0.0
