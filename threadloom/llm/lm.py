@@ -286,7 +286,8 @@ def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: i
         if held > hot:
             break
         least = k
-    frequent = logs_of_words(counts.where(size >= least), pieces, kinds, logs).toArrow()
+    counts = settled(logs_of_words(counts, pieces, kinds, logs), "lm-words")
+    frequent = counts.where(size >= least).toArrow()
     spark = docs.sparkSession
     floor = math.log10(total["n"] + total["v"] + 1)
     c = np.array(frequent.column("c"), np.int64)
@@ -296,16 +297,19 @@ def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, base, likely, rare_log = on_worker(name, told)
+        nothing = lambda w: None
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("p", pa.float64())]))]
         for b in batches:
             rows = []
-            for x in b.column(2):
+            for x, new in zip(b.column(2), b.column(1).to_pylist(), strict=True):
                 tokens = lowered(x.as_py())
                 tokens.append(b"")
                 at = np.fromiter(map(index.get, tokens, repeat(-1)), np.int64, len(tokens))
                 known = at[at >= 0]
                 rare = Counter([tokens[i] for i in np.flatnonzero(at < 0).tolist()]) if len(known) < len(tokens) else {}
-                rows.append((len(tokens), len(known), float(base[known].sum()), float(likely[known].sum()), [{"word": w, "n": k, "p": rare_log[w]} for w, k in rare.items()]))
+                # words of training documents are all in the table
+                p = rare_log.__getitem__ if new else nothing
+                rows.append((len(tokens), len(known), float(base[known].sum()), float(likely[known].sum()), [{"word": w, "n": k, "p": p(w)} for w, k in rare.items()]))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(v, t) for v, t in zip(cols, kinds, strict=True))], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare"])
 
@@ -313,7 +317,7 @@ def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: i
     scored = taken.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long,p:double>>")
     scored = settled(scored, "lm-scored")
     told.unpersist()
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts, "word", "left")
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n", F.col("r.p").alias("own")).join(counts, "word", "left").withColumn("p", F.coalesce("own", "p"))
     ten = math.log(10)
     whole = F.when(F.col("c").isNull(), math.log10(left) + F.col("p") / ten).otherwise(F.log10((F.col("c") - discount) / all_tokens + left * F.exp("p")))
     sums = rare.groupBy("row").agg(
