@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Memo
+from threadloom.llm.common import Memo, long_texts
 from threadloom.llm.token_counts import default_pattern, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -103,6 +103,7 @@ def byte_bpe(path: str, pattern: str, chunk: int, overlap: int) -> ByteBpe:
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, ids: the ids of every whole text."""
     path, pattern = path or tokenizer_path(VOCABULARY), pattern or default_pattern()
+    long_texts(docs.sparkSession)
     taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,6 +129,7 @@ def decoded(ids: DataFrame, path: str | None = None, pattern: str | None = None)
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, so ids of a whole corpus need not be kept."""
     path, pattern = path or tokenizer_path(VOCABULARY), pattern or default_pattern()
+    long_texts(docs.sparkSession)
     taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
 LOCAL_SHARED_DIR = "/tmp/checkpoints/threadloom"
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,19 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def long_texts(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that pass between executors and their Python workers by bytes: ten thousand texts in one could be a GB.
+
+    This sets the session's spark.sql.execution.arrow.maxBytesPerBatch and maxRecordsPerBatch, to lower values only.
+    """
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        now = int(now) if re.fullmatch(r"-?\d+", now) else most + 1
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 class Memo(dict):
     """A function's results by argument, forgotten all at once when there are `limit` of them."""
 

@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Memo, settled
+from threadloom.llm.common import Memo, long_texts, settled
 from threadloom.llm.token_counts import tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -265,6 +265,7 @@ def on_worker(name: str, told: Broadcast) -> tuple[dict[bytes, int], np.ndarray,
 
 def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: int = EM_STEPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs."""
+    long_texts(docs.sparkSession)
     rest = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % MODULUS
     taken = docs.select(F.col(id_col).alias("doc_id"), (rest == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
     counts = settled(counted(taken.where("not held_out")).where("c > 0"), "lm-counts")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import settled
+from threadloom.llm.common import long_texts, settled
 from threadloom.llm.substrings import BASES, LAST_ID, hashes, mixed, rolled
 
 SHINGLE, PERCENT = 4, 80
@@ -237,6 +237,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def grouped_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n, component (null: LAST_ID's): a row for each row of docs."""
+    long_texts(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
     rows = settled(texts.mapInArrow(lambda b: _signed(b, size), "id long, n long, a long, b long, sig binary"), "near-signatures")
     classes = settled(rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("first"), F.any_value("sig").alias("sig")).withColumn("c", F.monotonically_increasing_id()), "near-classes")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import parts, settled, words
+from threadloom.llm.common import long_texts, parts, settled, words
 from threadloom.llm.token_counts import tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -112,6 +112,7 @@ def word_tokens(path: str) -> WordTokens:
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document, cut after every `capacity` ids."""
+    long_texts(docs.sparkSession)
     taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     last = np.array([end], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]

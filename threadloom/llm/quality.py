@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import settled, words
+from threadloom.llm.common import long_texts, settled
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -106,6 +106,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_features(docs: DataFrame, text: str, keep: dict[str, F.Column]) -> DataFrame:
     """The columns of `keep`, and the struct `found`. Whole texts; one Arrow pass, no shuffle."""
+    long_texts(docs.sparkSession)
     taken = docs.select(*(c.alias(k) for k, c in keep.items()), F.col(text).alias("found"))
     return taken.mapInArrow(_features, T.StructType([*taken.schema.fields[:-1], T.StructField("found", SCHEMA)]))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import Memo, words
+from threadloom.llm.common import Memo, long_texts, words
 
 WINDOW = 20
 CHUNK_BYTES = 8 << 20
@@ -273,6 +273,7 @@ def _joined(tokens: list[bytes], gone: np.ndarray | None) -> bytes:
 
 def marked(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """docs by chunk, and the marks of each chunk."""
+    long_texts(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
     blocks = max(1, -(-size // (BYTES_PER_WORD * WINDOWS_PER_BLOCK)))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Memo
+from threadloom.llm.common import Memo, long_texts
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -228,6 +228,7 @@ def default_pattern() -> str:
 def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, limit_bytes (the longest prefix within the limit): a row for each row of docs. No shuffle."""
     path, pattern = path or tokenizer_path(VOCABULARY), pattern or default_pattern()
+    long_texts(docs.sparkSession)
     taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +250,7 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
 def token_prefixes(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ends, counts: bytes and tokens before every pre-token boundary of each text."""
     path, pattern = path or tokenizer_path(VOCABULARY), pattern or default_pattern()
+    long_texts(docs.sparkSession)
     taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
