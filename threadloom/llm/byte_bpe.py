@@ -17,7 +17,6 @@ import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Memo, long_texts
+from threadloom.llm.common import Memo, kept, long_texts
 from threadloom.llm.token_counts import default_pattern, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -95,9 +94,8 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(2)
 def byte_bpe(path: str, pattern: str, chunk: int, overlap: int) -> ByteBpe:
-    return ByteBpe(path, pattern, chunk, overlap)
+    return kept(("bytes", path, pattern, chunk, overlap), lambda: ByteBpe(path, pattern, chunk, overlap))
 
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

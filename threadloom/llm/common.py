@@ -62,6 +62,17 @@ class Memo(dict):
         return out
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What a Python worker keeps for its next tasks, made once. Only the last operator's is kept: a worker outlives an operator, and memories would add up."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def words(text: str | None) -> list[bytes]:
     r"""The matches of [^\x20\x09-\x0D]+ in a text, as UTF-8; bytes.split() splits at just these six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

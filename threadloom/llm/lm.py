@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Memo, long_texts, settled
+from threadloom.llm.common import Memo, kept, long_texts, settled
 from threadloom.llm.token_counts import tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -251,16 +251,14 @@ def piece_log(lattice: Lattice) -> Callable[[bytes], float]:
     return lambda w: lattice.log(w) if w else end
 
 
-_HELD: dict[str, tuple] = {}
-
-
 def on_worker(name: str, told: Broadcast) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, Memo]:
     """What a worker makes of a broadcast model, once for all its tasks: places of frequent words, their two scores, and a memory of other words' logs."""
-    if name not in _HELD:
-        _HELD.clear()
+
+    def make() -> tuple:
         words, base, likely, *model = told.value
-        _HELD[name] = {w: i for i, w in enumerate(words)}, base, likely, Memo(piece_log(Lattice(*model)), WORDS)
-    return _HELD[name]
+        return {w: i for i, w in enumerate(words)}, base, likely, Memo(piece_log(Lattice(*model)), WORDS)
+
+    return kept(("lm", name), make)
 
 
 def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: int = EM_STEPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,7 +19,6 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import long_texts, parts, settled, words
+from threadloom.llm.common import kept, long_texts, parts, settled, words
 from threadloom.llm.token_counts import tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -37,7 +36,8 @@ CAPACITY, END = 4096, 2
 #: Attention costs as much as the layers' linear work at this length.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 GROUP = 1 << 15
-WORDS = 1_000_000
+#: Words that a worker remembers, and pre-tokens for those that it doesn't.
+WORDS, PARTS = 1_000_000, 200_000
 
 
 class WordTokens:
@@ -84,6 +84,8 @@ class WordTokens:
                 split[t] = self.split(word.lower())
             else:
                 self.known[t] = self._encode(word).tobytes()
+        if len(self.parts) > PARTS:
+            self.parts.clear()
         unseen = list({p for ps in split.values() for p in ps if p not in self.parts})
         if unseen:
             # one call for many pre-tokens; the last id of each says so
@@ -105,9 +107,8 @@ class WordTokens:
             return b"".join(map(self.known.__getitem__, tokens))
 
 
-@lru_cache(2)
 def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+    return kept(("words", path), lambda: WordTokens(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,6 @@ all words. Empty tables give no rows. Columns of any name stay as they are.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import Memo, long_texts, words
+from threadloom.llm.common import Memo, kept, long_texts, words
 
 WINDOW = 20
 CHUNK_BYTES = 8 << 20
@@ -46,9 +45,8 @@ LAST_ID = (1 << 63) - 1
 START_BITS = 40
 
 
-@lru_cache(1)
 def word_hash() -> Memo:
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w) - (1 << 63), WORDS)
+    return kept(("hashes",), lambda: Memo(lambda w: xxhash.xxh3_64_intdigest(w) - (1 << 63), WORDS))
 
 
 def hashes(tokens: list[bytes]) -> np.ndarray:

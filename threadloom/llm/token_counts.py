@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Memo, long_texts
+from threadloom.llm.common import Memo, kept, long_texts
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
@@ -207,10 +206,9 @@ class PrefixTable:
         return self.ends[k]
 
 
-@lru_cache(4)
 def counter(path: str, pattern: str) -> PrefixCounter:
     """One for each Python worker."""
-    return PrefixCounter(path, pattern)
+    return kept(("counts", path, pattern), lambda: PrefixCounter(path, pattern))
 
 
 def tokenizer_path(name: str) -> str:
