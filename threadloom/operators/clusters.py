@@ -1,14 +1,18 @@
-"""Embeddings and their clusters. There are few clusters, so a row meets their centres as one broadcast array; no two rows meet."""
+"""Embeddings and their clusters. There are few clusters, so a row meets their centres as one broadcast array; only mean distances make rows meet, block by block."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Centres are broadcast up to this number.
 MOST_CENTRES = 4096
+#: Rows in a block whose distances to another block's are found together, and rows of it at a time.
+BLOCK, STRIP = 4096, 256
 
 
 def squared(a: Column, b: Column) -> Column:
@@ -39,8 +43,54 @@ def lloyd(vectors: DataFrame, centres: DataFrame, steps: int) -> DataFrame:
     return centres
 
 
+def distance_sums(a: np.ndarray, b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each row of a, the sums of its Euclidean distances to the runs of b's rows that begin at starts."""
+    out = np.empty((len(a), len(starts)))
+    for at in range(0, len(a), STRIP):
+        strip = a[at : at + STRIP]
+        d = np.zeros((len(strip), len(b)))
+        for k in range(a.shape[1]):
+            d += (strip[:, k, None] - b[None, :, k]) ** 2
+        out[at : at + STRIP] = np.add.reduceat(np.sqrt(d), starts, axis=1)
+    return out
+
+
+def mean_distances(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """vec_id, label, cluster, n (the cluster's rows), mean: each row's exact mean Euclidean distance to each cluster, without itself in its own; 0 where it is alone.
+
+    Every block of rows meets every block, and passes on a sum for each row and cluster. vec_id is a key, and vectors have one length.
+    """
+    blocks = max(1, -(-vectors.count() // block))
+    dealt = vectors.select("vec_id", "label", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("_block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = dealt.withColumnRenamed("_block", "_a").withColumn("_b", every)
+    others = dealt.select("label", "v", F.col("_block").alias("_b"), every.alias("_a"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"vec_id": [], "label": [], "cluster": [], "n": [], "total": []})
+        b = b.sort_values("label", kind="stable")
+        found, starts, n = np.unique(b["label"].to_numpy(), return_index=True, return_counts=True)
+        total = distance_sums(np.array(a["v"].tolist(), float), np.array(b["v"].tolist(), float), starts)
+        k = len(found)
+        return pd.DataFrame({"vec_id": np.repeat(a["vec_id"].to_numpy(), k), "label": np.repeat(a["label"].to_numpy(), k), "cluster": np.tile(found, len(a)), "n": np.tile(n, len(a)), "total": total.ravel()})
+
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    sums = rows.groupBy("_a", "_b").cogroup(others.groupBy("_a", "_b")).applyInPandas(run, f"vec_id {kind}, label long, cluster long, n long, total double")
+    sums = sums.groupBy("vec_id", "label", "cluster").agg(F.sum("n").alias("n"), F.sum("total").alias("_total"))
+    return sums.select("vec_id", "label", "cluster", "n", (F.col("_total") / F.greatest(F.col("n") - (F.col("cluster") == F.col("label")).cast("int"), F.lit(1))).alias("mean"))
+
+
+def euclidean_silhouettes(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """vec_id, label, own, other, silhouette: of Euclidean distances. Rows alone in their cluster, or without another cluster, have silhouette 0."""
+    mine = F.col("cluster") == F.col("label")
+    rows = mean_distances(vectors, block).groupBy("vec_id", "label").agg(F.max(F.when(mine & (F.col("n") > 1), F.col("mean"))).alias("own"), F.min(F.when(~mine, F.col("mean"))).alias("other"))
+    score = F.when(F.col("own").isNotNull() & F.col("other").isNotNull(), F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")))
+    return rows.select("vec_id", "label", "own", "other", F.coalesce(score, F.lit(0.0)).alias("silhouette"))
+
+
 def silhouettes(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, own, other, silhouette: of squared Euclidean distances, exact, from sums per cluster.
+    """vec_id, label, own, other, silhouette: of squared Euclidean distances, exact, from sums per cluster. euclidean_silhouettes takes the distances themselves.
 
     The mean squared distance to a cluster of m rows is |v|^2 - 2 v.mean + mean of |u|^2, so clusters' sums replace the distances to all rows.
     Rows alone in their cluster have silhouette 0.

@@ -397,6 +397,13 @@ def silhouettes(spark, d):
     return clusters.silhouettes(fx.embeddings(spark, d)).select("vec_id", "label", F.round("silhouette", 5).alias("silhouette"))
 
 
+@query("""+ d AS (SELECT a.vec_id, a.label, b.label AS other, sum(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS s, count(*) AS n FROM vectors a, vectors b GROUP BY ALL),
+o AS (SELECT vec_id, label, max(CASE WHEN other = label AND n > 1 THEN s / (n - 1) END) AS own, min(CASE WHEN other <> label THEN s / n END) AS other FROM d GROUP BY ALL)
+SELECT vec_id, label, round(CASE WHEN own IS NULL OR other IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END, 5) AS silhouette FROM o""", ("vectors",))
+def euclidean_silhouettes(spark, d):
+    return clusters.euclidean_silhouettes(fx.embeddings(spark, d)).select("vec_id", "label", F.round("silhouette", 5).alias("silhouette"))
+
+
 @query(NEAREST + """, w AS (SELECT vec_id, nearest AS label, pow(1 / (d + 0.01), 7) AS w FROM far)
 SELECT vec_id, label, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS weight FROM w""", ("vectors",))
 def inverse_distance_weights(spark, d):
