@@ -1,9 +1,12 @@
 """What the reference computes, against brute force written out in the tests."""
 
+import itertools
+import math
+
 import numpy as np
 import pytest
 
-from threadloom.operators import clusters
+from threadloom.operators import assignment, clusters, links
 
 LABELS = [0, 0, 0, 1, 1, 1, 1, 2, 3, 3]
 
@@ -26,3 +29,33 @@ def test_silhouettes_are_of_euclidean_distances(spark, block):
     squared = {r["vec_id"]: r["silhouette"] for r in clusters.silhouettes(df).collect()}
     assert max(abs(squared[k] - want[k]) for k in want) > 0.01
     assert {r["silhouette"] for r in clusters.euclidean_silhouettes(df.where("label = 0"), block).collect()} == {0.0}
+
+
+def test_swap_margins_are_of_the_optimal_assignment(spark):
+    r, pairs, sizes, want = np.random.default_rng(8), [], [], {}
+    for f in range(40):
+        n, m = (int(x) for x in r.integers(1, 6, 2))
+        s = np.round(r.random((n, m)), 6) * (r.random((n, m)) < 0.7)
+        sizes.append((f, n, m))
+        pairs += [(f, i, j, float(s[i, j])) for i in range(n) for j in range(m) if s[i, j] > 0]
+        k = max(n, m)
+        wide = np.zeros((k, k))
+        wide[:n, :m] = s
+        costs = np.ones((k, k))
+        costs[:n, :m] = 1 - s
+        partner = assignment.solve(costs)
+        assert sum(wide[i, j] for i, j in enumerate(partner)) == pytest.approx(max(sum(wide[i, p[i]] for i in range(k)) for p in itertools.permutations(range(k))))
+        paired = [i for i in range(n) if partner[i] < m]
+        for i in range(n):
+            swaps = [s[i, partner[i]] + s[o, partner[o]] - s[i, partner[o]] - s[o, partner[i]] for o in paired if o != i] if i in paired else []
+            want[f, i] = min(swaps, default=math.inf)
+    similar = spark.createDataFrame(pairs, "frame long, i long, j long, similarity double")
+    assigned = assignment.ambiguous_links(similar, spark.createDataFrame(sizes, "frame long, n long, m long"), 0.1)
+    margins = links.assigned_swap_margins(similar, assigned)
+    got = {(x["frame"], x["i"]): x["margin"] for x in margins.collect()}
+    assert got == pytest.approx(want, abs=1e-9) and math.inf in got.values()
+    shared = {(x["frame"], x["i"]): x["margin"] for x in links.two_swap_margins(similar, links.best_matches(similar)).collect()}
+    assert shared != pytest.approx(want, abs=1e-9)
+    swept = {x["threshold"]: (x["n"], x["percent"]) for x in links.margin_sweep(margins, [0.1, 0.5]).collect()}
+    counts = {t: sum(v <= t for v in want.values()) for t in (0.1, 0.5)}
+    assert swept == {t: (c, pytest.approx(100 * c / len(want))) for t, c in counts.items()}

@@ -47,6 +47,15 @@ def two_swap_margins(similar: DataFrame, matched: DataFrame) -> DataFrame:
     return swapped.groupBy("frame", "i").agg(F.min(F.col("now") - F.coalesce("_s1", F.lit(0.0)) - F.coalesce("_s2", F.lit(0.0))).alias("margin"))
 
 
+def assigned_swap_margins(similar: DataFrame, assigned: DataFrame) -> DataFrame:
+    """frame, i, margin: two_swap_margins of an optimal one-to-one assignment, a row for each of its rows. assigned: assignment.ambiguous_links.
+
+    Rows exchange partners among those that have one; a row without a partner, or with no other row to exchange with, has an infinite margin.
+    """
+    rows = settled(assigned.where("side = 'row'").select("frame", F.col("instance_idx").alias("i"), F.col("partner").alias("j")), "assigned")
+    return rows.select("frame", "i").join(two_swap_margins(similar, rows.where("j is not null")), ["frame", "i"], "left").select("frame", "i", F.coalesce("margin", F.lit(float("inf"))).alias("margin"))
+
+
 def windowed_margins(tracked: DataFrame, window: int, scale: float, threshold: float) -> DataFrame:
     """frame, individual, competitor, own, other, gap, n_within: detections whose mean similarity to their own track over the last `window` frames is at most `threshold` above a competitor's.
 

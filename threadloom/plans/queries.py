@@ -500,6 +500,17 @@ def ambiguous_links(spark, d):
     return assignment.ambiguous_links(similar(spark, d), sizes, 0.1)
 
 
+@query()
+def assigned_swap_margins(spark, d):
+    return links.assigned_swap_margins(similar(spark, d), ambiguous_links(spark, d)).select("frame", "i", *six("margin"))
+
+
+@query()
+def assigned_margin_sweep(spark, d):
+    margins = links.assigned_swap_margins(similar(spark, d), ambiguous_links(spark, d))
+    return links.margin_sweep(margins, [0.05, 0.1, 0.2, 0.5]).select("threshold", "n", *six("percent"))
+
+
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     probs = votes.p1(fx.votes(spark, d), 7).groupBy("fragment_id").agg(F.sum("n_images").alias("n_images"), F.transform(F.array_sort(F.collect_list(F.struct("identity", "p1"))), lambda s: s["p1"]).alias("p"))
     islands = intervals.islands_of_intervals(fx.fragments(spark, d)).select("fragment_id", F.col("island").alias("component"))
