@@ -1,0 +1,29 @@
+"""Cases that small tables do not hold."""
+
+import numpy as np
+
+from threadloom.llm import top_k
+
+
+def test_top_k_of_an_id_with_several_vectors(spark):
+    r = np.random.default_rng(5)
+    rows = [(0, [1.0, 1.0, 1.0])] + [(7, [float(x) for x in v]) for v in r.integers(50, 90, (60, 3))] + [(k, [float(x) for x in r.integers(-20, 20, 3)]) for k in range(101, 149)]
+    rows += [(102, [3.0, 4.0, 5.0]), (50, [1.0, -2.0, 3.0]), (50, [-3.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = set()
+    for q in (0, 50):
+        best = {}
+        for i, v in rows:
+            for j, u in rows:
+                if j == q and i != q:
+                    best[i] = max(best.get(i, -(10**18)), sum(int(256 * a) * int(256 * b) for a, b in zip(u, v, strict=True)))
+        want |= {(q, k + 1, i, s) for k, (i, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])}
+    for block in (8192, 16):
+        assert {tuple(x) for x in top_k.top_k(df, block=block).collect()} == want
+
+
+def test_threshold_counts_ids():
+    v = np.vstack([np.full((40, 2), 100), np.arange(2000).reshape(1000, 2) % 50])
+    block = top_k.Block(np.r_[np.full(40, 3), np.arange(10, 1010)], v)
+    want = sorted({i: int(x.sum()) for i, x in zip(block.ids.tolist(), block.vectors, strict=True)}.items(), key=lambda x: (-x[1], x[0]))[:4]
+    assert block.top(-1, np.array([1, 1]), 4)[0] == [(s, i) for i, s in want]

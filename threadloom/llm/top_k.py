@@ -47,9 +47,12 @@ class Block:
         self.lists = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(self.vectors.T, self.lists, axis=1)
         self.exact = self.vectors.astype(np.float64)
+        #: where each id's rows begin, if some id has several
+        starts = np.flatnonzero(np.r_[True, self.ids[1:] != self.ids[:-1]][: len(self.ids)])
+        self.starts = starts if len(starts) < len(self.ids) else None
 
     def top(self, query_id: int, q: np.ndarray, k: int, first: int = FIRST) -> tuple[list[tuple[int, int]], int]:
-        """The k best (score, id), and how deep the lists were read."""
+        """The k best (score, id), one for each id, and how deep the lists were read."""
         n = len(self.ids)
         dims = np.flatnonzero(q)
         own = self.ids == query_id
@@ -72,18 +75,27 @@ class Block:
             if depth >= n:
                 break
             frontier = np.where(up, self.values[dims, n - depth], self.values[dims, depth - 1])
-            known = np.count_nonzero(seen & ~own)
+            among = scores[self._best_rows(seen & ~own, scores)]
+            known = len(among)
             if known >= k:
-                kth = np.partition(scores[seen & ~own], known - k)[known - k]
+                kth = np.partition(among, known - k)[known - k]
                 if int(weights @ frontier) < kth:
                     break
-        at = np.flatnonzero(seen & ~own)
+        at = self._best_rows(seen & ~own, scores)
         if len(at) > k:  # all that may be among the best: those at or above the k-th score
             s = scores[at]
             at = at[s >= np.partition(s, len(s) - k)[len(s) - k]]
         best = at[np.lexsort((self.ids[at], -scores[at]))][:k]
         return [(int(scores[i]), int(self.ids[i])) for i in best], depth
 
+    def _best_rows(self, some: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """The marked rows; where an id has several, its best one alone."""
+        at = np.flatnonzero(some)
+        if self.starts is None or not len(at):
+            return at
+        at = at[np.lexsort((-scores[at], self.ids[at]))]
+        return np.sort(at[np.r_[True, self.ids[at][1:] != self.ids[at][:-1]]])
+
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, bundle: int = BUNDLE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k best other rows."""
