@@ -1,8 +1,9 @@
 """Cases that small tables do not hold."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from threadloom.llm import top_k
+from threadloom.llm import top_k, url_filter
 
 
 def test_top_k_of_an_id_with_several_vectors(spark):
@@ -27,3 +28,8 @@ def test_threshold_counts_ids():
     block = top_k.Block(np.r_[np.full(40, 3), np.arange(10, 1010)], v)
     want = sorted({i: int(x.sum()) for i, x in zip(block.ids.tolist(), block.vectors, strict=True)}.items(), key=lambda x: (-x[1], x[0]))[:4]
     assert block.top(-1, np.array([1, 1]), 4)[0] == [(s, i) for i, s in want]
+
+
+def test_sample_of_very_many_urls_is_not_empty(spark):
+    many = spark.range(1 << 23).select(F.format_string("http://a.com/%d", "id").alias("url"), F.lit("allow").alias("said"))
+    assert 0 < url_filter.sample(many, 8).count() < 40
