@@ -15,12 +15,13 @@ first replaced by another character of the same length that no rule matches.
 
 Defined results: null text counts as empty and has no spans. Spans of one kind do not overlap, spans of different kinds
 may. Repeated rows are scanned one by one. Empty tables give no rows. Redaction leaves columns of any other name alone.
+A scan's span of a private key is its BEGIN line; redaction goes on through the key's body to its END line.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from re import _parser as parser  # the public tree of the standard library's expressions
 
 from pyspark.sql import Column, DataFrame
@@ -57,6 +58,16 @@ RULES = (
     Rule("payment", r"[sr]k_live_[A-Za-z0-9]{16,}"),
 )
 
+#: White space, written out as well, as in quoted texts; the rest of a line that holds nothing more.
+BLANK, ENDED = r"(?:\s|\\[nr])*+", r"(?=[^\S\r\n]*+(?![^\r\n]))"
+#: What follows a key's BEGIN line: all up to its END line; where that is missing, header lines, then base64 in long runs or alone on a line.
+BODY = (
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{BLANK}(?:Proc-Type|DEK-Info):[^\r\n]*+)*+(?:{BLANK}[A-Za-z0-9+/]{{40,}}+={{0,2}}+|[^\S\r\n]*+[\r\n]\s*+[A-Za-z0-9+/]++={{0,2}}+{ENDED})*+)"
+)
+#: The rules of redaction: a private key goes as a whole, where a scan says where it begins.
+WHOLE = tuple(replace(r, regex=r.regex + BODY) if r.kind == "pem" else r for r in RULES)
+
 #: A query: a conjunction of disjunctions of conjunctions of trigrams.
 Query = list[list[frozenset[str]]]
 #: Strings that a stretch of an expression is spelled out into at most.
@@ -223,7 +234,7 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     return rows.select("doc_id", *counts, F.sha2(_said(base, rules), 256).alias("base_sha256"), _said(F.col("spans"), rules).alias("spans"))
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", broadcast: int = BROADCAST_CANDIDATES) -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = WHOLE, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", broadcast: int = BROADCAST_CANDIDATES) -> DataFrame:
     """docs with each stretch of secrets replaced by REDACTED (overlapping ones by one), and its length where docs have that column."""
     rows = with_spans(docs, rules, id_col, text_col, broadcast)
     text = F.col(f"doc.`{text_col}`")
