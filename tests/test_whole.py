@@ -6,7 +6,8 @@ import math
 import numpy as np
 import pytest
 
-from threadloom.operators import assignment, clusters, links
+from threadloom.operators import assignment, clusters, frames, links
+from threadloom.plans import queries
 
 LABELS = [0, 0, 0, 1, 1, 1, 1, 2, 3, 3]
 
@@ -59,3 +60,23 @@ def test_swap_margins_are_of_the_optimal_assignment(spark):
     swept = {x["threshold"]: (x["n"], x["percent"]) for x in links.margin_sweep(margins, [0.1, 0.5]).collect()}
     counts = {t: sum(v <= t for v in want.values()) for t in (0.1, 0.5)}
     assert swept == {t: (c, pytest.approx(100 * c / len(want))) for t, c in counts.items()}
+
+
+@pytest.mark.parametrize("first, last", [(0, 719), (0, 1500), (-300, 40), (5, 6)])
+def test_every_frame_has_an_episode(spark, first, last):
+    df = spark.createDataFrame([(k,) for k in {*range(first, last, 7), last}], "frame long")
+    eps = frames.data_episodes(df, 100)
+    starts = sorted(r["start_frame"] for r in eps.collect())
+    got = {r["frame"]: r["episode"] for r in frames.frame_episodes(df, eps).collect()}
+    assert got == {f: int(np.searchsorted(starts, f, side="right")) - 1 for f in got} and len(got) == df.count()
+    short = {r["frame"]: r["episode"] for r in frames.frame_episodes(df, frames.episodes(spark, 30, 10)).collect()}
+    assert short == {f: min(2, int(np.searchsorted([0, 10, 20], f, side="right")) - 1) for f in got if f >= 0}
+
+
+def test_global_index_keeps_events_of_later_days(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = [datetime(2024, 1, 1) + timedelta(days=k) for k in (-3, 0, 29, 31, 400)]
+    spark.createDataFrame([(k, t, 1, "click", 1.0) for k, t in enumerate(at)], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["event_id"]: r["global_index"] for r in queries.global_index(spark, str(tmp_path)).collect()}
+    assert got == {k: k for k in range(len(at))}

@@ -59,9 +59,17 @@ def episodes(spark, n_frames: int, per_episode: int) -> DataFrame:
     return spark.range(n).select(k.alias("episode"), F.floor(k * n_frames / n).alias("start_frame"), F.floor((k + 1) * n_frames / n).alias("end_frame"))
 
 
+def data_episodes(frames: DataFrame, per_episode: int) -> DataFrame:
+    """Episodes of all frames that there are: from 0, or the first frame if that is earlier, to the last."""
+    ends = frames.agg(F.coalesce(F.least(F.min("frame"), F.lit(0)), F.lit(0)).alias("a"), F.coalesce(F.max("frame") + 1, F.lit(0)).alias("b")).first()
+    a, n = int(ends["a"]), max(0, int(ends["b"] - ends["a"]))
+    return episodes(frames.sparkSession, n, per_episode).select("episode", (F.col("start_frame") + a).alias("start_frame"), (F.col("end_frame") + a).alias("end_frame"))
+
+
 def frame_episodes(frames: DataFrame, eps: DataFrame) -> DataFrame:
     """Adds each frame's episode: the last that starts at or before it. Episodes are a dimension: a row for hundreds of frames."""
-    return frames.join(eps.select("episode", "start_frame", "end_frame"), (F.col("frame") >= F.col("start_frame")) & (F.col("frame") < F.col("end_frame"))).drop("start_frame", "end_frame")
+    until = eps.select("episode", F.col("start_frame").alias("_a"), F.lead("start_frame").over(Window.orderBy("start_frame", "episode")).alias("_b"))
+    return frames.join(until, (F.col("frame") >= F.col("_a")) & (F.col("_b").isNull() | (F.col("frame") < F.col("_b")))).drop("_a", "_b")
 
 
 def global_index(rows: DataFrame, episode: str, order: list[str]) -> DataFrame:

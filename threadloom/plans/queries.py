@@ -207,7 +207,8 @@ def episode_tiling(spark, d):
 @query("""+ eps AS (SELECT k AS episode, floor(k * 720 / n)::BIGINT AS a, floor((k + 1) * 720 / n)::BIGINT AS b FROM (SELECT unnest(range(0, 8)) AS k, 8 AS n))
 SELECT event_id, episode, row_number() OVER (ORDER BY episode, frame, instance_idx) - 1 AS global_index FROM detections JOIN eps ON frame >= a AND frame < b""", ("detections",))
 def global_index(spark, d):
-    rows = frames.frame_episodes(fx.detections(spark, d), frames.episodes(spark, 720, 100))
+    det = fx.detections(spark, d)
+    rows = frames.frame_episodes(det, frames.data_episodes(det, 100))
     return frames.global_index(rows, "episode", ["frame", "instance_idx"]).select("event_id", "episode", "global_index")
 
 
