@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from threadloom.operators import assignment, clusters, frames, links
+from threadloom.operators import assignment, clusters, frames, identities, links
 from threadloom.plans import queries
 
 LABELS = [0, 0, 0, 1, 1, 1, 1, 2, 3, 3]
@@ -80,3 +80,22 @@ def test_global_index_keeps_events_of_later_days(spark, tmp_path):
     spark.createDataFrame([(k, t, 1, "click", 1.0) for k, t in enumerate(at)], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     got = {r["event_id"]: r["global_index"] for r in queries.global_index(spark, str(tmp_path)).collect()}
     assert got == {k: k for k in range(len(at))}
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_silhouettes_under_every_hypothesis(spark, block):
+    v, labels = np.random.default_rng(9).normal(size=(10, 4)), np.array(LABELS)
+    df = spark.createDataFrame([(k, v[k].tolist(), x) for k, x in enumerate(LABELS)], "vec_id long, v array<double>, label long")
+    d = far(v)
+    mean = np.array([[d[i, labels == k].sum() / max((labels == k).sum() - (labels[i] == k), 1) for k in range(4)] for i in range(10)])
+    want = np.array([[(np.delete(m, k).min() - m[k]) / max(m[k], np.delete(m, k).min(), 1e-12) for k in range(4)] for m in mean])
+    scores = clusters.hypothesis_silhouettes(df, block)
+    assert {(r["vec_id"], r["cluster"]): r["silhouette"] for r in scores.collect()} == pytest.approx({(i, k): want[i, k] for i in range(10) for k in range(4)}, abs=1e-12)
+    images = spark.createDataFrame([(k, k // 2) for k in range(10)], "vec_id long, fragment_id long")
+    per = clusters.fragment_scores(scores, images)
+    f = {r["fragment_id"]: r for r in per.collect()}
+    mine = np.array([want[2 * k : 2 * k + 2].mean(axis=0) for k in range(5)])
+    assert all(r["p"] == pytest.approx(list(mine[k])) and r["n_images"] == 2 for k, r in f.items()) and len(f) == 5
+    got = {r["fragment_id"]: r["identity"] for r in identities.assign_by_scores(*queries._neighbours(per, 3)).collect()}
+    near = [[o for o in range(5) if o != k and o // 3 == k // 3] for k in range(5)]
+    assert got == dict(enumerate(identities.by_scores(mine, near)))

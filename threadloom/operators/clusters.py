@@ -89,6 +89,24 @@ def euclidean_silhouettes(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("vec_id", "label", "own", "other", F.coalesce(score, F.lit(0.0)).alias("silhouette"))
 
 
+def hypothesis_silhouettes(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
+    """vec_id, label, cluster, silhouette: each row's under the hypothesis of every cluster, by mean Euclidean distances; 0 where there is one cluster."""
+    rows = mean_distances(vectors, block).groupBy("vec_id", "label").agg(F.array_sort(F.collect_list(F.struct("cluster", "mean"))).alias("_m"))
+
+    def score(m: Column) -> Column:
+        b = F.array_min(F.transform(F.filter("_m", lambda o: o["cluster"] != m["cluster"]), lambda o: o["mean"]))
+        return F.coalesce((b - m["mean"]) / F.greatest(m["mean"], b, F.lit(1e-12)), F.lit(0.0))
+
+    each = F.explode(F.transform("_m", lambda m: F.struct(m["cluster"].alias("cluster"), score(m).alias("silhouette"))))
+    return rows.select("vec_id", "label", each.alias("_s")).select("vec_id", "label", "_s.cluster", "_s.silhouette")
+
+
+def fragment_scores(scores: DataFrame, images: DataFrame) -> DataFrame:
+    """fragment_id, n_images, p: means of hypothesis_silhouettes over a fragment's images, in the order of clusters. images: vec_id, fragment_id."""
+    means = scores.join(images.select("vec_id", "fragment_id"), "vec_id").groupBy("fragment_id", "cluster").agg(F.avg("silhouette").alias("_s"), F.count("*").alias("n_images"))
+    return means.groupBy("fragment_id").agg(F.max("n_images").alias("n_images"), F.transform(F.array_sort(F.collect_list(F.struct("cluster", "_s"))), lambda x: x["_s"]).alias("p"))
+
+
 def silhouettes(vectors: DataFrame) -> DataFrame:
     """vec_id, label, own, other, silhouette: of squared Euclidean distances, exact, from sums per cluster. euclidean_silhouettes takes the distances themselves.
 

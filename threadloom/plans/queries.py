@@ -531,6 +531,27 @@ def score_assignment(spark, d):
     return identities.assign_by_scores(*_graph(spark, d))
 
 
+@query()
+def hypothesis_silhouettes(spark, d):
+    return clusters.hypothesis_silhouettes(fx.embeddings(spark, d)).select("vec_id", "label", "cluster", *six("silhouette"))
+
+
+def _neighbours(f: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Fragments whose numbers divided by size are the same coexist."""
+    whole = F.floor(F.col("fragment_id") / size)
+    a = f.select(whole.alias("component"), (F.col("fragment_id") + 0).alias("frag_a"))
+    b = f.select(whole.alias("_c"), (F.col("fragment_id") + 0).alias("frag_b"))
+    e = a.join(b, (F.col("component") == F.col("_c")) & (F.col("frag_a") < F.col("frag_b")))
+    return f.withColumn("component", whole), e.select((F.col("component") + 0).alias("component"), "frag_a", "frag_b")
+
+
+@query()
+def silhouette_assignment(spark, d):
+    v = fx.embeddings(spark, d)
+    images = v.select("vec_id", F.floor(F.col("vec_id") / 4).alias("fragment_id"))
+    return identities.assign_by_scores(*_neighbours(clusters.fragment_scores(clusters.hypothesis_silhouettes(v), images), 5))
+
+
 @query()
 def slot_assignment(spark, d):
     return identities.first_free_slots(fx.fragments(spark, d))
