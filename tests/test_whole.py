@@ -99,3 +99,18 @@ def test_silhouettes_under_every_hypothesis(spark, block):
     got = {r["fragment_id"]: r["identity"] for r in identities.assign_by_scores(*queries._neighbours(per, 3)).collect()}
     near = [[o for o in range(5) if o != k and o // 3 == k // 3] for k in range(5)]
     assert got == dict(enumerate(identities.by_scores(mine, near)))
+
+
+def test_demotion_runs_over_saturated_votes(spark):
+    sf = "/root/testdata/sf0.001"
+    n = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_quantity").collect():
+        n.setdefault(r[0], [0, 0, 0])[0 if r[1] < 20 else 1 if r[1] < 45 else 2] += 1
+    p = {k: [1 / sum(2.0 ** (o - x) for o in v) for x in v] for k, v in n.items()}
+    lost = set()
+    for k in sorted((k for k in p if max(p[k]) >= 1.0), key=lambda k: (-sum(n[k]), k)):
+        if k not in lost:
+            lost |= {o for o in p if o != k and o // 5 == k // 5 and max(p[o]) >= 1.0 and p[o].index(max(p[o])) == p[k].index(max(p[k]))}
+    got = {r["fragment_id"]: r["demoted"] for r in queries.uniqueness_demotion(spark, sf).collect()}
+    assert got == {k: k in lost for k in p} and any(got.values()) and not all(got.values())
+    assert not any(r["demoted"] for r in queries.identity_cascade(spark, sf).collect())

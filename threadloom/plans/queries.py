@@ -531,6 +531,12 @@ def score_assignment(spark, d):
     return identities.assign_by_scores(*_graph(spark, d))
 
 
+@query()
+def uniqueness_demotion(spark, d):
+    p = votes.p1(fx.supplier_votes(spark, d), 3).groupBy("fragment_id").agg(F.sum("n_images").alias("n_images"), F.transform(F.array_sort(F.collect_list(F.struct("identity", "p1"))), lambda s: s["p1"]).alias("p"))
+    return identities.assign_identities(*_neighbours(p, 5))
+
+
 @query()
 def hypothesis_silhouettes(spark, d):
     return clusters.hypothesis_silhouettes(fx.embeddings(spark, d)).select("vec_id", "label", "cluster", *six("silhouette"))
