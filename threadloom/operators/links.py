@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.geometry import centroid_similarity, distance, in_reach
-
-#: Used only where the session names no spark.checkpoint.dir.
-LOCAL_SHARED_DIR = "/tmp/checkpoints/threadloom"
+from threadloom.sources.tables import settled
 
 
 def frame_pairs(frames: DataFrame, max_gap: int = 1) -> DataFrame:
@@ -101,15 +97,6 @@ def link_faults(links: DataFrame) -> DataFrame:
     return into.join(links.select("node", F.lit(True).alias("_there")), "node", "left").agg(F.count_if(F.col("_there").isNull()).alias("missing"), F.count_if(F.col("_n") > 1).alias("shared"))
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, so that later steps start from there."""
-    spark: SparkSession = df.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED_DIR).rstrip("/")
-    path = f"{base}/threadloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def chains(links: DataFrame, check: bool = True) -> DataFrame:
     """node, chain (its first node), position: maximal chains of links, by pointer jumping.
 
