@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from threadloom.llm import secrets, top_k, url_filter
+from test_operators import check_packing
+
+from threadloom.llm import packing, secrets, top_k, url_filter
 
 
 def test_top_k_of_an_id_with_several_vectors(spark):
@@ -57,3 +59,24 @@ def test_redaction_takes_a_key_with_its_body(spark):
     assert got == {k: want for k, (_, want) in enumerate(cases)}
     q = secrets.trigram_query(next(r.regex for r in secrets.WHOLE if r.kind == "pem"))
     assert q and all(any(all(t in begin.lower() for t in need) for need in either) for either in q)
+
+
+def test_packing_keeps_ids_beside_null_ones(spark):
+    big = (1 << 53) + 1
+    texts = [(big, "one two"), (big + 2, "three"), (None, "four"), (None, None), (big, "one two"), ((1 << 63) - 1, ""), *[(-5, "alpha beta gamma")] * 40, (7, "x" * 200_000)]
+    df = spark.createDataFrame([(i, t, 1, "p", 2) for i, t in texts], "doc_id long, text string, start long, part string, offset long")
+    for group in (packing.GROUP, 5):
+        got = packing.cost_balanced_packing(df, group=group).collect()
+        check_packing(got, texts)
+        assert {r["doc_id"] for r in got} == {i for i, _ in texts}
+    names = spark.createDataFrame([("b", "one"), (None, "two"), ("a", "one")], "doc_id string, text string")
+    assert sorted(str(r["doc_id"]) for r in packing.cost_balanced_packing(names).collect()) == ["None", "a", "b"]
+
+
+def test_packing_forgets_words_by_bytes():
+    import public_tokenizers
+
+    w = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"), 10_000)
+    for k in range(50):
+        w.ids(f"{'q' * 5000}{k} word{k}")
+        assert w.known_bytes <= 10_000 + 40_000

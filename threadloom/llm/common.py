@@ -3,36 +3,19 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
+from sys import getsizeof
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
-LOCAL_SHARED_DIR = "/tmp/checkpoints/threadloom"
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from threadloom.sources.tables import settled, shared_dir, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SHARED_DIR).rstrip("/")
+__all__ = ["Memo", "kept", "long_texts", "parts", "settled", "shared_dir", "table", "words"]
 
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again.
-
-    This cuts the lineage: a lost executor costs the tasks that it was running, not the stages before.
-    The table stays until the shared folder is emptied, as the returned frame reads it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+#: What an entry of a dictionary takes beside its key and value, and a whole number in a list.
+ENTRY, NUMBER = 100, 32
 
 
 def long_texts(spark: SparkSession) -> None:
@@ -49,16 +32,21 @@ def long_texts(spark: SparkSession) -> None:
 
 
 class Memo(dict):
-    """A function's results by argument, forgotten all at once when there are `limit` of them."""
+    """A function's results by argument, forgotten all at once when they take about `limit` bytes. What alone would take an eighth of them is not remembered."""
 
     def __init__(self, f: Callable, limit: int):
         super().__init__()
-        self.f, self.limit = f, limit
+        self.f, self.limit, self.held = f, limit, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[key] = self.f(key)
+        out = self.f(key)
+        size = getsizeof(key) + getsizeof(out) + ENTRY + (NUMBER * len(out) if isinstance(out, list) else 0)
+        if size <= self.limit // 8:
+            if self.held + size > self.limit:
+                self.clear()
+                self.held = 0
+            self[key] = out
+            self.held += size
         return out
 
 

@@ -42,8 +42,8 @@ EM_STEPS = 2
 #: Added to every piece's expected count.
 ALPHA = 0.05
 HOT = 500_000
-#: Distinct words that a task counts before it passes them on, and words whose probability a worker remembers.
-TOGETHER, WORDS = 400_000, 400_000
+#: Distinct words that a task counts before it passes them on, and bytes of the words whose probability a worker remembers.
+TOGETHER, WORD_BYTES = 400_000, 64 << 20
 #: Words of up to so many bytes are summed as plain probabilities.
 SHORT = 30
 PIECE = -1
@@ -256,7 +256,7 @@ def on_worker(name: str, told: Broadcast) -> tuple[dict[bytes, int], np.ndarray,
 
     def make() -> tuple:
         words, base, likely, *model = told.value
-        return {w: i for i, w in enumerate(words)}, base, likely, Memo(piece_log(Lattice(*model)), WORDS)
+        return {w: i for i, w in enumerate(words)}, base, likely, Memo(piece_log(Lattice(*model)), WORD_BYTES)
 
     return kept(("lm", name), make)
 

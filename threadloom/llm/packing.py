@@ -9,7 +9,9 @@ of about GROUP pieces by a hash, and each group is packed on its own: the groups
 of each is padded with does not matter, and so small that a task holds one easily. Their number grows with the input.
 
 Defined results: null text counts as empty, and such a document is its end id alone. Equal lengths are taken in the order
-of doc_id, start, CRC. Repeated rows are packed one by one. Null doc_ids stay null. Empty tables give no pieces.
+of doc_id (null last), start, CRC. Repeated rows are packed one by one. doc_ids keep their type, and null ones stay null. A
+very long text is tokenised whole and gives a piece for each `capacity` ids. Other columns take no part, whatever their names.
+Empty tables give no pieces.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadloom.llm.common import kept, long_texts, parts, settled, words
+from threadloom.llm.common import ENTRY, kept, long_texts, parts, settled, words
 from threadloom.llm.token_counts import tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
@@ -36,8 +38,8 @@ CAPACITY, END = 4096, 2
 #: Attention costs as much as the layers' linear work at this length.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 GROUP = 1 << 15
-#: Words that a worker remembers, and pre-tokens for those that it doesn't.
-WORDS, PARTS = 1_000_000, 200_000
+#: Bytes of the words that a worker remembers, and of pre-tokens for those that it doesn't.
+WORD_BYTES, PART_BYTES = 144 << 20, 32 << 20
 
 
 class WordTokens:
@@ -45,14 +47,15 @@ class WordTokens:
 
     The vocabulary's normaliser drops white space and no pre-token or added token spans it, so a text's ids are those of its
     words one after the other. Words that the worker has not seen lately are split as the vocabulary's pattern splits them, and
-    pre-tokens that are new are encoded together; words and pre-tokens are remembered.
+    pre-tokens that are new are encoded together; words and pre-tokens are remembered, and forgotten when they take too many bytes.
     """
 
-    def __init__(self, path: str, limit: int = WORDS):
+    def __init__(self, path: str, limit: int = WORD_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.parts, self.limit = Tokenizer.from_file(path), {}, {}, limit
+        self.known_bytes = self.part_bytes = 0
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         self.split = regex.compile(said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
@@ -69,11 +72,13 @@ class WordTokens:
         return np.array((self.bare if bare else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, tokens: list[bytes]) -> None:
-        new = list({t for t in tokens if t not in self.known})
-        if len(self.known) + len(new) > self.limit:
+        if self.known_bytes > self.limit:
             self.known.clear()
+            self.known_bytes = 0
+        if self.part_bytes > PART_BYTES:
             self.parts.clear()
-            new = list(set(tokens))
+            self.part_bytes = 0
+        new = list({t for t in tokens if t not in self.known})
         split = {}
         for t in new:
             word = t.decode()
@@ -84,8 +89,6 @@ class WordTokens:
                 split[t] = self.split(word.lower())
             else:
                 self.known[t] = self._encode(word).tobytes()
-        if len(self.parts) > PARTS:
-            self.parts.clear()
         unseen = list({p for ps in split.values() for p in ps if p not in self.parts})
         if unseen:
             # one call for many pre-tokens; the last id of each says so
@@ -95,8 +98,10 @@ class WordTokens:
                 self.parts.update((p, raw[a:b]) for p, a, b in zip(unseen, [0, *cuts], cuts, strict=False))
             else:
                 self.parts.update((p, self._encode(p).tobytes()) for p in unseen)
+            self.part_bytes += sum(map(len, unseen)) + 4 * len(ids) + 2 * ENTRY * len(unseen)
         get = self.parts.__getitem__
         self.known.update((t, b"".join(map(get, ps))) for t, ps in split.items())
+        self.known_bytes += sum(len(t) + len(self.known[t]) for t in new) + 2 * ENTRY * len(new)
 
     def ids(self, text: str | None) -> bytes:
         tokens = words(text)
@@ -167,12 +172,15 @@ def assign(lengths: list[int], capacity: int, linear: float = LINEAR, quadratic:
 def cost_balanced_packing(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece."""
     cut = settled(pieces(docs, path or tokenizer_path(VOCABULARY), capacity, end, id_col, text_col), "packing-pieces")
-    dealt = cut.withColumn("part", F.pmod(F.xxhash64(*(F.col(c) for c in cut.columns)), F.lit(parts(cut, group))))
+    # a row's place in the table takes part in the hash, or the copies of one row would all fall into one group
+    dealt = cut.withColumn("part", F.pmod(F.xxhash64(*cut.columns, F.monotonically_increasing_id()), F.lit(parts(cut, group))))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        where, offset = assign(pdf["length"].tolist(), capacity)
-        return pdf.assign(sequence_id=pdf.pop("part") * (1 << 32) + np.array(where, np.int64), offset=np.array(offset, np.int64))
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")], null_placement="at_end")
+        table = table.take(order)
+        where, offset = assign(table.column("length").to_pylist(), capacity)
+        sequence = (key[0].as_py() << 32) + np.array(where, np.int64)
+        return table.drop_columns(["part"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset, pa.int64()))
 
     out = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return dealt.groupBy("part").applyInPandas(pack, out)
+    return dealt.groupBy("part").applyInArrow(pack, out)

@@ -39,14 +39,15 @@ WINDOWS_PER_BLOCK = 1 << 20
 #: About the bytes of a word and its space; only the number of blocks depends on it.
 BYTES_PER_WORD = 6
 CELL_BITS = 24
-WORDS = 200_000
+#: Bytes of the words whose hashes a worker remembers.
+WORD_BYTES = 32 << 20
 LAST_ID = (1 << 63) - 1
 #: Bits of a window's start; those above number the rows of one id.
 START_BITS = 40
 
 
 def word_hash() -> Memo:
-    return kept(("hashes",), lambda: Memo(lambda w: xxhash.xxh3_64_intdigest(w) - (1 << 63), WORDS))
+    return kept(("hashes",), lambda: Memo(lambda w: xxhash.xxh3_64_intdigest(w) - (1 << 63), WORD_BYTES))
 
 
 def hashes(tokens: list[bytes]) -> np.ndarray:
