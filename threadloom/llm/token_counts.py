@@ -3,19 +3,24 @@ r"""Exact token counts of every prefix of a text, by dynamic programming.
 A sequence of BPE tokens is the encoding of its bytes exactly if each two neighbours are the encoding of theirs. So the
 encoding of a prefix of a pre-token is the encoding of a shorter prefix and one token more, and one pass over the bytes
 stores, for every prefix, its number of tokens and its last token (linear in the length, also for a pre-token of a
-hundred thousand letters). Counts of whole texts add up at pre-token boundaries. The table of a text then answers how
-many tokens any prefix of encoded bytes has and how long the longest prefix within a budget is, without encoding again.
+hundred thousand letters). These tables of pre-tokens are kept, and a text's total is the sum of their last entries. With the
+sums at pre-token boundaries they answer how many tokens any prefix has and how long the longest prefix within a budget is,
+without encoding again: where a cut moves boundaries (white space before a word, a cut "'re"), the last two pre-tokens before
+it are split anew, and the tables of the new pieces answer.
 
 Defined results: null text counts as empty, with no bytes and no tokens. Strings of added tokens inside a text count as
-one token each, which is the library's default. Repeated rows are counted one by one; other columns take no part.
+one token each, which is the library's default. Repeated rows are counted one by one. Very long texts are counted whole.
+Other columns take no part, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +32,13 @@ from threadloom.llm.common import Memo, kept, long_texts
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-#: Pre-tokens whose tables are remembered, and pairs of tokens whose validity is.
-PIECES, PAIRS = 800_000, 400_000
+#: Bytes of the pre-tokens' tables that a worker remembers, and of what it knows of pairs of tokens.
+TABLE_BYTES, PAIR_BYTES = 192 << 20, 48 << 20
 #: Pairs of ids are kept as one number.
 SHIFT, MASK, NEVER = 20, (1 << 20) - 1, 1 << 40
 #: Where a node of the trie keeps the token that ends there; the other keys are bytes.
 TOKEN = -1
+LAST = itemgetter(-1)
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,7 +51,7 @@ def byte_letters() -> dict[str, int]:
 class PrefixCounter:
     """Token counts by the ranks of a byte-level BPE vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str, pattern: str, piece_limit: int = PIECES):
+    def __init__(self, path: str, pattern: str, limit: int = TABLE_BYTES):
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         letters = byte_letters()
@@ -70,8 +76,8 @@ class PrefixCounter:
         self.pattern = regex.compile(pattern)
         added = sorted((x["content"] for x in said["added_tokens"]), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.valid = Memo(lambda pair: self._apart(pair >> SHIFT, pair & MASK), PAIRS)
-        self.totals = Memo(lambda piece: self.prefixes(piece.encode())[-1], piece_limit)
+        self.valid = Memo(lambda pair: self._apart(pair >> SHIFT, pair & MASK), PAIR_BYTES)
+        self.tables = Memo(lambda piece: self.prefixes(piece.encode()), limit)
 
     @staticmethod
     def _edge(parents: dict[int, tuple[int, int, int]], token: int, side: int) -> list[tuple[int, int]]:
@@ -97,7 +103,7 @@ class PrefixCounter:
                     return False
         return True
 
-    def prefixes(self, piece: bytes) -> list[int]:
+    def prefixes(self, piece: bytes) -> array:
         """counts[i]: the tokens of the encoding of piece[:i].
 
         From each prefix, every token that begins there is tried as the next; exactly one way into each prefix is valid.
@@ -116,7 +122,11 @@ class PrefixCounter:
                     if valid[before | token] if k else token in alone:
                         counts[j + 1] = more
                         last[j + 1] = token
-        return counts
+        return array("I", counts)
+
+    def totals(self, pieces: list[str]) -> list[int]:
+        """The last entry of each pre-token's table."""
+        return list(map(LAST, map(self.tables.__getitem__, pieces)))
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Parts of a text, and whether each is an added token."""
@@ -131,15 +141,14 @@ class PrefixCounter:
 
     def total(self, text: str) -> int:
         """Tokens of the whole text: the last entry of its prefix table, from the last entries of its pre-tokens' tables."""
-        totals = self.totals.__getitem__
-        return sum(1 if special else sum(map(totals, self.pattern.findall(part))) for part, special in self.segments(text))
+        return sum(1 if special else sum(self.totals(self.pattern.findall(part))) for part, special in self.segments(text))
 
     def table(self, text: str) -> PrefixTable:
         ends, counts, pieces, b, n = [0], [0], [b""], 0, 0
         for part, special in self.segments(text):
             for piece in [part] if special else self.pattern.findall(part):
                 raw = piece.encode()
-                b, n = b + len(raw), n + (1 if special else self.totals[piece])
+                b, n = b + len(raw), n + (1 if special else self.tables[piece][-1])
                 ends.append(b)
                 counts.append(n)
                 pieces.append(None if special else raw)
@@ -151,7 +160,7 @@ class PrefixCounter:
             n = self.total(text)
             return n, self.table(text).longest(budget) if n > budget else len(text.encode())
         found = self.pattern.findall(text)
-        counts = list(map(self.totals.__getitem__, found))
+        counts = self.totals(found)
         n = sum(counts)
         if n <= budget:
             return n, len(text.encode())
@@ -165,6 +174,20 @@ class PrefixCounter:
         return n, PrefixTable(self, ends, at, [b"", *(x.encode() for x in found[start : k + 2])]).longest(budget - before)
 
 
+    def every(self, text: str) -> array:
+        """counts[i]: the tokens of the text's first i bytes, as its own pre-tokens split them."""
+        out, n = array("I", [0]), 0
+        for part, special in self.segments(text):
+            if special:
+                out.extend([n] * (len(part.encode()) - 1) + [n + 1])
+                n += 1
+                continue
+            for t in map(self.tables.__getitem__, self.pattern.findall(part)):
+                out.extend(n + x for x in t[1:])
+                n += t[-1]
+        return out
+
+
 class PrefixTable:
     """Counts at pre-token boundaries; what is beyond them comes from the pre-tokens' own tables.
 
@@ -190,8 +213,8 @@ class PrefixTable:
         try:
             found = self.counter.pattern.findall(tail.decode())
         except UnicodeDecodeError:
-            return self.counts[k] + self.counter.prefixes(rest)[-1]
-        return self.counts[start] + sum(map(self.counter.totals.__getitem__, found))
+            return self.counts[k] + self.counter.tables[self.pieces[k + 1].decode()][len(rest)]
+        return self.counts[start] + sum(self.counter.totals(found))
 
     def longest(self, budget: int) -> int:
         """Bytes of the longest prefix of whole characters, ending in the first pre-token that goes over the budget, with at most `budget` tokens."""
@@ -199,7 +222,7 @@ class PrefixTable:
         if k + 1 == len(self.ends) or self.pieces[k + 1] is None:
             return self.ends[k]
         piece = self.pieces[k + 1]
-        inner = self.counter.prefixes(piece)
+        inner = self.counter.tables[piece.decode()]
         for i in range(len(piece) - 1, 0, -1):
             if piece[i] & 0xC0 != 0x80 and self.counts[k] + inner[i] <= budget and self.tokens(self.ends[k] + i) <= budget:
                 return self.ends[k] + i
@@ -245,17 +268,24 @@ def token_counts(docs: DataFrame, path: str | None = None, pattern: str | None =
     return taken.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long")
 
 
-def token_prefixes(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ends, counts: bytes and tokens before every pre-token boundary of each text."""
+def token_prefixes(docs: DataFrame, path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
+    """doc_id, ends, counts: bytes and tokens before every pre-token boundary of each text; if `every` is set also prefixes, the tokens before each byte and before the end."""
     path, pattern = path or tokenizer_path(VOCABULARY), pattern or default_pattern()
     long_texts(docs.sparkSession)
     taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path, pattern)
         for b in batches:
-            tables = [c.table(x.as_py() or "") for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.ends for t in tables], pa.list_(pa.int64())), pa.array([t.counts for t in tables], pa.list_(pa.int64()))], ["doc_id", "ends", "counts"])
+            texts = [x.as_py() or "" for x in b.column(1)]
+            tables = [c.table(x) for x in texts]
+            cols = [b.column(0), pa.array([t.ends for t in tables], longs), pa.array([t.counts for t in tables], longs)]
+            names = ["doc_id", "ends", "counts"]
+            if every:
+                cols.append(pa.array([c.every(x).tolist() for x in texts], longs))
+                names.append("prefixes")
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = taken.schema["doc_id"].dataType.simpleString()
-    return taken.mapInArrow(run, f"doc_id {kind}, ends array<long>, counts array<long>")
+    return taken.mapInArrow(run, f"doc_id {kind}, ends array<long>, counts array<long>{', prefixes array<long>' if every else ''}")
