@@ -118,7 +118,7 @@ def test_token_counts(docs, texts, empty):
 
 
 def test_prefix_tables_agree_with_encoding_anew():
-    t, c = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, piece_limit=5)
+    t, c = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), token_counts.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=5000)
     r = random.Random(3)
     for _ in range(60):
         s = "".join(r.choice(["a", "the", " ", "  ", "\n", "é", "中", "'s", "'re", "1", "==", "ing", "<|endoftext|>"]) for _ in range(r.randint(0, 25)))
@@ -127,6 +127,9 @@ def test_prefix_tables_agree_with_encoding_anew():
         for k in range(len(s) + 1):
             if "<" not in s:
                 assert table.tokens(len(s[:k].encode())) == len(t.encode(s[:k]).ids)
+        every = c.every(s)
+        assert len(every) == len(s.encode()) + 1 and every[-1] == c.total(s)
+        assert all(every[e] == n for e, n in zip(table.ends, table.counts, strict=True))
     assert c.total("ab" * 20_000) == len(t.encode("ab" * 20_000).ids)
 
 
@@ -202,7 +205,9 @@ def test_stitching():
     r, pattern = random.Random(1), regex.compile(public_tokenizers.PATTERN)
     for _ in range(3000):
         s = "".join(r.choice(["a", "the", " ", "  ", "\n", "é", "中", "'s", "'re", "1", "==", "aaaaaaaaaaaaaaaaaaaaaaaa"]) for _ in range(r.randint(0, 60)))
-        assert byte_bpe.stitched(pattern, s, r.choice([5, 8, 13, 30]), r.choice([1, 2, 3, 5, 8])) == [0, *(m.end() for m in pattern.finditer(s))]
+        assert byte_bpe.stitched(pattern, s, r.choice([5, 8, 13, 30]), r.choice([1, 2, 3, 5, 8])) == pattern.findall(s)
+    s = "".join(r.choice(["a", "the ", " ", "é", "中 ", "'s", "1", "==", "a" * 3000, " " * 3000]) for _ in range(600))
+    assert byte_bpe.stitched(pattern, s) == pattern.findall(s)
 
 
 # 6

@@ -1,23 +1,24 @@
-r"""Byte-level BPE encoding and decoding, with long texts pre-tokenised in overlapping chunks.
+r"""Byte-level BPE encoding and decoding, with texts pre-tokenised in overlapping chunks.
 
-A text is cut into chunks that overlap, and each chunk is pre-tokenised by itself (long texts' chunks in threads; the
-pattern engine runs without the interpreter's lock). Pre-tokenising is a scan whose only state is its position, so from
+A text is cut into chunks of CHUNK characters that overlap, and each chunk is pre-tokenised by itself, in the worker's threads
+(the pattern engine runs without the interpreter's lock). Pre-tokenising is a scan whose only state is its position, so from
 the first boundary that two neighbouring chunks share they agree. A chunk's scan is trusted from that boundary to the
 next stitch; its last pre-tokens, which may have ended only because the chunk did, are never used. Where an overlap holds no
 common boundary, as in one word that is longer than it, the scan goes on over the text itself until it meets one.
 Each pre-token is then encoded by the ranks of its bytes, and decoding concatenates the bytes of the ids.
 
-Defined results: null text counts as empty: no ids, and the digests of nothing. Repeated rows are encoded one by one.
+Defined results: null text counts as empty: no ids, and the digests of nothing. A very long text has more chunks and nothing
+else. Repeated rows are encoded one by one. Other columns take no part, whatever their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_left
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import regex
@@ -28,45 +29,58 @@ from threadloom.llm.common import Memo, kept, long_texts
 from threadloom.llm.token_counts import default_pattern, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK, OVERLAP = 1 << 16, 1 << 9
-PIECES = 250_000
+CHUNK, OVERLAP = 1 << 11, 1 << 6
+#: Bytes of the pre-tokens that a worker remembers.
+PIECE_BYTES = 64 << 20
 THREADS = 2
 #: Characters before a chunk's end that its last trusted pre-token must leave, for what the pattern looks ahead at.
 MARGIN = 2
 
 
-def boundaries(pattern: regex.Pattern, text: str, start: int, end: int) -> list[int]:
-    """Where matches end, scanning text[start:end] by itself."""
-    return [start, *(start + m.end() for m in pattern.finditer(text[start:end], concurrent=True))]
+def scan(pattern: regex.Pattern, text: str, start: int, end: int) -> tuple[list[int], list[str]]:
+    """The boundaries and pre-tokens of text[start:end] by itself. The pattern must match every character, as byte-level patterns do."""
+    found = pattern.findall(text[start:end], concurrent=True)
+    return list(accumulate(map(len, found), initial=start)), found
 
 
-def stitched(pattern: regex.Pattern, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """The boundaries of the whole text's pre-tokens. The pattern must match every character, as byte-level patterns do."""
-    starts = list(range(0, max(1, len(text) - overlap), chunk))
+def stitched(pattern: regex.Pattern, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, each: Callable = map) -> list[str]:
+    """The whole text's pre-tokens, from scans of its chunks. `each` is the map that runs them."""
+    starts = range(0, max(1, len(text) - overlap), chunk)
     spans = [(s, min(len(text), s + chunk + overlap)) for s in starts]
-    if len(spans) == 1:
-        return boundaries(pattern, text, 0, len(text))
-    with ThreadPoolExecutor(THREADS) as pool:
-        scans = list(pool.map(lambda s: boundaries(pattern, text, *s), spans))
-    out = scans[0]
-    for (_, trusted), (start, end), scan in zip(spans, spans[1:], scans[1:], strict=False):
-        # out is right up to the end of its own chunk, but for what touches that end
-        while len(out) > 1 and out[-1] > trusted - MARGIN and trusted < len(text):
+    scans = each(lambda s: scan(pattern, text, *s), spans)
+    at, out = next(iter(scans)) if len(spans) == 1 else (None, None)
+    for k, (here, found) in enumerate(scans if out is None else ()):
+        if not k:
+            at, out = here, found
+            continue
+        (_, trusted), (start, end) = spans[k - 1], spans[k]
+        # what is there is right up to the end of its own chunk, but for what touches that end
+        while len(at) > 1 and at[-1] > trusted - MARGIN and trusted < len(text):
+            at.pop()
             out.pop()
-        k = bisect_left(out, start)
-        common = next((p for p in out[k:] if p > start and scan[min(bisect_left(scan, p), len(scan) - 1)] == p), None)
-        if common is None:
-            at = out[-1]
-            while at < len(text):  # the overlap has none: go on by single matches
-                i = bisect_left(scan, at)
-                if at > start and i < len(scan) and scan[i] == at:
+        i = bisect_right(at, start)
+        j = bisect_right(here, start)
+        while i < len(at) and j < len(here) and at[i] != here[j]:
+            if at[i] < here[j]:
+                i += 1
+            else:
+                j += 1
+        if i == len(at) or j == len(here):  # the overlap has no common boundary: go on by single matches
+            i = len(at) - 1
+            while at[i] < len(text):
+                j = bisect_left(here, at[i])
+                if at[i] > start and j < len(here) and here[j] == at[i]:
                     break
-                at = pattern.match(text, at).end()
-                out.append(at)
-            common = at
-        if common < end or end == len(text):
-            del out[bisect_left(out, common) :]
-            out += scan[bisect_left(scan, common) :]
+                m = pattern.match(text, at[i])
+                at.append(m.end())
+                out.append(m[0])
+                i += 1
+            else:
+                continue
+        if here[j] < end or end == len(text):
+            del at[i:], out[i:]
+            at += here[j:]
+            out += found[j:]
     return out
 
 
@@ -79,13 +93,11 @@ class ByteBpe:
         self.pattern, self.chunk, self.overlap = regex.compile(pattern), chunk, overlap
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.name_of = {i: str(i) for i in ranks.values()}
-        self.piece = Memo(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece, PIECES)
+        self.piece = Memo(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece, PIECE_BYTES)
+        self.threads = ThreadPoolExecutor(THREADS)
 
     def pre_tokens(self, text: str) -> list[str]:
-        if len(text) <= self.chunk + self.overlap:
-            return self.pattern.findall(text)
-        at = stitched(self.pattern, text, self.chunk, self.overlap)
-        return [text[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return stitched(self.pattern, text, self.chunk, self.overlap, self.threads.map)
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.piece.__getitem__, self.pre_tokens(text))))
