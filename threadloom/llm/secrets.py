@@ -9,18 +9,21 @@ many candidates, never too few.
 Keys are hashes of whole rows' ids and texts; two rows with one key would only be scanned for each other's rules too.
 Candidates are few numbers a row: they are broadcast if there are at most BROADCAST_CANDIDATES, and joined by key if more.
 
-Matches are found by marking: the expression's replacement puts a sentinel before and after each match, and adding up the
-lengths of what lies between sentinels gives offsets in code points. Where a text holds a sentinel character itself, it is
-first replaced by another character of the same length that no rule matches.
+Matches are found by marking: the expression's replacement puts a sentinel before and after each match, and running sums of
+the lengths of what lies between sentinels give offsets in code points. Running sums and maxima are taken by doubled strides, so
+a text of m matches costs m log m steps. Where a text holds a sentinel character itself, it is first replaced by another
+character of the same length that no rule matches.
 
 Defined results: null text counts as empty and has no spans. Spans of one kind do not overlap, spans of different kinds
-may. Repeated rows are scanned one by one. Empty tables give no rows. Redaction leaves columns of any other name alone.
+may. Very long texts are scanned whole. Repeated rows are scanned one by one. Empty tables give no rows. Columns of any other
+name take no part in a scan, and redaction leaves them alone.
 A scan's span of a private key is its BEGIN line; redaction goes on through the key's body to its END line.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from re import _parser as parser  # the public tree of the standard library's expressions
 
@@ -32,6 +35,8 @@ from threadloom.llm.common import settled
 MARK, SPLIT, PLAIN = "\ue000", "\ue001", "\ufffd"
 BROADCAST_CANDIDATES = 500_000
 REDACTED = "[secret]"
+#: Characters in a block of a text that is rebuilt.
+BLOCK = 2048
 
 
 @dataclass(frozen=True)
@@ -184,19 +189,33 @@ def candidates(keyed: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return sets.select("key", *flags).where(some)
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value worked out once: inside lambdas it would be again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array, join over it and all before it."""
+
+    def double(now: Column, k: Column) -> Column:
+        stride = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(now, lambda x, i: F.when(i >= stride, join(x, F.get(now, i - stride))).otherwise(x))
+
+    steps = F.call_function("bin", F.greatest(F.size(values) - 1, F.lit(0)))
+    return F.aggregate(F.sequence(F.lit(0), F.length(steps) - 1), values, double)
+
+
 def _spans(text: Column, number: int, rule: Rule) -> Column:
     """Spans of one rule, as structs (start, kind, end)."""
     marked = F.split(F.regexp_replace(text, F.lit(f"{rule.regex}"), F.lit(f"{MARK}$0{SPLIT}${rule.group}{MARK}")), MARK)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        match, group = F.substring_index(x, SPLIT, 1), F.substring_index(x, SPLIT, -1)
-        end = a["at"] + F.when(a["inside"], F.length(match)).otherwise(F.length(x))
-        found = F.array(F.struct(a["at"].alias("start"), F.lit(number).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), (~a["inside"]).alias("inside"), F.when(a["inside"] & (F.length(group) >= rule.least), F.concat(a["out"], found)).otherwise(a["out"]).alias("out"))
-
-    return F.aggregate(marked, first, step, lambda a: a["out"])
+    # every second part is a match
+    inside = lambda i: i % 2 == 1
+    sizes = lambda parts: F.transform(parts, lambda x, i: F.when(inside(i), F.length(F.substring_index(x, SPLIT, 1))).otherwise(F.length(x)))
+    span = lambda parts, n, ends: F.transform(
+        parts, lambda x, i: F.when(inside(i) & (F.length(F.substring_index(x, SPLIT, -1)) >= rule.least), F.struct((F.get(ends, i) - F.get(n, i)).alias("start"), F.lit(number).alias("kind"), F.get(ends, i).alias("end")))
+    )
+    each = _with(marked, lambda parts: _with(sizes(parts), lambda n: _with(_running(n, lambda a, b: a + b), lambda ends: span(parts, n, ends))))
+    return F.filter(each, lambda s: s.isNotNull())
 
 
 def _quick(rule: Rule) -> str:
@@ -234,17 +253,30 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     return rows.select("doc_id", *counts, F.sha2(_said(base, rules), 256).alias("base_sha256"), _said(F.col("spans"), rules).alias("spans"))
 
 
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end of a text in blocks of BLOCK. A substring of the text itself would be searched for from its beginning."""
+    first, last = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    piece = lambda x, i: F.substring(x, F.when(i == 0, start - first * BLOCK).otherwise(F.lit(0)) + 1, F.when(i == last - first, end - last * BLOCK).otherwise(F.lit(BLOCK)) - F.when(i == 0, start - first * BLOCK).otherwise(F.lit(0)))
+    return F.when(end <= start, F.lit("")).otherwise(F.array_join(F.transform(F.slice(blocks, first + 1, last - first + 1), piece), ""))
+
+
+def _redacted(text: Column, spans: Column) -> Column:
+    """text with REDACTED for each stretch of overlapping spans. A span that begins where those before end is a stretch of its own."""
+    blocks = F.regexp_extract_all(text, F.lit(f"[\\s\\S]{{1,{BLOCK}}}"), F.lit(0))
+
+    def rebuilt(b: Column, s: Column, ends: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
+        gaps = F.transform(s, lambda x, i: F.when(x["start"] >= before(i), F.concat(_cut(b, before(i), x["start"]), F.lit(REDACTED))).otherwise(F.lit("")))
+        return F.concat(F.array_join(gaps, ""), _cut(b, F.array_max(ends), F.length(text)))
+
+    return _with(blocks, lambda b: _with(spans, lambda s: _with(_running(F.transform(s, lambda x: x["end"]), F.greatest), lambda ends: rebuilt(b, s, ends))))
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = WHOLE, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", broadcast: int = BROADCAST_CANDIDATES) -> DataFrame:
     """docs with each stretch of secrets replaced by REDACTED (overlapping ones by one), and its length where docs have that column."""
     rows = with_spans(docs, rules, id_col, text_col, broadcast)
     text = F.col(f"doc.`{text_col}`")
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(REDACTED))
-        return F.struct(F.when(s["start"] >= a["at"], gap).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
-
-    clean = F.when(F.size("spans") == 0, text).otherwise(F.aggregate(F.col("spans"), first, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
+    clean = F.when(F.size("spans") == 0, text).otherwise(_redacted(text, F.col("spans")))
     rows = rows.select("doc", clean.alias("clean"))
     change = {text_col: F.col("clean")} | ({length_col: F.length("clean").cast(docs.schema[length_col].dataType)} if length_col in docs.columns else {})
     return rows.select(*(change.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
