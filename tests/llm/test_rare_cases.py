@@ -1,5 +1,9 @@
 """Cases that small tables do not hold."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -32,9 +36,51 @@ def test_threshold_counts_ids():
     assert block.top(-1, np.array([1, 1]), 4)[0] == [(s, i) for i, s in want]
 
 
-def test_sample_of_very_many_urls_is_not_empty(spark):
-    many = spark.range(1 << 23).select(F.format_string("http://a.com/%d", "id").alias("url"), F.lit("allow").alias("said"))
-    assert 0 < url_filter.sample(many, 8).count() < 40
+def test_samples_of_urls_are_bounded_and_not_empty(spark):
+    many = spark.range(1 << 22).select(F.format_string("http://a.com/%d", "id").alias("url"), F.lit("allow").alias("said"))
+    assert url_filter.sample(many, 8).count() == 4
+    # half of all rows are one URL, and a verdict is rare
+    hot = many.limit(50_000).select(F.when(F.col("url").endswith("0"), F.col("url")).otherwise("http://hot.com/").alias("url"), F.when(F.col("url") == "http://a.com/77", "block").otherwise(F.col("said")).alias("said"))
+    got = url_filter.sample(hot, 1000).collect()
+    assert len({r["url"] for r in got}) == len(got) == 501 and sum(r["said"] == "block" for r in got) == 1
+    assert url_filter.sample(hot, 1000).count() == 501 and url_filter.sample(hot.limit(0), 1000).count() == 0
+
+
+def tree_says(node, x):
+    while node.numDescendants() > 0:
+        split = node.split()
+        node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+    return node.prediction()
+
+
+def plain_features(url):
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    n, counts = max(1, len(url)), Counter(url)
+    asked = re.search(r"\?([^#]*)", url)
+    asked = asked[1] if asked else ""
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    return host.lower().split(".")[-1], [len(url), len(host), len(path), len([x for x in path.split("/") if x]), sum(c in "0123456789" for c in url) / n, entropy, host.count("."), url.count("-"), asked.count("&") + 1 if asked else 0]
+
+
+def test_verdicts_are_those_of_the_fitted_trees(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", F.lit("x").alias("said"), F.lit(1).alias("fold"), F.lit("y").alias("suffix"))
+    rows = url_filter.labelled_rows(pages)
+    learn = url_filter.training_sample(rows)
+    trees = url_filter.Trees(learn)
+    suffixes = {r["suffix"]: (r["suffix_count"], r["suffix_share"]) for r in trees.suffixes.collect()}
+    java = trees.model._java_obj
+    roots = list(zip([t.rootNode() for t in java.trees()], java.treeWeights(), strict=True))
+    want = {}
+    for r in rows.collect():
+        suffix, x = plain_features(r["url"] or "")
+        x += suffixes.get(suffix, (0.0, 0.5))
+        want[r["page_id"]] = r["said"] or ("block" if sum(w * tree_says(t, x) for t, w in roots) > 0 else "allow")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(pages).collect()}
+    assert got == want and len({want[r["page_id"]] for r in rows.where("rule is null").collect()}) >= 1
+    report = url_filter.held_out_accuracy(pages).first()
+    assert report["n"] > 0 and report["accuracy"] >= report["largest"] - 0.1
 
 
 def test_redaction_takes_a_key_with_its_body(spark):
