@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -226,9 +227,61 @@ def test_lm(docs, texts, empty, hot):
     assert lm.lm_scores(empty).count() == 0
 
 
+def plain_model(words, steps):
+    """The pieces' probabilities after EM, by sums over plain probabilities."""
+    pieces, kinds, logs = lm.first_weights(public_tokenizers.path("piece_bpe_32k.model"))
+    prob = [math.exp(x) for x in logs]
+    first, index = list(prob), {p: k for k, (p, kind) in enumerate(zip(pieces, kinds, strict=True)) if kind == "normal"}
+    byte = {int(p[3:-1], 16): k for k, (p, kind) in enumerate(zip(pieces, kinds, strict=True)) if kind == "byte"}
+
+    def arcs(word):
+        for i in range(len(word)):
+            for j in range(i + 1, len(word) + 1):
+                if word[i:j] in index:
+                    yield i, j, [index[word[i:j]]]
+            if word[i] not in index:
+                yield i, i + 1, [byte[x] for x in word[i].encode()]
+
+    def ways(word, backward=False):
+        out = [0.0] * (len(word) + 1)
+        out[len(word) if backward else 0] = 1.0
+        for i, j, ks in sorted(arcs(word), key=lambda a: -a[1] if backward else a[0]):
+            w = math.prod(prob[k] for k in ks)
+            if backward:
+                out[i] += w * out[j]
+            else:
+                out[j] += w * out[i]
+        return out
+
+    for _ in range(steps):
+        n = [lm.PRIOR * x for x in first]
+        for word in words:
+            f, b = ways(word), ways(word, True)
+            for i, j, ks in arcs(word):
+                for k in ks:
+                    n[k] += f[i] * math.prod(prob[k] for k in ks) * b[j] / f[-1]
+        prob = [x / sum(n) for x in n]
+    return lambda word: ways(word)[-1], prob[kinds.index("end")]
+
+
+@pytest.mark.parametrize("hot", [3, 500_000])
+def test_lm_scores_are_marginal_probabilities(spark, texts, hot):
+    some = [(i, t) for i, t in texts if t is None or len(t) < 3000] + [(1000 + k, f"never{k} seen \U0001f9ff\u4e2d x{'y' * k}") for k in range(30)]
+    got = rows(lm.lm_scores(spark.createDataFrame([(i, t, "r", "s", 1) for i, t in some], "doc_id long, text string, row string, rare string, score long"), hot=hot, steps=2).select("doc_id", "score"))
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    c = Counter(w for i, t in some if not held(i) for w in [*lm.lowered(t), b""])
+    n, times = sum(c.values()), Counter(c.values())
+    d = min(0.9, max(0.1, times[1] / (times[1] + 2 * times[2])))
+    probability, end = plain_model(["\u2581" + w.decode() for w in c if w], 2)
+    p = lambda w: max(0, c[w] - d if c[w] else 0) / n + d * len(c) / n * (probability("\u2581" + w.decode()) if w else end)
+    want = sorted(((i, sum(math.log10(p(w)) for w in [*lm.lowered(t), b""])) for i, t in some), key=lambda r: (str(r[0]), r[1]))
+    got.sort(key=lambda r: (str(r[0]), r[1]))
+    assert [r[0] for r in got] == [r[0] for r in want] and np.allclose([r[1] for r in got], [r[1] for r in want], rtol=1e-9)
+
+
 def test_lattice_sums_all_segmentations():
     pieces, kinds, logs = lm.first_weights(public_tokenizers.path("piece_bpe_32k.model"))
-    lattice = lm.Lattice(pieces, kinds, logs)
+    lattice = lm.Lattice(lm.Vocabulary(pieces, kinds), logs)
     prob = {p: math.exp(x) for p, x, k in zip(pieces, logs, kinds, strict=True) if k == "normal"}
 
     def every(w):
@@ -236,19 +289,20 @@ def test_lattice_sums_all_segmentations():
             return 1.0
         return sum(prob[w[:k]] * every(w[k:]) for k in range(1, len(w) + 1) if w[:k] in prob)
 
-    for w in ("river", "a", "stone", "éte"):
-        assert math.isclose(lattice.log(w.encode()), math.log(every("▁" + w)), rel_tol=1e-9)
-    short, lm.SHORT = lm.SHORT, 0
-    try:
-        plain = [lattice.log(w) for w in (b"river", "中\U0001f9ff".encode(), b"x" * 400)]
-    finally:
-        lm.SHORT = short
-    assert np.allclose(plain, [lattice.log(w) for w in (b"river", "中\U0001f9ff".encode(), b"x" * 400)])
-    from array import array
-
-    out = array("d", [0.0]) * len(pieces)
-    lattice.expect(b"river", 2.0, out)
-    assert math.isclose(sum(len(pieces[k]) * x for k, x in enumerate(out)), 2.0 * len("▁river"), rel_tol=1e-9)
+    some = ("river", "a", "stone", "\u00e9te", "x" * 14)
+    assert np.allclose(lattice.logs_of([w.encode() for w in some]), [math.log(every("\u2581" + w)) for w in some], rtol=1e-12)
+    long = lattice.logs_of([b"x" * 5000, b"", b"ab" * 70_000])
+    assert np.isfinite(long).all() and long[1] == lattice.end and long[2] < -10_000
+    out = lattice.expected([b"river", b"stone", b""])
+    assert math.isclose(sum(len(pieces[k]) * x for k, x in enumerate(out)), len("\u2581river\u2581stone"), rel_tol=1e-9)
+
+
+def test_lattice_probabilities_add_up_to_at_most_one():
+    pieces, kinds = ["\u2581", "\u2581a", "a", "b", "ab", "<0x63>", "</s>", "bb"], ["normal"] * 5 + ["byte", "end", "normal"]
+    lattice = lm.Lattice(lm.Vocabulary(pieces, kinds), lm.logs_of([3.0, 1.0, 2.0, 1.0, 1.0, 0.5, 1.0, 0.5]))
+    words = [bytes(w) for n in range(1, 11) for w in itertools.product(b"ab", repeat=n)]
+    total = math.fsum(np.exp(lattice.logs_of(words))) + math.exp(lattice.end)
+    assert 0.3 < total < 1.0
 
 
 # 7

@@ -1,30 +1,32 @@
 r"""LM scores of whole texts: marginal likelihood over all subword segmentations.
 
-The pieces are those of an existing subword vocabulary. Its scores give the first weights of the pieces; EM_STEPS rounds of
-expectation maximisation over the training documents' distinct words then set the weights. A word, with the vocabulary's
-mark for a word's beginning, has a lattice of all its segmentations, and a forward recursion sums them; it runs on
-logarithms, or on plain probabilities where a word is so short that they can't vanish. Characters that the vocabulary
-lacks fall back to pieces for their bytes. A text's log10 probability is the sum over its words and one end.
+The pieces are those of an existing subword vocabulary, and its scores are their first weights. EM_STEPS rounds of expectation
+maximisation over the training documents' distinct words follow, in which the first weights stay as PRIOR pseudo-counts, so
+scores of the vocabulary weigh all segmentations throughout and those of rare pieces most. A word, with the vocabulary's
+mark for a word's beginning, has a lattice of all its segmentations, and a forward recursion on logarithms sums them, for
+many words at once, position by position. Characters that the vocabulary lacks fall back to pieces for their bytes. A text's
+log10 probability is the sum over its words and one end.
 
 The lattice of a word that occurs c times in training has one more arc, the word as a whole, of weight (c - d) / N. The discount
 d is the usual n1 / (n1 + 2 n2), of how many words occur once and twice; what it takes from all words, d V / N, is the
-weight of the segmentations into pieces. So probabilities still add up to one over all texts.
+weight of the segmentations into pieces. So probabilities of all texts add up to at most one: what is missing is the weight of
+byte pieces in orders that are no text, and of pieces that hold a mark inside.
 
 Counts of words pass through one shuffle and stay a table. The HOT most frequent words (about; never more) are broadcast
 with their counts, and what a text holds beside them is joined with the table, so base scores are exact for every word.
 
 Defined results: null and empty texts hold the end alone. A null id counts as the empty text for the held-out remainder.
 Repeated rows are scored one by one, and each counts in training. With no training documents all counts are 0 and the
-first weights stay. Empty tables give no rows.
+first weights stay. Very long texts and words are scored whole. Other columns take no part, whatever their names. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from array import array
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -33,142 +35,152 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import Memo, kept, long_texts, settled
+from threadloom.llm.common import ENTRY, kept, long_texts, settled
 from threadloom.llm.token_counts import tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 MODULUS, HELD_OUT = 7, 2
 EM_STEPS = 2
-#: Added to every piece's expected count.
-ALPHA = 0.05
+#: Pseudo-counts that the first weights have together.
+PRIOR = 2000.0
 HOT = 500_000
-#: Distinct words that a task counts before it passes them on, and bytes of the words whose probability a worker remembers.
-TOGETHER, WORD_BYTES = 400_000, 64 << 20
-#: Words of up to so many bytes are summed as plain probabilities.
-SHORT = 30
-PIECE = -1
+#: Distinct words that a task counts before it passes them on, bytes of the words whose probability a worker remembers, and characters of words that are summed at once.
+TOGETHER, WORD_BYTES, CHARACTERS = 400_000, 64 << 20, 1 << 17
+#: The log of a piece that never occurs.
+NEVER = -745.0
+MARK, CODE_BITS = "\u2581", 21
 
 
-class Lattice:
-    """Pieces and their log probabilities."""
+class Vocabulary:
+    """Pieces, and the tree of their characters as sorted numbers (node << CODE_BITS | character) of its edges."""
 
-    def __init__(self, pieces: list[str], kinds: list[str], logs: list[float]):
-        self.pieces, self.kinds, self.logs = pieces, kinds, logs
-        self.probs = [math.exp(x) for x in logs]
-        self.trie: dict = {}
-        self.byte = [0] * 256
+    def __init__(self, pieces: list[str], kinds: list[str]):
+        self.kinds, self.byte = kinds, np.zeros(256, np.int64)
+        edges: dict[int, int] = {}
+        ends = [-1]
         for i, (p, kind) in enumerate(zip(pieces, kinds, strict=True)):
             if kind == "byte":
                 self.byte[int(p[3:-1], 16)] = i
             elif kind == "normal":
-                node = self.trie
+                node = 0
                 for c in p:
-                    node = node.setdefault(c, {})
-                node[PIECE] = i
-
-    def arcs(self, word: str) -> list[tuple[int, int, int]]:
-        """(from, to, piece), in the order of their beginnings. Fallback arcs have piece -1."""
-        out = []
-        for i in range(len(word)):
-            node, alone = self.trie, False
-            for j in range(i, len(word)):
-                node = node.get(word[j])
-                if node is None:
-                    break
-                piece = node.get(PIECE)
-                if piece is not None:
-                    out.append((i, j + 1, piece))
-                    alone |= j == i
-            if not alone:
-                out.append((i, i + 1, -1))
+                    key = node << CODE_BITS | ord(c)
+                    node = edges.setdefault(key, len(ends))
+                    if node == len(ends):
+                        ends.append(-1)
+                ends[node] = i
+        self.keys = np.array(sorted(edges), np.int64)
+        self.to = np.array([edges[k] for k in self.keys.tolist()], np.int64)
+        self.ends = np.array(ends, np.int64)
+
+
+class Arcs:
+    """The lattices of some words: arcs from node to node. A word of n characters has n + 1 nodes in a row."""
+
+    def __init__(self, vocabulary: Vocabulary, logs: np.ndarray, tokens: list[bytes]):
+        words = [MARK + t.decode("utf-8", "surrogatepass") for t in tokens]
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        sizes = np.array(list(map(len, words)), np.int64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        begin = np.cumsum(sizes) - sizes
+        place = np.arange(len(codes)) - begin[word]
+        left = sizes[word] - place
+        at, state, length = np.arange(len(codes)), np.zeros(len(codes), np.int64), 0
+        alone = np.zeros(len(codes), bool)
+        sources, lengths, pieces = [], [], []
+        while len(at):
+            key = state << CODE_BITS | codes[at + length]
+            k = np.minimum(np.searchsorted(vocabulary.keys, key), len(vocabulary.keys) - 1)
+            hit = vocabulary.keys[k] == key
+            at, state = at[hit], vocabulary.to[k[hit]]
+            length += 1
+            piece = vocabulary.ends[state]
+            is_piece = piece >= 0
+            sources.append(at[is_piece])
+            lengths.append(np.full(int(is_piece.sum()), length))
+            pieces.append(piece[is_piece])
+            if length == 1:
+                alone[sources[0]] = True
+            more = left[at] > length
+            at, state = at[more], state[more]
+        rest = np.flatnonzero(~alone)
+        sources.append(rest)
+        lengths.append(np.ones(len(rest), np.int64))
+        pieces.append(np.full(len(rest), -1))
+        source, length, self.piece = np.concatenate(sources), np.concatenate(lengths), np.concatenate(pieces)
+        #: fallback characters, each with the pieces of its bytes
+        self.fallback, self.which = np.unique(codes[rest], return_inverse=True)
+        self.bytes_of = [vocabulary.byte[list(chr(c).encode("utf-8", "surrogatepass"))] for c in self.fallback.tolist()]
+        self.log = np.empty(len(source))
+        self.log[: len(source) - len(rest)] = logs[self.piece[: len(source) - len(rest)]]
+        self.log[len(source) - len(rest) :] = np.array([logs[b].sum() for b in self.bytes_of])[self.which] if len(rest) else 0.0
+        self.source = source + word[source]
+        self.to = self.source + length
+        self.position, self.word = place[source], word[source]
+        self.reach = self.position + length
+        self.first = begin + np.arange(len(words))
+        self.last = self.first + sizes
+
+    def _summed(self, value: np.ndarray, by: np.ndarray, other: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Sums over arcs, in the order of places `at`: value[by] = log of the sum of exp(value[other] + log)."""
+        by, other, log, at = by[order], other[order], self.log[order], at[order]
+        heads = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
+        steps = np.flatnonzero(np.r_[True, at[heads][1:] != at[heads][:-1]])
+        for a, b in zip(steps.tolist(), [*steps[1:].tolist(), len(heads)], strict=True):
+            lo, hi = heads[a], heads[b] if b < len(heads) else len(by)
+            x = value[other[lo:hi]] + log[lo:hi]
+            starts = heads[a:b] - lo
+            most = np.maximum.reduceat(x, starts)
+            value[by[heads[a:b]]] = most + np.log(np.add.reduceat(np.exp(x - np.repeat(most, np.diff(np.r_[starts, hi - lo]))), starts))
+        return value
+
+    def forward(self) -> np.ndarray:
+        """For each node the log of the summed probability of all ways to it."""
+        value = np.full(int(self.last[-1]) + 1, -np.inf)
+        value[self.first] = 0.0
+        return self._summed(value, self.to, self.source, np.lexsort((self.to, self.reach)), self.reach)
+
+    def backward(self) -> np.ndarray:
+        value = np.full(int(self.last[-1]) + 1, -np.inf)
+        value[self.last] = 0.0
+        return self._summed(value, self.source, self.to, np.lexsort((self.source, -self.position)), self.position)
+
+
+class Lattice:
+    """A vocabulary and the logs of its pieces' probabilities."""
+
+    def __init__(self, vocabulary: Vocabulary, logs: list[float]):
+        self.vocabulary, self.logs = vocabulary, np.array(logs)
+        self.end = logs[vocabulary.kinds.index("end")]
+
+    def _parts(self, tokens: list[bytes]) -> Iterator[np.ndarray]:
+        """Numbers of the words, those of like lengths together."""
+        sizes = np.array(list(map(len, tokens)), np.int64)
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        part = np.cumsum(sizes[order] + 2) // CHARACTERS
+        return iter(np.split(order, np.flatnonzero(np.diff(part)) + 1)) if len(order) else iter(())
+
+    def logs_of(self, tokens: list[bytes]) -> np.ndarray:
+        """Logs of the words' marginal probabilities; of an end, the empty word."""
+        out = np.full(len(tokens), self.end)
+        for some in self._parts(tokens):
+            arcs = Arcs(self.vocabulary, self.logs, [tokens[i] for i in some.tolist()])
+            out[some] = arcs.forward()[arcs.last]
         return out
 
-    def _bytes(self, c: str) -> list[int]:
-        return [self.byte[b] for b in c.encode("utf-8", "surrogatepass")]
-
-    def log(self, token: bytes) -> float:
-        """Log of a word's marginal probability."""
-        word = "▁" + token.decode("utf-8", "surrogatepass")
-        if len(token) <= SHORT:
-            f = [0.0] * (len(word) + 1)
-            f[0] = 1.0
-            probs, trie = self.probs, self.trie
-            for i, start in enumerate(word):
-                if not (here := f[i]):
-                    continue
-                node = trie.get(start)
-                if node is None or PIECE not in node:
-                    f[i + 1] += here * math.prod(probs[b] for b in self._bytes(start))
-                j = i
-                while node is not None:
-                    j += 1
-                    if PIECE in node:
-                        f[j] += here * probs[node[PIECE]]
-                    if j == len(word):
-                        break
-                    node = node.get(word[j])
-            if f[-1] > 1e-250:
-                return math.log(f[-1])
-        a = [-math.inf] * (len(word) + 1)
-        a[0] = 0.0
-        for i, j, piece in self.arcs(word):
-            x = a[i] + (self.logs[piece] if piece >= 0 else sum(self.logs[b] for b in self._bytes(word[i])))
-            hi, lo = (x, a[j]) if x > a[j] else (a[j], x)
-            a[j] = hi + math.log1p(math.exp(lo - hi)) if lo > -math.inf else hi
-        return a[-1]
-
-    def expect(self, token: bytes, count: float, out: array) -> None:
-        """Adds the expected number of each piece in `count` occurrences of a word."""
-        word = "▁" + token.decode("utf-8", "surrogatepass")
-        n = len(word)
-        if len(token) <= SHORT:
-            probs, trie = self.probs, self.trie
-            f, b, trail = [0.0] * (n + 1), [0.0] * (n + 1), []
-            f[0] = b[n] = 1.0
-            for i, start in enumerate(word):
-                if not (here := f[i]):
-                    continue
-                node = trie.get(start)
-                if node is None or PIECE not in node:
-                    w = math.prod(probs[k] for k in self._bytes(start))
-                    f[i + 1] += here * w
-                    trail.append((i, i + 1, -1, w))
-                j = i
-                while node is not None:
-                    j += 1
-                    piece = node.get(PIECE)
-                    if piece is not None:
-                        w = probs[piece]
-                        f[j] += here * w
-                        trail.append((i, j, piece, w))
-                    if j == n:
-                        break
-                    node = node.get(word[j])
-            if f[n] > 1e-250:
-                scale = count / f[n]
-                for i, j, piece, w in reversed(trail):
-                    w *= b[j]
-                    if not w:
-                        continue
-                    b[i] += w
-                    if piece >= 0:
-                        out[piece] += f[i] * w * scale
-                    else:
-                        for k in self._bytes(word[i]):
-                            out[k] += f[i] * w * scale
-                return
-        arcs = self.arcs(word)
-        logs = [self.logs[p] if p >= 0 else sum(self.logs[k] for k in self._bytes(word[i])) for i, _, p in arcs]
-        a, z = np.full(n + 1, -math.inf), np.full(n + 1, -math.inf)
-        a[0] = z[n] = 0.0
-        for (i, j, _), w in zip(arcs, logs, strict=True):
-            a[j] = np.logaddexp(a[j], a[i] + w)
-        for (i, j, _), w in zip(reversed(arcs), reversed(logs), strict=True):
-            z[i] = np.logaddexp(z[i], z[j] + w)
-        for (i, j, p), w in zip(arcs, logs, strict=True):
-            x = count * math.exp(min(0.0, a[i] + w + z[j] - a[n]))
-            for k in [p] if p >= 0 else self._bytes(word[i]):
-                out[k] += x
+    def expected(self, tokens: list[bytes]) -> np.ndarray:
+        """How often each piece is expected where every word occurs once."""
+        out = np.zeros(len(self.logs))
+        for some in self._parts(tokens):
+            arcs = Arcs(self.vocabulary, self.logs, [tokens[i] for i in some.tolist()])
+            f, b = arcs.forward(), arcs.backward()
+            n = np.exp(np.minimum(0.0, f[arcs.source] + arcs.log + b[arcs.to] - f[arcs.last][arcs.word]))
+            normal = arcs.piece >= 0
+            out += np.bincount(arcs.piece[normal], n[normal], len(out))
+            for pieces, x in zip(arcs.bytes_of, np.bincount(arcs.which, n[~normal], len(arcs.bytes_of)).tolist(), strict=True):
+                np.add.at(out, pieces, x)
+        return out
 
 
 def first_weights(path: str) -> tuple[list[str], list[str], list[float]]:
@@ -187,7 +199,7 @@ def first_weights(path: str) -> tuple[list[str], list[str], list[float]]:
 
 def logs_of(weights: list[float]) -> list[float]:
     total = math.fsum(weights)
-    return [math.log(w / total) if w > 0 else -745.0 for w in weights]
+    return [math.log(w / total) if w > 0 else NEVER for w in weights]
 
 
 def lowered(text: str | None) -> list[bytes]:
@@ -215,50 +227,62 @@ def counted(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def expectation(counts: DataFrame, pieces: list[str], kinds: list[str], logs: list[float]) -> list[float]:
-    """Weights of the pieces after one step over all words, each once, as for what has not been seen. At most one row a piece and task is shuffled, one a piece collected."""
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of so many words that it pays to sum them at once, and no more characters than bound a task's memory."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.get_total_buffer_size()
+        if size > 1 << 22:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def expectation(counts: DataFrame, vocabulary: Vocabulary, logs: list[float]) -> np.ndarray:
+    """Expected counts of the pieces over all words, each once, as for what has not been seen. At most one row a piece and task is shuffled, one a piece collected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, out = Lattice(pieces, kinds, logs), array("d", [0.0]) * len(pieces)
-        for b in batches:
-            for w in b.column(0).to_pylist():
-                if w:
-                    lattice.expect(w, 1.0, out)
-        found = np.frombuffer(out)
+        lattice, found = Lattice(vocabulary, logs), np.zeros(len(logs))
+        for t in together(batches):
+            found += lattice.expected([w for w in t.column(0).to_pylist() if w])
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at])], ["piece", "n"])
 
-    rows = counts.select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    weights = [0.0 if k == "none" else ALPHA for k in kinds]
-    for r in rows:
-        weights[r["piece"]] += r["n"]
-    return weights
+    out = np.zeros(len(logs))
+    for r in counts.select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+        out[r["piece"]] = r["n"]
+    return out
 
 
-def logs_of_words(counts: DataFrame, pieces: list[str], kinds: list[str], logs: list[float]) -> DataFrame:
+def logs_of_words(counts: DataFrame, vocabulary: Vocabulary, logs: list[float]) -> DataFrame:
     """word, c, p: log probability of each word by its pieces, or of an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log = piece_log(Lattice(pieces, kinds, logs))
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([log(w) for w in b.column(0).to_pylist()], pa.float64())], ["word", "c", "p"])
+        lattice = Lattice(vocabulary, logs)
+        for t in together(batches):
+            yield from t.append_column("p", pa.array(lattice.logs_of(t.column(0).to_pylist()))).to_batches()
 
     return counts.select("word", "c").mapInArrow(run, "word binary, c long, p double")
 
 
-def piece_log(lattice: Lattice) -> Callable[[bytes], float]:
-    end = lattice.logs[lattice.kinds.index("end")]
-    return lambda w: lattice.log(w) if w else end
-
-
-def on_worker(name: str, told: Broadcast) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, Memo]:
+class Worker:
     """What a worker makes of a broadcast model, once for all its tasks: places of frequent words, their two scores, and a memory of other words' logs."""
 
-    def make() -> tuple:
-        words, base, likely, *model = told.value
-        return {w: i for i, w in enumerate(words)}, base, likely, Memo(piece_log(Lattice(*model)), WORD_BYTES)
+    def __init__(self, told: tuple):
+        words, self.base, self.likely, *model = told
+        self.index, self.lattice = {w: i for i, w in enumerate(words)}, Lattice(*model)
+        self.logs: dict[bytes, float] = {}
+        self.held = 0
 
-    return kept(("lm", name), make)
+    def learn(self, words: list[bytes]) -> None:
+        if self.held > WORD_BYTES:
+            self.logs.clear()
+            self.held = 0
+        new = list({w for w in words if w not in self.logs})
+        self.logs.update(zip(new, self.lattice.logs_of(new).tolist(), strict=True))
+        self.held += sum(map(len, new)) + 2 * ENTRY * len(new)
 
 
 def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: int = EM_STEPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,9 +294,9 @@ def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: i
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(b""), F.col("c"))), F.lit(0)).alias("ends"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
 
     pieces, kinds, logs = first_weights(path or tokenizer_path(VOCABULARY))
+    vocabulary, first = Vocabulary(pieces, kinds), np.where(np.array(logs) > NEVER, np.exp(logs), 0.0)
     for _ in range(steps if total["v"] else 0):
-        weights = expectation(counts, pieces, kinds, logs)
-        logs = logs_of([w + 1 if k == "end" else w for w, k in zip(weights, kinds, strict=True)])
+        logs = logs_of((expectation(counts, vocabulary, logs) + PRIOR * first).tolist())
     discount = min(0.9, max(0.1, total["once"] / max(1, total["once"] + 2 * total["twice"])))
     all_tokens, left = max(1, total["n"]), discount * total["v"] / total["n"] if total["n"] else 1.0
 
@@ -285,30 +309,32 @@ def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: i
         if held > hot:
             break
         least = k
-    counts = settled(logs_of_words(counts, pieces, kinds, logs), "lm-words")
+    counts = settled(logs_of_words(counts, vocabulary, logs), "lm-words")
     frequent = counts.where(size >= least).toArrow()
     spark = docs.sparkSession
     floor = math.log10(total["n"] + total["v"] + 1)
     c = np.array(frequent.column("c"), np.int64)
     likely = np.log10((c - discount) / all_tokens + left * np.exp(np.array(frequent.column("p"), np.float64)))
-    told = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), np.log10(c + 1.0) - floor, likely, pieces, kinds, logs))
+    told = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), np.log10(c + 1.0) - floor, likely, vocabulary, logs))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, base, likely, rare_log = on_worker(name, told)
-        nothing = lambda w: None
+        worker = kept(("lm", name), lambda: Worker(told.value))
+        index, base, likely = worker.index, worker.base, worker.likely
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("p", pa.float64())]))]
         for b in batches:
-            rows = []
-            for x, new in zip(b.column(2), b.column(1).to_pylist(), strict=True):
+            rows, rare_of = [], []
+            new = b.column(1).to_pylist()
+            for x in b.column(2):
                 tokens = lowered(x.as_py())
                 tokens.append(b"")
                 at = np.fromiter(map(index.get, tokens, repeat(-1)), np.int64, len(tokens))
                 known = at[at >= 0]
-                rare = Counter([tokens[i] for i in np.flatnonzero(at < 0).tolist()]) if len(known) < len(tokens) else {}
-                # words of training documents are all in the table
-                p = rare_log.__getitem__ if new else nothing
-                rows.append((len(tokens), len(known), float(base[known].sum()), float(likely[known].sum()), [{"word": w, "n": k, "p": p(w)} for w, k in rare.items()]))
+                rare_of.append(Counter([tokens[i] for i in np.flatnonzero(at < 0).tolist()]) if len(known) < len(tokens) else {})
+                rows.append((len(tokens), len(known), float(base[known].sum()), float(likely[known].sum())))
+            # words of training documents are all in the table
+            worker.learn([w for rare, held in zip(rare_of, new, strict=True) if held for w in rare])
+            rows = [(*row, [{"word": w, "n": k, "p": worker.logs[w] if held else None} for w, k in rare.items()]) for row, rare, held in zip(rows, rare_of, new, strict=True)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(v, t) for v, t in zip(cols, kinds, strict=True))], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare"])
 
