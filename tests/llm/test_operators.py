@@ -330,7 +330,7 @@ def brute_groups(texts, size=4, percent=80):
     return sorted(((null(i), len(s), null(root(i) if s else i), not s or root(i) == i) for i, s in sets), key=repr)
 
 
-@pytest.mark.parametrize("side", [2048, 4])
+@pytest.mark.parametrize("side", [1024, 4])
 def test_near_duplicates(docs, texts, empty, monkeypatch, side):
     monkeypatch.setattr(near_dedup, "SIDE", side)
     assert rows(near_dedup.near_duplicates(docs)) == brute_groups(texts)

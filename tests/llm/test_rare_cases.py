@@ -1,15 +1,16 @@
 """Cases that small tables do not hold."""
 
 import math
+import random
 import re
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from test_operators import brute_redacted, brute_spans, check_packing
+from test_operators import brute_groups, brute_redacted, brute_spans, check_packing
 
-from threadloom.llm import packing, secrets, top_k, url_filter
+from threadloom.llm import near_dedup, packing, secrets, top_k, url_filter
 
 
 def test_top_k_of_an_id_with_several_vectors(spark):
@@ -160,3 +161,17 @@ def test_scans_of_very_many_secrets_in_one_text(spark):
         assert [got[i][f"n_{k}"] for k in ("assign", "access", "hex")] == n and got[i]["base_sha256"] == digest and got[i]["spans"] == said
     clean = {x["doc_id"]: x["text"] for x in secrets.redact(df).collect()}
     assert clean == {1: brute_redacted(text), 2: secrets.REDACTED, 3: secrets.REDACTED}
+
+
+def test_near_copies_in_large_buckets(spark, monkeypatch):
+    """Buckets of several sides, with members outside the largest group, against brute force; also sides by shingles."""
+    r = random.Random(9)
+    a, b = ([f"w{r.randint(0, 9999)}" for _ in range(80)] for _ in range(2))
+    some = [(k, " ".join(x if r.random() > 0.002 * (k % 40) else f"n{r.randint(0, 99)}" for x in (a if k % 3 else a[:40] + b[:40]))) for k in range(120)] + [(200 + k, " ".join(b[k % 5 :] + a[: k % 30])) for k in range(60)]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    want = brute_groups(some)
+    assert len({x[2] for x in want}) > 3
+    for side, shingles in ((10, 1 << 22), (1024, 400)):
+        monkeypatch.setattr(near_dedup, "SIDE", side)
+        monkeypatch.setattr(near_dedup, "SIDE_SHINGLES", shingles)
+        assert sorted((tuple(x) for x in near_dedup.near_duplicates(df).collect()), key=repr) == want

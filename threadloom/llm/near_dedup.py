@@ -6,15 +6,20 @@ r"""Near-duplicate documents: SuperMinHash signatures, banding, exact verificati
    so after one or two rounds.
 2. Texts with equal shingle sets are one class, of which one row goes on. Classes that share a band of ROWS slots meet in that
    band's bucket. With 24 bands of 3 slots, a pair of similarity 0.8 meets in none with probability 3e-8.
-3. In each bucket, pairs are compared by their whole signatures, and in the first bucket that they share only. Members with a
-   partner above CLOSE go on with their full shingle sets; similarities are then exact, and of the links found a spanning
-   forest leaves the bucket, no more rows than it has members. Buckets of more than SIDE members are compared in pairs of
-   sides of SIDE members, each in a task of its own.
-4. The links' components are found by alternating star contractions, table by table, until nothing changes.
+3. A bucket of so many members, or such long ones, that a task should not hold it, is first compared with its root alone, the
+   least member: those whose signatures are close to the root's are verified on full sets, and components of these links
+   name groups. Members of one group are connected and need not meet any more. So of a large bucket only the members
+   outside its largest group meet, each other and that group, in sides of SIDE members, two in a task. A template with
+   a hundred thousand near copies costs about as many comparisons, not their square.
+4. In each bucket, or two sides of it, pairs of different groups are compared by their whole signatures, and in the first bucket
+   that they share only. Members with a partner above CLOSE go on with their full shingle sets; similarities are then exact,
+   and of the links found a spanning forest leaves the bucket, no more rows than it has members. There too, what is
+   connected already is not compared again.
+5. The links' components are found by alternating star contractions, table by table, until nothing changes.
 
 Defined results: null text and text without words have an empty set and are linked with nothing. Texts of fewer words than a shingle
-have one shingle, the whole sequence. A null id comes after all others, stays null and is kept only where its component has
-no other id. Rows that share an id are one document: what either is linked with, both are. Repeated rows have one result
+have one shingle, the whole sequence. Very long texts take part whole. A null id comes after all others, stays null and is kept only
+where its component has no other id. Rows that share an id are one document: what either is linked with, both are. Repeated rows have one result
 each. Empty tables give no rows. Columns of any name stay as they are.
 """
 
@@ -34,7 +39,8 @@ SHINGLE, PERCENT = 4, 80
 SLOTS, ROWS = 72, 3
 #: Equal slots of 72 below which a pair is not verified: five standard deviations below 0.8.
 CLOSE = 40
-SIDE = 2048
+#: Members in a side of a large bucket, and shingles that they have together.
+SIDE, SIDE_SHINGLES = 1024, 1 << 22
 #: Shingles whose signatures are made together.
 TOGETHER = 1 << 17
 #: Ids of texts to read again are broadcast up to this number, and joined beyond it.
@@ -153,6 +159,7 @@ def close_members(t: pa.Table, close: int = CLOSE, slots: int = SLOTS, rows: int
     """Of one bucket and pair of sides: members with a partner that looks close, where this band is the first that the pair shares."""
     band, sides = t.column("band")[0].as_py(), np.array(t.column("side"))
     sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(t), slots)
+    group = np.array(t.column("g"))
     own = t.column("i")[0].as_py() == t.column("j")[0].as_py()
     left, right = (np.arange(len(t)),) * 2 if own else (np.flatnonzero(sides == t.column("i")[0].as_py()), np.flatnonzero(sides != t.column("i")[0].as_py()))
     found = np.zeros(len(t), bool)
@@ -168,11 +175,11 @@ def close_members(t: pa.Table, close: int = CLOSE, slots: int = SLOTS, rows: int
                 run = e if s % rows == 0 else run & e
                 if s % rows == rows - 1:
                     earlier |= run
-        hit = (equal >= close) & ~earlier & (some[:, None] != right[None, :])
+        hit = (equal >= close) & ~earlier & (group[some][:, None] != group[right][None, :])
         found[some[hit.any(axis=1)]] = True
         found[right[hit.any(axis=0)]] = True
     c = t.column("c")
-    key = [t.column(k)[0].as_py() for k in ("band", "bucket", "i", "j")]
+    key = [t.column(k)[0].as_py() for k in KEY]
     return [(*key, c[int(i)].as_py()) for i in np.flatnonzero(found)]
 
 
@@ -183,7 +190,7 @@ def exact_links(t: pa.Table, percent: int = PERCENT) -> list[tuple]:
     sizes = np.array([len(s) for s in sets], np.int64)
     every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
+    all_ = every[order], owner[order]
     up = list(range(len(c)))
 
     def root(x: int) -> int:
@@ -192,16 +199,29 @@ def exact_links(t: pa.Table, percent: int = PERCENT) -> list[tuple]:
             x = up[x]
         return x
 
-    for x in range(len(c) - 1):
+    # the largest component so far, and the postings of what is outside: its members look for others there
+    home, outside = -1, all_
+    for x in range(len(c)):
+        every, owner = outside if root(x) == home else all_
         lo = np.searchsorted(every, sets[x])
         n = np.searchsorted(every, sets[x], side="right") - lo
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         both = np.bincount(owner[at], minlength=len(c))
-        linked = np.flatnonzero(100 * both >= percent * (sizes[x] + sizes - both))
-        for y in linked[linked > x].tolist():
+        grown = False
+        for y in np.flatnonzero(100 * both >= percent * (sizes[x] + sizes - both)).tolist():
             a, b = root(x), root(y)
             if a != b:
                 up[max(a, b)] = min(a, b)
+                grown = True
+        if grown:
+            roots = np.array([root(i) for i in range(len(c))])
+            found, size = np.unique(roots, return_counts=True)
+            if len(found) == 1:
+                break
+            most = int(found[size.argmax()])
+            every, owner = outside if most == home else all_
+            keep = roots[owner] != most
+            home, outside = most, (every[keep], owner[keep])
     out = []
     for x in range(len(c)):
         r = root(x)
@@ -210,6 +230,29 @@ def exact_links(t: pa.Table, percent: int = PERCENT) -> list[tuple]:
     return out
 
 
+KEY = ("band", "bucket", "i", "j")
+
+
+def near_root(batches: Iterator[pa.RecordBatch], close: int = CLOSE) -> Iterator[pa.RecordBatch]:
+    """c, root, sig, root_sig -> the pairs (c, root) whose signatures are close."""
+    for b in batches:
+        own, other = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(len(b), -1) for k in (2, 3))
+        near = pa.array((own == other).sum(axis=1) >= close) if len(b) else pa.array([], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], ["c", "root"])
+
+
+def similar_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """u, v and their full sets -> the pairs (u, v) that are linked."""
+    for b in batches:
+        linked = []
+        for x, y in zip(b.column(2), b.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            linked.append(100 * both >= percent * (len(x) + len(y) - both))
+        linked = pa.array(linked, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(linked), b.column(1).filter(linked)], ["u", "v"])
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root: for each node of edges (u, v) the least node that it is connected with.
 
@@ -240,35 +283,60 @@ def grouped_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     long_texts(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text_col).alias("text"))
     rows = settled(texts.mapInArrow(lambda b: _signed(b, size), "id long, n long, a long, b long, sig binary"), "near-signatures")
-    classes = settled(rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("first"), F.any_value("sig").alias("sig")).withColumn("c", F.monotonically_increasing_id()), "near-classes")
-
-    bands = classes.select("c", F.posexplode(F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(SLOTS // ROWS)))).alias("band", "bucket"))
-    shared = bands.groupBy("band", "bucket").agg(F.count("*").alias("k")).where("k > 1")
-    members = bands.join(shared, ["band", "bucket"]).join(classes.select("c", "sig"), "c")
-    # sides of a large bucket meet two by two; a small bucket has one side, which meets itself
-    sides = F.ceil(F.col("k") / SIDE).cast("int")
-    members = members.withColumn("side", F.pmod(F.xxhash64("c"), sides).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), sides - 1), lambda o: F.struct(F.least("side", o).alias("i"), F.greatest("side", o).alias("j")))
-    members = members.withColumn("sides", F.explode(meet)).select("band", "bucket", "sides.i", "sides.j", "side", "c", "sig")
-    key = ["band", "bucket", "i", "j"]
+    classes = settled(rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("first"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")).withColumn("c", F.monotonically_increasing_id()), "near-classes")
+
+    bands = classes.select("c", "n", F.posexplode(F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(SLOTS // ROWS)))).alias("band", "bucket"))
+    sides = lambda k, n: F.greatest(F.ceil(k / SIDE), F.ceil(n / SIDE_SHINGLES)).cast("int")
+    shared = settled(bands.groupBy("band", "bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("c").alias("root")).where("k > 1").select("band", "bucket", "root", sides(F.col("k"), F.col("n")).alias("sides")), "near-buckets")
+    signed = classes.select("c", "n", "sig")
+
+    def full_sets(some: DataFrame) -> DataFrame:
+        """c, shingles: the full sets of some classes (c), from the texts themselves."""
+        wanted = settled(some.distinct().join(classes.select("c", "first", "a", "b"), "c"), "near-wanted")
+        ids = wanted.select(F.col("first").alias("id")).distinct()
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, len(b), 1000):
+                    found = [shingles(x.as_py(), size) for x in b.column(1).slice(at, 1000)]
+                    yield pa.RecordBatch.from_arrays([pa.array([int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in found], pa.int64()), pa.array([int(mixed(s ^ np.uint64(BASES[1])).sum(dtype=np.uint64).view(np.int64)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["a", "b", "shingles"])
+
+        return settled(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "a long, b long, shingles binary").join(wanted, ["a", "b"]).dropDuplicates(["c"]).select("c", "shingles"), "near-sets")
+
+    # large buckets: links with their roots, and the groups that these make
+    large = shared.where("sides > 1")
+    if large.isEmpty():
+        stars = None
+        members = bands.join(shared, ["band", "bucket"]).select("band", "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "c", F.col("c").alias("g"))
+    else:
+        rooted = bands.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, ["band", "bucket"]).where("c <> root").select("c", "root").distinct()
+        rooted = rooted.join(signed.select("c", "sig"), "c").join(signed.select(F.col("c").alias("root"), F.col("sig").alias("root_sig")), "root")
+        rooted = settled(rooted.select("c", "root", "sig", "root_sig").mapInArrow(near_root, "c long, root long"), "near-rooted")
+        full = full_sets(rooted.select(F.explode(F.array("c", "root")).alias("c")))
+        both = rooted.join(full, "c").join(full.select(F.col("c").alias("root"), F.col("shingles").alias("root_shingles")), "root")
+        stars = settled(both.select(F.col("c").alias("u"), F.col("root").alias("v"), "shingles", "root_shingles").mapInArrow(lambda b: similar_pairs(b, percent), "u long, v long"), "near-stars")
+        groups = components(stars, "near-groups").select(F.col("node").alias("c"), F.col("root").alias("g"))
+        named = bands.join(shared, ["band", "bucket"]).join(groups, "c", "left").withColumn("g", F.coalesce("g", "c"))
+        # the largest group of a large bucket is its home; all members of another bucket are outside
+        homes = named.where("sides > 1").groupBy("band", "bucket", "g").agg(F.count("*").alias("k"), F.sum("n").alias("n")).groupBy("band", "bucket").agg(
+            F.max_by("g", F.struct("k", "g")).alias("home"), F.max_by("k", F.struct("k", "g")).alias("_k"), F.max_by("n", F.struct("k", "g")).alias("_n"), F.sum("k").alias("k"), F.sum("n").alias("n")
+        )
+        homes = homes.select("band", "bucket", "home", sides(F.col("k") - F.col("_k"), F.col("n") - F.col("_n")).alias("out"), sides(F.col("_k"), F.col("_n")).alias("in"))
+        named = named.join(homes, ["band", "bucket"], "left").withColumn("out", F.coalesce("out", F.lit(1))).withColumn("in", F.coalesce("in", F.lit(0)))
+        at_home = F.coalesce(F.col("g") == F.col("home"), F.lit(False))
+        named = named.withColumn("side", F.when(at_home, F.col("out") + F.pmod(F.xxhash64("c"), F.col("in"))).otherwise(F.pmod(F.xxhash64("c"), F.greatest("out", F.lit(1)))).cast("int"))
+        # sides outside meet all sides, those at home the ones outside
+        others = F.filter(F.sequence(F.lit(0), F.col("out") + F.col("in")), lambda o: (o < F.col("out") + F.col("in")) & (~at_home | (o < F.col("out"))))
+        members = named.withColumn("meet", F.explode(F.transform(others, lambda o: F.struct(F.least("side", o).alias("i"), F.greatest("side", o).alias("j"))))).select("band", "bucket", "meet.i", "meet.j", "side", "c", "g")
+    members = members.join(signed.select("c", "sig"), "c").select(*KEY, "side", "c", "g", "sig")
     kinds = [("band", pa.int32()), ("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("c", pa.int64())]
-    close = settled(members.repartition(*key).sortWithinPartitions(*key).mapInArrow(grouped(key, close_members, pa.schema(kinds)), "band int, bucket long, i int, j int, c long"), "near-close")
-
-    # full sets of the classes that are left, from the texts themselves
-    wanted = settled(close.select("c").distinct().join(classes.select("c", "first", "a", "b"), "c"), "near-wanted")
-    ids = wanted.select(F.col("first").alias("id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, len(b), 1000):
-                found = [shingles(x.as_py(), size) for x in b.column(1).slice(at, 1000)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in found], pa.int64()), pa.array([int(mixed(s ^ np.uint64(BASES[1])).sum(dtype=np.uint64).view(np.int64)) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["a", "b", "shingles"])
-
-    full = settled(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "a long, b long, shingles binary").join(wanted, ["a", "b"]).dropDuplicates(["c"]).select("c", "shingles"), "near-sets")
-    compared = close.join(full, "c").select(*key, "c", "shingles").repartition(*key).sortWithinPartitions(*key)
-    links = compared.mapInArrow(grouped(key, lambda t: exact_links(t, percent), pa.schema([("u", pa.int64()), ("v", pa.int64())])), "u long, v long")
+    close = settled(members.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(grouped(list(KEY), close_members, pa.schema(kinds)), "band int, bucket long, i int, j int, c long"), "near-close")
+    compared = close.join(full_sets(close.select("c")), "c").select(*KEY, "c", "shingles").repartition(*KEY).sortWithinPartitions(*KEY)
+    links = compared.mapInArrow(grouped(list(KEY), lambda t: exact_links(t, percent), pa.schema([("u", pa.int64()), ("v", pa.int64())])), "u long, v long")
+    if stars is not None:
+        links = links.unionByName(stars)
     # documents are the nodes; classes stand for their first document
     first = classes.select("c", "first")
     links = links.join(first.select(F.col("c").alias("u"), F.col("first").alias("x")), "u").join(first.select(F.col("c").alias("v"), F.col("first").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v"))
