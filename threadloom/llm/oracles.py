@@ -1,14 +1,15 @@
 """The queries' results in DuckDB SQL, written from the contracts and apart from the operators."""
 
+from threadloom.llm.quality import CUTOFFS, LEVEL, RISK, RULES
+
 #: The words of a text.
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
-def _quality() -> str:
-    from threadloom.llm.quality import CUTOFFS, LEVEL, RISK, RULES
+def _quality(risk: float = RISK, level: float = LEVEL) -> str:
 
     score = {"symbols": "1000 * n_symbols // greatest(word_chars, 1)", "capitals": "1000 * n_capitals // greatest(word_chars, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)", "lines": "1000 * n_dup_lines // greatest(n_lines, 1)"}
-    risk = RISK / len(RULES)
+    risk /= len(RULES)
     judged = ", ".join(f"{score[r]} AS {r}" for r in RULES)
     counts = " UNION ALL ".join(f"SELECT lang, '{r}' AS rule, cut, count(*) AS n, count_if({r} > cut) AS wrong FROM good, cuts GROUP BY lang, cut" for r in RULES)
     over = " OR ".join(f"coalesce(s.{r} > (SELECT min(cut) FROM chosen c WHERE c.lang = s.lang AND c.rule = '{r}'), false)" for r in RULES)
@@ -33,7 +34,7 @@ good AS (SELECT lang, text, any_value(symbols) AS symbols, any_value(capitals) A
 labelled AS (SELECT count(DISTINCT lang) AS strata FROM good),
 cuts AS (SELECT unnest({list(CUTOFFS)}) AS cut),
 counts AS ({counts}),
-bound AS (SELECT lang, rule, cut, n, wrong, wrong < n * {risk!r} AND list_sum(list_transform(range(0, (wrong + 1)::BIGINT), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))) <= {LEVEL!r} / (strata * {len(RULES)}) AS sure FROM counts, labelled),
+bound AS (SELECT lang, rule, cut, n, wrong, wrong < n * {risk!r} AND list_sum(list_transform(range(0, (wrong + 1)::BIGINT), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))) <= {level!r} / (strata * {len(RULES)}) AS sure FROM counts, labelled),
 chosen AS (SELECT lang, rule, cut FROM (SELECT *, bool_and(sure) OVER (PARTITION BY lang, rule ORDER BY cut DESC) AS so_far FROM bound) WHERE so_far)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over.replace('s.lines >', 's.lines_ >')}) AS kept FROM (SELECT * EXCLUDE (lines), {score['lines']} AS lines_ FROM s) s
 """
@@ -47,6 +48,9 @@ def _add(name: str, sql: str) -> None:
 
 
 _add("op1_quality_rules", _quality())
+#: Wide risks, with which few labels certify cutoffs already: risk and level.
+LAX = 0.4, 0.2
+_add("quality_rules_lax", _quality(*LAX))
 
 
 def _secrets() -> str:

@@ -5,13 +5,13 @@ score exceeds the rule's cutoff. Cutoffs come from the labelled documents: for e
 from the laxest to the strictest, and one is certified if the exact (Clopper-Pearson) upper bound on the share of good
 documents that it rejects is at most `risk / number of rules`, at a level of `level / (strata * rules)`. The first
 failure ends the sequence (fixed-sequence testing needs no further correction within it), Bonferroni's correction covers
-strata and rules, and the rules' risks add up to at most `risk`. So with probability 1 - level, in no stratum are more
-than `risk` of the good documents that pass the base rules rejected. A stratum with too few labels certifies nothing and
-keeps whatever the base rules keep.
+strata and rules, and the rules' risks add up to at most `risk`. Equal texts are one text here, as copies are no independent
+evidence. So with probability 1 - level, in no stratum are more than `risk` of the distinct good texts that pass the base
+rules rejected. A stratum with too few labels certifies nothing and keeps whatever the base rules keep.
 
 Defined results: null or empty text has no words, so base_failed is true. A null stratum is a stratum of its own. Null
 labels count as no label; of several labels for a document or for equal texts of a stratum the best counts, and equal
-texts count once. Repeated rows are judged one by one, each alike. Empty tables give empty results, and without labels
+texts count once. Repeated rows are judged one by one, each alike; very long texts are judged whole. Empty tables give empty results, and without labels
 no cutoff is certified. Input columns of any name, also those named as the outputs, stay as they are in `filter_rules`.
 """
 
@@ -49,6 +49,8 @@ CUTOFFS = tuple(range(950, 0, -50))
 RISK, LEVEL = 0.02, 0.05
 #: Thresholds of up to so many strata are broadcast; more are joined.
 BROADCAST_STRATA = 10_000
+#: Ids of labelled documents are broadcast up to this number; with more, features of all documents are joined with the labels.
+BROADCAST_LABELS = 2_000_000
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals", "n_lines"]
 SCHEMA = T.StructType([T.StructField(x, T.LongType(), False) for x in [*FEATURES, "text_hash"]])
@@ -184,8 +186,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def filter_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """The rows of docs that are kept, with docs' own columns. Texts never move: cutoffs come from a pass over features, and the second pass judges each row where it lies."""
-    first = settled(with_features(docs, text_col, {"id": F.col(id_col), "stratum": stratum(stratum_col)}), "quality-features")
+    """The rows of docs that are kept, with docs' own columns. Texts never move: cutoffs come from the features of labelled documents, and the second pass judges each row where it lies."""
+    known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").alias("_labelled")).distinct()
+    some = docs.select(F.col(id_col).alias("id"), stratum(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
+    if known.count() <= BROADCAST_LABELS:
+        some = some.join(F.broadcast(known), F.col("id") == F.col("_labelled"), "left_semi")
+    first = settled(with_features(some, "text", {"id": F.col("id"), "stratum": F.col("stratum")}), "quality-features")
     cutoffs = thresholds(first, labels, risk, level)
     found = with_features(docs, text_col, {"doc": F.struct(*(F.col(f"`{c}`") for c in docs.columns)), "stratum": stratum(stratum_col)})
     return verdicts(found, cutoffs).where("kept").select("doc.*")
