@@ -175,3 +175,36 @@ def test_near_copies_in_large_buckets(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, "SIDE", side)
         monkeypatch.setattr(near_dedup, "SIDE_SHINGLES", shingles)
         assert sorted((tuple(x) for x in near_dedup.near_duplicates(df).collect()), key=repr) == want
+
+
+def test_substrings_keep_columns_of_any_name(spark):
+    from threadloom.llm import substrings
+
+    passage = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(1, passage, True, "x", 5, 6), (2, f"a {passage}", False, None, 7, 8)], "doc_id long, text string, __null boolean, null string, c0 long, c1 long")
+    got = sorted(map(tuple, substrings.remove_repeated(df).collect()))
+    assert got == [(1, passage, True, "x", 5, 6), (2, "a", False, None, 7, 8)]
+
+
+def test_two_rows_of_a_sketch_mistake_fewer_windows():
+    from threadloom.llm import substrings
+
+    h = np.random.default_rng(1).integers(0, 1 << 63, 1 << 20, dtype=np.uint64)
+    wrong = np.ones(len(h), bool)
+    shares = []
+    for row in range(2):
+        cell = substrings.cells(h, 1, row)
+        _, inverse, n = np.unique(cell, return_inverse=True, return_counts=True)
+        wrong &= n[inverse] > 1
+        shares.append(wrong.mean())
+    assert 0.05 < shares[0] < 0.07 and 0.003 < shares[1] < 0.005
+
+
+def test_lax_risks_certify_cutoffs_on_small_tables(spark):
+    from threadloom.llm import quality, queries
+
+    got = queries.quality_rules_lax(spark, "/root/testdata/sf0.01")
+    assert got.where("not kept and not base_failed").count() > 0
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    kept = {r["doc_id"] for r in quality.filter_rules(docs, labels, risk=0.4, level=0.2).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in got.where("kept").collect()}
