@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.llm import near_dedup, packing, quality, secrets, substrings
-from threadloom.llm.common import settled, table
+from threadloom.sources.tables import removed, settled, table, written
 
 #: Near duplicates share 0.8 of their shingles of five words.
 SHINGLE, PERCENT = 5, 80
@@ -49,9 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The pieces of packed sequences. When a stage's result has been written, what the stages before wrote on the way is removed; the last stage's tables stay, as the result reads them."""
+    docs, old = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with written() as paths:
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = settled(docs, f"pipeline-{name}")
         if k + 1 < len(STAGES):
-            docs = settled(docs, f"pipeline-{name}")
+            removed(spark, old + paths[:-1])
+            old = paths[-1:]
     return docs

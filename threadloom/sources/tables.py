@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or LOCAL_SHARED_DIR).rstrip("/")
 
 
-#: Paths that this process has written by settled, oldest first.
-WRITTEN: list[str] = []
+_SCOPES = threading.local()
+
+
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """The paths that settled writes in this thread while the block runs."""
+    stack = _SCOPES.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield stack[-1]
+    finally:
+        stack.pop()
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -34,16 +47,16 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
-    WRITTEN.append(path)
+    for paths in _SCOPES.__dict__.get("stack", []):
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes tables of settled that nothing reads any more."""
+    """Deletes tables of settled that nothing reads any more, and empties the list."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for path in paths:
         where = hadoop.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        if path in WRITTEN:
-            WRITTEN.remove(path)
+    paths.clear()
