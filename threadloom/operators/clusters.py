@@ -6,6 +6,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +23,20 @@ def squared(a: Column, b: Column) -> Column:
 
 def label_centres(vectors: DataFrame, least: int = 1) -> DataFrame:
     """label, n, centre: mean vector of each label; null where it has fewer than `least` rows."""
-    flat = vectors.select("label", F.posexplode("v").alias("k", "x")).groupBy("label", "k").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
-    out = flat.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("centre"))
-    return out.select("label", "n", F.when(F.col("n") >= least, F.col("centre")).alias("centre"))
+    found = vectors.select("label", array_to_vector("v").alias("_v")).groupBy("label").agg(F.count("*").alias("n"), Summarizer.mean(F.col("_v")).alias("_mean"))
+    return found.select("label", "n", F.when(F.col("n") >= least, vector_to_array("_mean")).alias("centre"))
+
+
+def _broadcast(centres: DataFrame, *columns: str) -> DataFrame:
+    """One row with the array _centres of structs of columns, sorted; broadcast after a check of how many there are."""
+    if centres.limit(MOST_CENTRES + 1).count() > MOST_CENTRES:
+        raise ValueError(f"more than {MOST_CENTRES} centres")
+    return F.broadcast(centres.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_centres")))
 
 
 def nearest_centres(vectors: DataFrame, centres: DataFrame) -> DataFrame:
     """Adds nearest (label of the nearest centre; the smaller of equally near ones) and its distance."""
-    some = centres.where("centre is not null")
-    if some.limit(MOST_CENTRES + 1).count() > MOST_CENTRES:
-        raise ValueError(f"more than {MOST_CENTRES} centres")
-    known = F.broadcast(some.agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("_centres")))
+    known = _broadcast(centres.where("centre is not null"), "label", "centre")
     best = F.array_min(F.transform("_centres", lambda c: F.struct(F.sqrt(squared(c["centre"], F.col("v"))).alias("d"), c["label"].alias("label"))))
     return vectors.crossJoin(known).withColumn("_best", best).select(*vectors.columns, F.col("_best.label").alias("nearest"), F.col("_best.d").alias("distance"))
 
@@ -115,7 +120,7 @@ def silhouettes(vectors: DataFrame) -> DataFrame:
     """
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     sums = label_centres(vectors).join(vectors.groupBy("label").agg(F.avg(norm).alias("_norm")), "label")
-    known = F.broadcast(sums.agg(F.array_sort(F.collect_list(F.struct("label", "n", "centre", "_norm"))).alias("_c")))
+    known = _broadcast(sums, "label", "n", "centre", "_norm").withColumnRenamed("_centres", "_c")
     dot = lambda c: F.aggregate(F.zip_with(c["centre"], F.col("v"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     mean = lambda c: F.greatest(norm - 2 * dot(c) + c["_norm"], F.lit(0.0))
     rows = vectors.crossJoin(known).select("vec_id", "label", F.transform("_c", lambda c: F.struct(c["label"].alias("label"), c["n"].alias("n"), mean(c).alias("mean"))).alias("_m"))
@@ -131,7 +136,7 @@ def confusion(rows: DataFrame, truth: str, found: str, n: int) -> DataFrame:
 
 def soft_assignment(vectors: DataFrame, centres: DataFrame, weights) -> DataFrame:
     """vec_id, label, weight: for each centre, by weights(distances), an array expression."""
-    known = F.broadcast(centres.where("centre is not null").agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("_c")))
+    known = _broadcast(centres.where("centre is not null"), "label", "centre").withColumnRenamed("_centres", "_c")
     d = vectors.crossJoin(known).select("vec_id", "_c", F.transform("_c", lambda c: F.sqrt(squared(c["centre"], F.col("v")))).alias("_d"))
     w = d.select("vec_id", F.arrays_zip(F.transform("_c", lambda c: c["label"]).alias("label"), weights(F.col("_d")).alias("weight")).alias("_w"))
     return w.select("vec_id", F.explode("_w").alias("_w")).select("vec_id", F.col("_w.label").alias("label"), F.col("_w.weight").alias("weight"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.operators.order import WIDTH, ranked
+
 
 def frame_table(states: DataFrame) -> DataFrame:
     """frame, ids (distinct fragments, sorted), n_individual (rows that don't overlap), is_empty: every frame from the first to the last."""
@@ -19,19 +21,18 @@ def frame_table(states: DataFrame) -> DataFrame:
 def core_flags(frames: DataFrame, n: int) -> DataFrame:
     """Adds clean and core. Clean: n fragments, all individual. Core: clean, and the frame before has the same fragments or isn't clean; the first frame is none.
 
-    The window runs over frames, not detections; where there are videos, give them as a partition of their own.
+    Frames are dense, so each meets the one before it by an equality.
     """
-    w = Window.orderBy("frame")
     f = frames.withColumn("clean", (F.size("ids") == n) & (F.col("n_individual") == n))
-    core = F.col("clean") & ((F.col("ids") == F.lag("ids").over(w)) | ~F.lag("clean").over(w))
-    return f.withColumn("core", F.coalesce(core, F.lit(False)))
+    before = f.select((F.col("frame") + 1).alias("frame"), F.col("ids").alias("_ids"), F.col("clean").alias("_clean"))
+    core = F.col("clean") & ((F.col("ids") == F.col("_ids")) | ~F.col("_clean"))
+    return f.join(before, "frame", "left").withColumn("core", F.coalesce(core, F.lit(False))).drop("_ids", "_clean")
 
 
 def core_starts(flags: DataFrame) -> DataFrame:
     """frame, ids: where cores begin. Their order numbers the global fragments."""
-    w = Window.orderBy("frame")
-    starts = flags.withColumn("_before", F.lag("core", 1, False).over(w)).where("core and not _before").select("frame", "ids")
-    return starts.withColumn("global_fragment", F.row_number().over(w) - 1)
+    before = flags.where("core").select((F.col("frame") + 1).alias("frame"))
+    return ranked(flags.where("core").join(before, "frame", "left_anti").select("frame", "ids"), "frame", "global_fragment")
 
 
 def global_fragments(starts: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -67,9 +68,16 @@ def data_episodes(frames: DataFrame, per_episode: int) -> DataFrame:
 
 
 def frame_episodes(frames: DataFrame, eps: DataFrame) -> DataFrame:
-    """Adds each frame's episode: the last that starts at or before it. Episodes are a dimension: a row for hundreds of frames."""
+    """Adds each frame's episode: the last that starts at or before it.
+
+    Frames and episodes meet by ranges of WIDTH frames, an equality; the last episode goes on to the last frame. The window over episodes sees a row for hundreds of frames.
+    """
     until = eps.select("episode", F.col("start_frame").alias("_a"), F.lead("start_frame").over(Window.orderBy("start_frame", "episode")).alias("_b"))
-    return frames.join(until, (F.col("frame") >= F.col("_a")) & (F.col("_b").isNull() | (F.col("frame") < F.col("_b")))).drop("_a", "_b")
+    last = frames.agg((F.max("frame") + 1).alias("_last"))
+    until = until.crossJoin(F.broadcast(last)).withColumn("_b", F.coalesce("_b", F.greatest(F.col("_last"), F.col("_a") + 1))).where("_b > _a").drop("_last")
+    until = until.withColumn("_range", F.explode(F.sequence(F.floor(F.col("_a") / WIDTH), F.floor((F.col("_b") - 1) / WIDTH))))
+    met = frames.withColumn("_range", F.floor(F.col("frame") / WIDTH)).join(until, "_range")
+    return met.where((F.col("frame") >= F.col("_a")) & (F.col("frame") < F.col("_b"))).drop("_range", "_a", "_b")
 
 
 def global_index(rows: DataFrame, episode: str, order: list[str]) -> DataFrame:
@@ -97,7 +105,7 @@ def bijection_faults(rows: DataFrame, column: str) -> DataFrame:
 
 def episode_faults(eps: DataFrame, n_frames: int) -> DataFrame:
     """One row: frames of [0, n_frames) in no episode, frames in several, and neighbours that do not touch. All 0 for a tiling."""
-    w = Window.orderBy("start_frame")
+    w = Window.orderBy("start_frame", "end_frame")
     touch = eps.select((F.col("start_frame") != F.lag("end_frame").over(w)).alias("_apart")).agg(F.count_if("_apart").alias("gaps"))
     per = eps.select(F.explode(F.sequence("start_frame", F.col("end_frame") - 1)).alias("frame")).groupBy("frame").agg(F.count("*").alias("_n"))
     inside = per.where((F.col("frame") >= 0) & (F.col("frame") < n_frames))

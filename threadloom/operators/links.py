@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.geometry import centroid_similarity, distance, in_reach
+from threadloom.operators.order import ranked
 from threadloom.sources.tables import settled
 
 
 def frame_pairs(frames: DataFrame, max_gap: int = 1) -> DataFrame:
     """frame, next_frame: consecutive frames that are no more than max_gap apart."""
-    w = Window.orderBy("frame")
-    return frames.select("frame").distinct().withColumn("next_frame", F.lead("frame").over(w)).where(F.col("next_frame") - F.col("frame") <= max_gap)
+    f = frames.select("frame").distinct()
+    ahead = f.select(F.col("frame").alias("next_frame"), F.explode(F.sequence(F.col("frame") - max_gap, F.col("frame") - 1)).alias("frame"))
+    return f.join(ahead, "frame").groupBy("frame").agg(F.min("next_frame").alias("next_frame"))
 
 
 def pair_similarities(detections: DataFrame, pairs: DataFrame, scale: float, radius: float) -> DataFrame:
@@ -57,7 +59,7 @@ def windowed_margins(tracked: DataFrame, window: int, scale: float, threshold: f
 
     tracked: frame, individual, x, y. Frames are the labelled ones, numbered without gaps; each meets those of its window by number.
     """
-    order = tracked.select("frame").distinct().withColumn("_n", F.row_number().over(Window.orderBy("frame")))
+    order = ranked(tracked.select("frame").distinct(), "frame", "_n")
     t = tracked.join(order, "frame")
     now = t.select("frame", "individual", "x", "y", F.explode(F.sequence(F.col("_n") - window, F.col("_n") - 1)).alias("_n"))
     past = t.select("_n", F.col("individual").alias("track"), F.col("x").alias("_x"), F.col("y").alias("_y"))

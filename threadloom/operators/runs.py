@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Frames in a range within which positions meet.
+SPAN = 64
+
 
 def islands(rows: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
     """keys, start, length: maximal runs of consecutive frames. Frames are distinct within keys."""
@@ -81,10 +84,14 @@ def swap_checks(tracks: DataFrame, frame: str = "frame") -> DataFrame:
     """individual, frame, nearest, distance, own_distance: positions nearer to where another individual was last seen than to where the own one was.
 
     Last positions are those of the row before, for each of the other individuals that were ever seen before the frame.
+    A position is the last one up to its individual's next, in every range of SPAN frames on the way; positions meet by range.
     """
     w = Window.partitionBy("individual").orderBy(frame)
-    spans = tracks.select(F.col("individual").alias("other"), F.col(frame).alias("_from"), F.coalesce(F.lead(frame).over(w), F.lit(1 << 60)).alias("_to"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    met = tracks.join(spans, (F.col("_from") < F.col(frame)) & (F.col(frame) <= F.col("_to")))
+    end = tracks.agg(F.max(frame).alias("_end"))
+    spans = tracks.select(F.col("individual").alias("other"), F.col(frame).alias("_from"), F.lead(frame).over(w).alias("_to"), F.col("x").alias("_x"), F.col("y").alias("_y")).crossJoin(F.broadcast(end))
+    spans = spans.withColumn("_to", F.coalesce("_to", "_end")).drop("_end").where("_to > _from")
+    spans = spans.withColumn("_range", F.explode(F.sequence(F.floor((F.col("_from") + 1) / SPAN), F.floor(F.col("_to") / SPAN))))
+    met = tracks.withColumn("_range", F.floor(F.col(frame) / SPAN)).join(spans, "_range").where((F.col("_from") < F.col(frame)) & (F.col(frame) <= F.col("_to")))
     far = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
     per = met.groupBy("individual", frame).agg(F.min_by("other", F.struct(far, "other")).alias("nearest"), F.min(far).alias("distance"), F.min(F.when(F.col("other") == F.col("individual"), far)).alias("own_distance"))
     return per.where("nearest <> individual and own_distance is not null")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.operators.order import ranked, running_sum
+
 
 def lot(key: Column, seed: int = 1) -> Column:
     """A number below 2^31 - 1 that looks random: two rounds of a multiplicative generator."""
@@ -28,7 +30,7 @@ def weighted_probabilities(pairs: DataFrame, size: str, score: str) -> DataFrame
     totals = pairs.agg(F.sum(size).alias("_size"), F.sum(score).alias("_score"))
     p = (F.coalesce(F.try_divide(F.col(size), F.col("_size")), F.lit(0.0)) + F.coalesce(F.try_divide(F.col(score), F.col("_score")), F.lit(0.0))) / 2
     out = pairs.crossJoin(F.broadcast(totals)).withColumn("probability", p).drop("_size", "_score")
-    return out.withColumn("cumulative", F.sum("probability").over(Window.orderBy("pair_id")))
+    return running_sum(out, "pair_id", "probability", "cumulative")
 
 
 def stratified_split(rows: DataFrame, key: str, by: str, share: float, seed: int = 1) -> DataFrame:
@@ -65,7 +67,6 @@ def ordered_from(fragments: DataFrame, frame: int, scope: str) -> DataFrame:
 
 def interleaved(frames: DataFrame, n: str = "_n") -> DataFrame:
     """frame, position: first, last, second, last but one, and so on."""
-    w = Window.orderBy("frame")
-    f = frames.withColumn("_i", F.row_number().over(w) - 1).crossJoin(F.broadcast(frames.agg(F.count("*").alias(n))))
+    f = ranked(frames, "frame", "_i").crossJoin(F.broadcast(frames.agg(F.count("*").alias(n))))
     front = F.col("_i") < F.ceil(F.col(n) / 2)
     return f.select("frame", F.when(front, 2 * F.col("_i")).otherwise(2 * (F.col(n) - 1 - F.col("_i")) + 1).alias("position"))

@@ -28,13 +28,20 @@ def certainty(p: DataFrame, medians: DataFrame) -> DataFrame:
     return sums.select("fragment_id", F.try_divide("_over", "_under").alias("certainty"))
 
 
-def p2(p: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Adds p2: p1 times the product of (1 - p1) over coexisting fragments, made to add up to 1; all 0 where all are. pairs: frag_a, frag_b, once each."""
+def p2(p: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """Adds p2: p1 times the product of (1 - p1) over coexisting fragments, made to add up to 1; all 0 where all are. p: p1's rows for identities 1..n. pairs: frag_a, frag_b, once each.
+
+    A fragment's p1 travel as one array, so a pair is one row each way, whatever the number of identities.
+    """
+    rows = p.groupBy("fragment_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("identity", *(c for c in p.columns if c not in ("fragment_id", "identity"))))), lambda s: s).alias("_rows"))
     both = pairs.select(F.col("frag_a").alias("fragment_id"), F.col("frag_b").alias("_other")).unionByName(pairs.select(F.col("frag_b").alias("fragment_id"), F.col("frag_a").alias("_other")))
-    others = both.join(p.select(F.col("fragment_id").alias("_other"), "identity", F.col("p1").alias("_p")), "_other").groupBy("fragment_id", "identity").agg(F.product(1 - F.col("_p")).alias("_left"))
-    v = p.join(others, ["fragment_id", "identity"], "left").withColumn("_v", F.col("p1") * F.coalesce("_left", F.lit(1.0)))
-    total = F.sum("_v").over(Window.partitionBy("fragment_id"))
-    return v.select(*p.columns, F.when(total > 0, F.col("_v") / total).otherwise(0.0).alias("p2"))
+    told = rows.select(F.col("fragment_id").alias("_other"), F.transform("_rows", lambda s: s["p1"]).alias("_p"))
+    left = both.join(told, "_other").groupBy("fragment_id").agg(F.array(*(F.product(1 - F.get("_p", F.lit(i))) for i in range(n))).alias("_left"))
+    v = rows.join(left, "fragment_id", "left").withColumn("_v", F.transform("_rows", lambda s, i: s["p1"] * F.coalesce(F.get("_left", i), F.lit(1.0))))
+    v = v.withColumn("_total", F.aggregate("_v", F.lit(0.0), lambda a, x: a + x))
+    each = v.select("fragment_id", "_v", "_total", F.posexplode("_rows").alias("_i", "_row"))
+    out = each.select("fragment_id", "_row.*", F.when(F.col("_total") > 0, F.get("_v", F.col("_i")) / F.col("_total")).otherwise(0.0).alias("p2"))
+    return out.select(*p.columns, "p2")
 
 
 def p2_certainty(p: DataFrame) -> DataFrame:
@@ -46,11 +53,18 @@ def p2_certainty(p: DataFrame) -> DataFrame:
 
 
 def estimated_accuracy(p: DataFrame) -> DataFrame:
-    """One row: greatest p2 of each fragment, weighted by its images."""
+    """One row: greatest p2 of each fragment, weighted by its images. identity_accuracy takes the p2 of the identities given."""
     per = p.groupBy("fragment_id").agg(F.max("p2").alias("_p"), F.sum("n_images").alias("_n"))
     return per.agg((F.sum(F.col("_p") * F.col("_n")) / F.sum("_n")).alias("estimated_accuracy"), F.count("*").alias("n_fragments"))
 
 
+def identity_accuracy(p: DataFrame, given: DataFrame) -> DataFrame:
+    """One row: p2 of the identity that each fragment was given, weighted by its images; fragments of identity 0 or none take no part. given: fragment_id, identity."""
+    size = p.groupBy("fragment_id").agg(F.sum("n_images").alias("_n"))
+    own = p.select("fragment_id", "identity", "p2").join(given.where("identity > 0").select("fragment_id", "identity"), ["fragment_id", "identity"]).join(size, "fragment_id")
+    return own.agg(F.try_divide(F.sum(F.col("p2") * F.col("_n")), F.sum("_n")).alias("estimated_accuracy"), F.count("*").alias("n_fragments"))
+
+
 def identity_statistics(detections: DataFrame, value: str) -> DataFrame:
     """identity, n, mean, median, std (population), identified (share of rows with a value)."""
     return detections.groupBy("identity").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"), F.avg(F.col(value).isNotNull().cast("double")).alias("identified"))
@@ -59,5 +73,7 @@ def identity_statistics(detections: DataFrame, value: str) -> DataFrame:
 def contrastive_pairs(pairs: DataFrame, fragments: DataFrame, least: int) -> DataFrame:
     """frag_a, frag_b, kind: coexisting fragments of at least `least` images are negative pairs, each fragment with itself a positive one."""
     long = fragments.where(F.col("n_images") >= least).select("fragment_id")
+    if pairs.isEmpty():
+        raise ValueError("no fragments coexist, so there are no negative pairs")
     neg = pairs.join(long.withColumnRenamed("fragment_id", "frag_a"), "frag_a", "left_semi").join(long.withColumnRenamed("fragment_id", "frag_b"), "frag_b", "left_semi")
     return neg.select("frag_a", "frag_b", F.lit("negative").alias("kind")).unionByName(long.select(F.col("fragment_id").alias("frag_a"), F.col("fragment_id").alias("frag_b"), F.lit("positive").alias("kind")))

@@ -81,7 +81,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2(spark: SparkSession, d: str) -> DataFrame:
-    return votes.p2(votes.p1(fx.votes(spark, d), 7), pairs(spark, d))
+    return votes.p2(votes.p1(fx.votes(spark, d), 7), pairs(spark, d), 7)
 
 
 @query("SELECT event_id, frame, identity, outcome FROM resolved", ("detections", "resolved"))
@@ -621,9 +621,15 @@ def length_unit(spark, d):
     return blobs.length_unit(c).select(*six("length_unit"))
 
 
-@query("SELECT 0::BIGINT AS uncovered, 0::BIGINT AS covered_twice, 0::BIGINT AS gaps")
+@query("""+ eps AS (SELECT DISTINCT user_id % 40 * 18 AS a, user_id % 40 * 18 + 12 + user_id % 13 AS b FROM events), n AS (SELECT max(frame) + 1 AS n FROM detections),
+t AS (SELECT unnest(range(n)) AS frame FROM n), per AS (SELECT frame, count(a) AS k FROM t LEFT JOIN eps ON frame >= a AND frame < b GROUP BY frame)
+SELECT count(*) FILTER (k = 0) AS uncovered, count(*) FILTER (k > 1) AS covered_twice, (SELECT count(*) FROM (SELECT a <> lag(b) OVER (ORDER BY a, b) AS apart FROM eps) WHERE apart) AS gaps FROM per""", ("detections",))
 def episode_invariants(spark, d):
-    return frames.episode_faults(frames.episodes(spark, 720, 100), 720)
+    """Faults of episodes that are no tiling: of their lengths some leave gaps and some overlap."""
+    n = fx.detections(spark, d).agg(F.max("frame") + 1).first()[0]
+    u = F.col("user_id")
+    eps = fx.table(spark, d, "events").select((u % 40 * 18).alias("start_frame"), (u % 40 * 18 + 12 + u % 13).alias("end_frame")).distinct()
+    return frames.episode_faults(eps, n)
 
 
 @query(CENTRES + """, near AS (SELECT vec_id, label, nearest FROM (SELECT v.vec_id, v.label, c.label AS nearest, row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(list_zip(v, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.label) AS r FROM vectors v, centres c) WHERE r = 1)
