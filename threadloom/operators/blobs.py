@@ -43,6 +43,11 @@ def one_to_one(degrees: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(a, "source").join(b, "target").where("_a = _b").select("source", "target")
 
 
+def crossing_of_refused(identity: str, is_crossing: str) -> Column:
+    """Whether a blob is a crossing once individuals without an identity (0) count as such."""
+    return F.col(is_crossing) | (F.coalesce(F.col(identity), F.lit(-1)) == 0)
+
+
 def image_size(median_length: float, reduction: float | None = None, most: int = 80) -> tuple[int, float]:
     """Side of square identification images and how much the resolution is reduced: an even number near length / sqrt 2, at most `most` if no reduction is given."""
     even = lambda x: int(x + 0.5) + int(x + 0.5) % 2

@@ -50,6 +50,13 @@ def reconciliation(resolved: DataFrame) -> DataFrame:
     )
 
 
+def full_reconciliation(instances: DataFrame, resolved: DataFrame) -> DataFrame:
+    """One row: instances = tracked + no_row + identity 0 + collided. instances: frame, instance_idx, with those that no row stands for."""
+    none = instances.join(resolved.select("frame", "instance_idx"), ["frame", "instance_idx"], "left_anti").agg(F.count("*").alias("no_row"))
+    n = instances.agg(F.count("*").alias("instances"))
+    return n.crossJoin(F.broadcast(none)).crossJoin(F.broadcast(reconciliation(resolved).drop("instances"))).select("instances", "tracked", "no_row", "identity_0", "collided")
+
+
 def trajectories(resolved: DataFrame) -> DataFrame:
     """frame, individual (0-based), x, y, probability: of the detections that keep their identity."""
     return resolved.where("outcome = 'kept'").select("frame", (F.col("identity") - 1).alias("individual"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.coalesce("p1_max", F.lit(0.0)).alias("probability"))

@@ -93,6 +93,11 @@ def crowded_frames(detections: DataFrame, most: int) -> DataFrame:
     return detections.groupBy("frame").agg(F.count("*").alias("n")).where(F.col("n") > most)
 
 
+def with_individuals(detections: DataFrame, least: int = 2) -> DataFrame:
+    """frame, n_individual, n: frames that show at least `least` individuals; tracking needs one with two."""
+    return detections.groupBy("frame").agg(F.count_if(~F.col("is_overlapping")).alias("n_individual"), F.count("*").alias("n")).where(F.col("n_individual") >= least)
+
+
 def bijection_faults(rows: DataFrame, column: str) -> DataFrame:
     """One row of zeros if column numbers the rows 0..N-1: null, repeated and out-of-range values."""
     n = rows.agg(F.count("*").alias("_rows"))

@@ -82,6 +82,13 @@ def margin_sweep(margins: DataFrame, thresholds: list[float]) -> DataFrame:
     return counts.select("_all", rows.alias("r")).select("r.threshold", "r.n", F.try_divide(100.0 * F.col("r.n"), F.col("_all")).alias("percent"))
 
 
+def margin_percentiles(margins: DataFrame, percentiles: list[int]) -> DataFrame:
+    """percentile, margin: linearly interpolated, of all finite margins in one pass."""
+    known = margins.where(F.abs("margin") < float("inf"))
+    found = known.agg(F.percentile("margin", F.array(*(F.lit(p / 100) for p in percentiles))).alias("_m"))
+    return found.select(F.posexplode("_m").alias("_k", "margin")).select(F.get(F.array(*(F.lit(p) for p in percentiles)), F.col("_k")).alias("percentile"), "margin")
+
+
 def combined_flags(forward: DataFrame, backward: DataFrame, direction: str) -> DataFrame:
     """frame, instance_idx, flagged: forward, backward or both directions' flags, joined by or."""
     if direction not in ("both", "forward", "backward"):

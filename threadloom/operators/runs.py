@@ -38,10 +38,11 @@ def speeds(tracks: DataFrame, keys: list[str], frame: str = "frame") -> DataFram
     return tracks.withColumn("step", step).withColumn("speed", distance / F.col("step"))
 
 
-def impossible_jumps(moved: DataFrame, tolerance: float) -> DataFrame:
-    """The rows whose speed is above the mean by more than `tolerance` population standard deviations. The statistics are one row, so they are broadcast."""
+def impossible_jumps(moved: DataFrame, tolerance: float, accepted: DataFrame | None = None) -> DataFrame:
+    """The rows whose speed is above the mean by more than `tolerance` population standard deviations, without those that a user has accepted (individual, frame). The statistics are one row, so they are broadcast."""
     limit = moved.agg((F.avg("speed") + tolerance * F.stddev_pop("speed")).alias("_limit"))
-    return moved.join(F.broadcast(limit), F.col("speed") > F.col("_limit")).drop("_limit")
+    found = moved.join(F.broadcast(limit), F.col("speed") > F.col("_limit")).drop("_limit")
+    return found if accepted is None else found.join(accepted, ["individual", "frame"], "left_anti")
 
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:

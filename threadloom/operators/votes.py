@@ -70,6 +70,14 @@ def identity_statistics(detections: DataFrame, value: str) -> DataFrame:
     return detections.groupBy("identity").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"), F.avg(F.col(value).isNotNull().cast("double")).alias("identified"))
 
 
+def available(identified: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """fragment_id, available: identities 1..n that no coexisting fragment holds. identified: fragment_id, identity (0 or null: none)."""
+    both = pairs.select(F.col("frag_a").alias("fragment_id"), F.col("frag_b").alias("_o")).unionByName(pairs.select(F.col("frag_b").alias("fragment_id"), F.col("frag_a").alias("_o")))
+    held = both.join(identified.select(F.col("fragment_id").alias("_o"), "identity"), "_o").groupBy("fragment_id").agg(F.collect_set("identity").alias("_held"))
+    every = F.array(*(F.lit(i).cast("long") for i in range(1, n + 1)))
+    return identified.select("fragment_id").join(held, "fragment_id", "left").select("fragment_id", F.array_except(every, F.coalesce("_held", F.array().cast("array<long>"))).alias("available"))
+
+
 def contrastive_pairs(pairs: DataFrame, fragments: DataFrame, least: int) -> DataFrame:
     """frag_a, frag_b, kind: coexisting fragments of at least `least` images are negative pairs, each fragment with itself a positive one."""
     long = fragments.where(F.col("n_images") >= least).select("fragment_id")

@@ -24,7 +24,9 @@ def query(sql: str | None = None, views: tuple[str, ...] = ()) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
             said = ", ".join(fx.SQL[v] for v in views)
-            ORACLES[f.__name__] = (f"WITH {said}{', ' if sql.lstrip().startswith('+') else ' '}" if views else "") + sql.lstrip().removeprefix("+")
+            rest = sql.lstrip().removeprefix("+").lstrip()
+            word = "WITH RECURSIVE" if rest.startswith("RECURSIVE_") else "WITH"
+            ORACLES[f.__name__] = (f"{word} {said}{', ' if sql.lstrip().startswith('+') else ' '}" if views else "") + rest.removeprefix("RECURSIVE_")
         return f
 
     return add
