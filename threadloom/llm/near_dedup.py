@@ -40,7 +40,7 @@ SLOTS, ROWS = 72, 3
 #: Equal slots of 72 below which a pair is not verified: five standard deviations below 0.8.
 CLOSE = 40
 #: Members in a side of a large bucket, and shingles that they have together.
-SIDE, SIDE_SHINGLES = 1024, 1 << 22
+SIDE, SIDE_SHINGLES = 2048, 1 << 22
 #: Shingles whose signatures are made together.
 TOGETHER = 1 << 17
 #: Ids of texts to read again are broadcast up to this number, and joined beyond it.
