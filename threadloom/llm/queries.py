@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import byte_bpe, lm, near_dedup, packing, quality, secrets, substrings, token_counts, top_k, url_filter
+from threadloom.llm import byte_bpe, lm, merkle, near_dedup, packing, quality, secrets, substrings, token_counts, top_k, url_filter
 from threadloom.llm.common import table
 from threadloom.llm.oracles import LAX, SQL
 
@@ -56,5 +56,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_token_counts, op4_packing, op5_byte_bpe, op6_lm_scores, op7_near_dedup, op8_url_filter, op9_secret_scans, op10_top_k, quality_rules_lax)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampering(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_token_counts, op4_packing, op5_byte_bpe, op6_lm_scores, op7_near_dedup, op8_url_filter, op9_secret_scans, op10_top_k, op11_merkle_manifest, quality_rules_lax)}
 ORACLES: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
