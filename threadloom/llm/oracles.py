@@ -137,3 +137,24 @@ SELECT *, folded_root = root AS verified FROM o
 
 
 _add("op11_merkle_manifest", _merkle())
+
+
+def _trie() -> str:
+    words = r"len(list_filter(string_split_regex(any_value(prefix[d].t), '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
+    return f"""
+WITH o AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list({{'r': r, 't': t}} ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || t)) AS turns, {crc32('conv_id::VARCHAR')} % 4 AS h FROM o GROUP BY conv_id),
+c AS (SELECT l.conv_id AS c, CASE WHEN l.h = 0 OR b.turns IS NULL THEN l.turns[1:0] ELSE b.turns[1:l.h] END || l.turns[l.h + 1:] AS turns FROM l LEFT JOIN l b ON b.conv_id = l.conv_id - l.conv_id % 20),
+p AS (SELECT c, d, turns[1:d] AS prefix, len(turns) = d AS whole FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM c)),
+n AS (SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, CASE WHEN d = 0 THEN 0 ELSE {words} END AS words,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (whole), '')) AS ends_sha256 FROM p GROUP BY d, prefix),
+m AS (SELECT p.c, p.d, n.conv_id AS node FROM p JOIN n ON n.d = p.d AND n.prefix = p.prefix),
+a AS (SELECT n.*, m.node AS parent_conv_id FROM n LEFT JOIN m ON m.c = n.conv_id AND m.d = n.d - 1),
+k AS (SELECT a.*, coalesce(x.kids, 0) AS kids FROM a LEFT JOIN (SELECT parent_conv_id, d - 1 AS d, count(*) AS kids FROM a WHERE d > 0 GROUP BY ALL) x ON x.parent_conv_id = a.conv_id AND x.d = a.d),
+s AS (SELECT m.node, m.d, count_if(k.kids = 0) AS n_leaves, sum((k.n_convs - 1) * k.words) AS saved FROM k JOIN m ON m.c = k.conv_id AND m.d <= k.d GROUP BY m.node, m.d)
+SELECT k.conv_id, k.d::BIGINT AS depth, k.parent_conv_id, k.n_convs, k.kids AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN s ON s.node = k.conv_id AND s.d = k.d
+"""
+
+
+_add("op12_prefix_trie", _trie())
