@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import byte_bpe, lm, merkle, near_dedup, packing, prefix_trie, quality, secrets, substrings, token_counts, top_k, url_filter
+from threadloom.llm import byte_bpe, lm, merkle, near_dedup, neighbours, packing, prefix_trie, quality, secrets, substrings, token_counts, top_k, url_filter
 from threadloom.llm.common import table
 from threadloom.llm.oracles import LAX, SQL
 
@@ -64,5 +64,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_token_counts, op4_packing, op5_byte_bpe, op6_lm_scores, op7_near_dedup, op8_url_filter, op9_secret_scans, op10_top_k, op11_merkle_manifest, op12_prefix_trie, quality_rules_lax)}
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_token_counts, op4_packing, op5_byte_bpe, op6_lm_scores, op7_near_dedup, op8_url_filter, op9_secret_scans, op10_top_k, op11_merkle_manifest, op12_prefix_trie, op13_quality_classifier, quality_rules_lax)}
 ORACLES: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
