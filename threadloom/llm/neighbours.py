@@ -1,7 +1,8 @@
 r"""Quality by nearest-neighbour voting: labelled texts as latent-semantic vectors, exact cosines with every document, votes by similarity.
 
 1. A text's terms are its words in lower case, the shapes of its words (runs of capitals, small letters and digits, other characters
-   as they are) and a few facts in classes (numbers of words, shares of different words and of repeated lines, word lengths), hashed
+   as they are) and a few facts in classes (number and length of words, shares of different words, of the commonest one, of words that
+   follow themselves and of repeated lines), hashed
    to fixed numbers of slots. Document frequencies are counted over all documents. Each of the three blocks is weighted
    by inverse document frequency and normalised.
 2. LABELLED texts of each label at most, drawn by a hash of their ids, are fitted: block power iterations over a table of
@@ -27,6 +28,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ LABELLED = 4096
 DIMENSIONS, EXTRA, ROUNDS = 64, 8, 4
 K = 24
 #: Slots of words, shapes and facts, and the weight of each block.
-SLOTS, WEIGHTS = (1 << 14, 1 << 11, 64), (1.0, 1.0, 0.7)
+SLOTS, WEIGHTS = (1 << 14, 1 << 11, 96), (1.0, 1.0, 1.0)
 ALL = sum(SLOTS)
 WORD_BYTES = 48 << 20
 #: Documents that meet all labelled vectors at once.
@@ -76,7 +78,11 @@ class Terms:
             plain[a] = plain.get(a, 0) + n
             shapes[b] = shapes.get(b, 0) + n
         lines = [x for x in text.split("\n") if x.strip()]
-        facts = [min(11, int(math.log2(len(found)))), 12 + 10 * len(counts) // len(found), 24 + min(10, 10 * (len(lines) - len(set(lines))) // len(lines)) if lines else 24, 36 + min(20, sum(map(len, found)) // len(found))]
+        n, different = len(found), len(counts)
+        facts = [
+            min(11, n.bit_length() - 1), 12 + 10 * different // n, 24 + (10 * (len(lines) - len(set(lines))) // len(lines) if lines else 0), 36 + min(20, sum(map(len, found)) // n),
+            60 + 10 * sum(map(eq, found, found[1:])) // n, 72 + min(11, (n // different).bit_length() - 1), 84 + 10 * max(counts.values()) // n,
+        ]
         at = np.array([*plain, *shapes, *(SLOTS[0] + SLOTS[1] + x for x in facts)], np.int32)
         return at, np.log1p(np.array([*plain.values(), *shapes.values(), *[1] * len(facts)], np.float64)), (len(plain), len(plain) + len(shapes))
 
