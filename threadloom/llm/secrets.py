@@ -219,8 +219,10 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
 
 
 def _quick(rule: Rule) -> str:
-    """An expression that finds something wherever the rule has a match that is long enough."""
-    return re.sub(r"\+$", f"{{{rule.least},}}", rule.regex) if rule.least and not rule.group else rule.regex
+    """An expression that finds something wherever the rule has a match that is long enough. Only a run of one class alone can be asked for by its length."""
+    items = list(parser.parse(rule.regex))
+    run = len(items) == 1 and str(items[0][0]) == "MAX_REPEAT" and items[0][1][0] == 1 and [str(x[0]) for x in items[0][1][2]] in (["IN"], ["LITERAL"])
+    return re.sub(r"\+$", f"{{{rule.least},}}", rule.regex) if run and rule.least and not rule.group else rule.regex
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", broadcast: int = BROADCAST_CANDIDATES) -> DataFrame:
