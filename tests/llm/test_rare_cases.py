@@ -6,11 +6,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import pytest
 from pyspark.sql import functions as F
 
-from test_operators import brute_groups, brute_redacted, brute_spans, check_packing
+from test_operators import brute_groups, brute_redacted, brute_removed, brute_spans, check_packing
 
-from threadloom.llm import near_dedup, packing, secrets, top_k, url_filter
+from threadloom.llm import near_dedup, packing, secrets, substrings, top_k, url_filter
 
 
 def test_top_k_of_an_id_with_several_vectors(spark):
@@ -208,3 +211,40 @@ def test_lax_risks_certify_cutoffs_on_small_tables(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
     kept = {r["doc_id"] for r in quality.filter_rules(docs, labels, risk=0.4, level=0.2).select("doc_id").collect()}
     assert kept == {r["doc_id"] for r in got.where("kept").collect()}
+
+
+def removed_in_chunks(texts, chunks, window=20, blocks=3):
+    """The operator's four steps over chunks of texts, in this process."""
+    tables = [pa.table({"id": pa.array([i for i, _ in texts[c::chunks]], pa.int64()), "tag": pa.array([0] * len(texts[c::chunks]), pa.int64()), "text": [t for _, t in texts[c::chunks]]}) for c in range(chunks)]
+
+    def by(key, found):
+        rows = pa.concat_tables(found)
+        return {k: rows.filter(pa.compute.equal(rows.column(key), k)) for k in rows.column(key).unique().to_pylist()}
+
+    said = [substrings.sketch((pa.scalar(c),), t, window, blocks) for c, t in enumerate(tables)]
+    replies = by("chunk", [substrings.merge((pa.scalar(b),), t) for b, t in by("block", said).items()])
+    found = [substrings.places((pa.scalar(c),), t, replies.get(c, said[0].slice(0, 0)), window, blocks) for c, t in enumerate(tables)]
+    marks = by("chunk", [substrings.resolve((pa.scalar(b),), t) for b, t in by("block", found).items()])
+    none = found[0].select(substrings.PLACES.names).slice(0, 0)
+    out = {}
+    for c, t in enumerate(tables):
+        for i, (_, tokens, gone) in zip(t.column("id").to_pylist(), substrings.kept_words(t, marks.get(c, none), window), strict=True):
+            out[i] = (len(tokens), set() if gone is None else set(np.flatnonzero(gone).tolist()))
+    return out
+
+
+@pytest.mark.parametrize("values", [1 << 62, 5, 1])
+def test_windows_are_told_apart_by_their_words(texts, monkeypatch, values):
+    """However few values the hash of a window has, only equal words are removed."""
+    rolled = substrings.rolled
+    monkeypatch.setattr(substrings, "rolled", lambda *x: rolled(*x) % np.uint64(values))
+    some = [(k, t) for k, (_, t) in enumerate(texts) if len(t or "") < 3000]
+    want = {i: (len(w), gone) for (i, _), (w, gone) in zip(some, brute_removed(some), strict=True)}
+    assert removed_in_chunks(some, 3) == want
+
+
+def test_rules_with_a_prefix_keep_matches_of_just_the_least_length(spark):
+    rules = (secrets.Rule("x", r"k[a-z]+", least=32), secrets.Rule("y", r"[0-9]+", least=8))
+    rows = [(1, "k" + "a" * 31), (2, "k" + "a" * 30), (3, "12345678 1234567"), (4, None)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), rules).collect()}
+    assert got == {1: "x:0:32", 2: "", 3: "y:0:8", 4: ""}

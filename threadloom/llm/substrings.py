@@ -9,9 +9,9 @@ Documents are dealt into chunks of about CHUNK_BYTES by a hash of id and text; h
    estimate is the least of its merged counters, one in each row; it is never below the true count, so every repeated window
    is estimated repeated. Of the others, with 16 counters to a window, a row mistakes 6 % and two rows 0.4 %.
 3. Each chunk passes on the windows that are estimated repeated: for windows of equal words only the earliest of the chunk, as
-   the others are repeated for sure. The windows that are passed on are grouped block by block, by 128 bits of two rolling
-   hashes that rest on two independent hashes of every word, and all but the earliest of each group are marked. (At 100 TB that
-   mistakes some window with a probability of about 1e-12.) A window that many documents share costs one entry a chunk.
+   the others are repeated for sure; which are equal is decided by their words. The windows that are passed on are grouped block
+   by block, by a cryptographic digest of their words (BLAKE2b, 192 bits), and all but the earliest of each group are marked. A
+   window that many documents share costs one entry a chunk.
 4. Each chunk removes the words that marked windows cover, in one pass over its texts.
 
 No sketch is broadcast and none passes through the driver; all four steps read one shuffle of the texts, by chunk.
@@ -44,19 +44,16 @@ CELL_BITS = 24
 DEPTH = 2
 #: Bytes of the words whose hashes a worker remembers.
 WORD_BYTES = 32 << 20
+#: Bytes of a window's digest.
+DIGEST = 24
 LAST_ID = (1 << 63) - 1
 #: Bits of a window's start; those above number the rows of one id.
 START_BITS = 40
 
 
-def word_hash() -> tuple[Memo, Memo]:
-    """Two independent hashes of words."""
-    one = lambda seed: Memo(lambda w: xxhash.xxh3_64_intdigest(w, seed) - (1 << 63), WORD_BYTES)
-    return kept(("hashes",), lambda: (one(0), one(1)))
-
-
-def hashes(tokens: list[bytes], which: int = 0) -> np.ndarray:
-    return np.fromiter(map(word_hash()[which].__getitem__, tokens), np.int64, len(tokens)).view(np.uint64)
+def hashes(tokens: list[bytes]) -> np.ndarray:
+    known = kept(("hashes",), lambda: Memo(lambda w: xxhash.xxh3_64_intdigest(w) - (1 << 63), WORD_BYTES))
+    return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)).view(np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -86,6 +83,7 @@ def rolled(h: np.ndarray, window: int, base: int) -> np.ndarray:
     return mixed(out[: len(h) - window + 1])
 
 
+#: Of the rolling hash, and what tells the sketch's rows apart.
 BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -198,19 +196,23 @@ def places(key: tuple, docs: pa.Table, replies: pa.Table, window: int, blocks: i
     row = np.repeat(np.arange(len(c.counts)), c.counts)[at]
     start = at - (np.cumsum(c.counts) - c.counts)[row]
     ids, nth = (x[row] for x in numbered(docs))
-    h1, h2 = c.h1[at], np.empty(len(at), np.uint64)
-    begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]).tolist()
-    for a, b in zip(begins, [*begins[1:], len(row)], strict=True):
-        h2[a:b] = rolled(hashes(words(docs.column("text")[int(row[a])].as_py()), 1), window, BASES[1])[start[a:b]]
-    order = np.lexsort((start, ids, h2, h1))
-    h1, h2, ids, start, nth, row = h1[order], h2[order], ids[order], start[order], nth[order], row[order]
-    head = heads(h1, h2)
+    h1 = c.h1[at]
+    begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    offset, spelled, index = np.zeros(len(c.counts), np.int64), [], {}
+    size = 0
+    for r in row[begins].tolist():
+        tokens = words(docs.column("text")[r].as_py())
+        spelled.append(np.fromiter((index.setdefault(w, len(index)) for w in tokens), np.int32, len(tokens)))
+        offset[r], size = size, size + len(tokens)
+    order, head = alike(h1, ids, start, np.concatenate(spelled), offset[row] + start, window)
+    h1, ids, start, nth, row = h1[order], ids[order], start[order], nth[order], row[order]
     later = (ids != ids[head]) | (start != start[head])
     ahead = ~later
+    said = digests(docs, row[ahead], start[ahead], window)
     start = start | (nth << START_BITS)
     block = (cells(h1[ahead], blocks) >> np.uint64(CELL_BITS)).astype(np.int64)  # ascends, as h1 does
     ends = np.flatnonzero(np.diff(block)) + 1
-    parts = [np.split(x[ahead], ends) for x in (h1.view(np.int64), h2.view(np.int64), ids, start)]
+    parts = [np.split(x, ends) for x in (*np.ascontiguousarray(said.T), ids[ahead], start[ahead])]
     rows = [(int(b), chunk, len(p[0]), planes(*p)) for b, *p in zip(block[np.r_[0, ends]], *parts, strict=True)]
     if later.any():
         sure = np.lexsort((start[later], row[later]))
@@ -220,23 +222,54 @@ def places(key: tuple, docs: pa.Table, replies: pa.Table, window: int, blocks: i
     return _rows(rows, PLACES)
 
 
-def heads(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    """Of sorted windows: where the first of equal ones stands."""
-    new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+def heads(*keys: np.ndarray) -> np.ndarray:
+    """Of rows sorted by keys: where the first of equal ones stands."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
+def digests(docs: pa.Table, row: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """The digests of windows' words, as rows of numbers, one text after the other."""
+    out, order = bytearray(DIGEST * len(row)), np.argsort(row, kind="stable")
+    begins = np.flatnonzero(np.r_[True, np.diff(row[order]) != 0]) if len(row) else []
+    for a, b in zip(begins, [*begins[1:], len(row)], strict=True):
+        tokens = words(docs.column("text")[int(row[order[a]])].as_py())
+        for k, s in zip(order[a:b].tolist(), start[order[a:b]].tolist(), strict=True):
+            out[k * DIGEST : (k + 1) * DIGEST] = hashlib.blake2b(b" ".join(tokens[s : s + window]), digest_size=DIGEST).digest()
+    return np.frombuffer(bytes(out), np.int64).reshape(-1, DIGEST // 8)
+
+
+def alike(h1: np.ndarray, ids: np.ndarray, start: np.ndarray, spelled: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of windows in which those of equal words stand together, the earliest first, and for each place in it the first of its group.
+
+    spelled: numbers of words, each word one; at: where in it a window begins. What shares a hash but not its words with the first goes on apart.
+    """
+    apart = np.zeros(len(h1), np.int64)
+    while True:
+        order = np.lexsort((start, ids, apart, h1))
+        head = heads(h1[order], apart[order])
+        own, first, same = at[order], at[order][head], np.ones(len(order), bool)
+        for k in range(window):
+            same &= spelled[own + k] == spelled[first + k]
+        if same.all():
+            return order, head
+        apart[order[~same]] += 1
+
+
 def resolve(key: tuple, table: pa.Table) -> pa.Table:
     """Step 3, for a block: marks for all windows but the earliest of each group. Marks pass through."""
     if key[0].as_py() < 0:
         return table.select(PLACES.names)
     chunks, sizes = (np.array(table.column(x), np.int64) for x in ("chunk", "n"))
-    each = [from_planes(d.as_py(), int(n), 4) for d, n in zip(table.column("data"), sizes, strict=True)]
-    h1, h2, ids, start = (np.concatenate(x) for x in zip(*each, strict=True))
+    each = [from_planes(d.as_py(), int(n), DIGEST // 8 + 2) for d, n in zip(table.column("data"), sizes, strict=True)]
+    *said, ids, start = (np.concatenate(x) for x in zip(*each, strict=True))
     chunk = np.repeat(chunks, sizes)
     begin = start & ((1 << START_BITS) - 1)
-    order = np.lexsort((begin, ids, h2, h1))
-    first = order[heads(h1[order], h2[order])]
+    order = np.lexsort((begin, ids, *said))
+    first = order[heads(*(x[order] for x in said))]
     late = order[(ids[order] != ids[first]) | (begin[order] != begin[first])]
     late = late[np.argsort(chunk[late], kind="stable")]
     ends = np.flatnonzero(np.diff(chunk[late])) + 1
