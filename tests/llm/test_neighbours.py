@@ -29,7 +29,7 @@ def test_votes_are_exact():
 
 
 def test_shapes():
-    assert [neighbours.shape(x.encode()) for x in ("The", "THE!!", "a1b22", "x$$$", "été", "--")] == [b"Aa", b"A!", b"a0a0", b"a$", b"uau", b"-"]
+    assert [neighbours.shape(x.encode().translate(neighbours.KINDS)) for x in ("The", "THE!!", "a1b22", "x$$$", "été", "--")] == [b"Aa", b"A!", b"a0a0", b"a$", b"uau", b"-"]
 
 
 @pytest.fixture(scope="module")

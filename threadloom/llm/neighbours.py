@@ -40,51 +40,54 @@ from threadloom.llm.common import Memo, kept, long_texts, settled, words
 #: Labelled documents of each label that are fitted at most.
 LABELLED = 4096
 DIMENSIONS, EXTRA, ROUNDS = 64, 8, 4
+#: Tasks that fit, each of which sends the driver one block of numbers.
+PARTS = 4
 K = 24
 #: Slots of words, shapes and facts, and the weight of each block.
 SLOTS, WEIGHTS = (1 << 14, 1 << 11, 96), (1.0, 1.0, 1.0)
 ALL = sum(SLOTS)
-WORD_BYTES = 48 << 20
+#: Bytes of the words by kind of character whose shapes a worker remembers.
+SHAPE_BYTES = 16 << 20
 #: Documents that meet all labelled vectors at once.
 BLOCK = 256
 MODULUS, HELD_OUT = 3, 1
-RUNS = re.compile(rb"([A-Z])[A-Z]*|([a-z])[a-z]*|([0-9])[0-9]*|([\x80-\xff])[\x80-\xff]*|([^A-Za-z0-9\x80-\xff])\5*")
+KINDS = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 else 48 if 48 <= c <= 57 else 117 if c >= 128 else c for c in range(256))
+RUNS = re.compile(rb"([\s\S])\1+")
 
 
-def shape(word: bytes) -> bytes:
-    kinds = (b"A", b"a", b"0", b"u")
-    return RUNS.sub(lambda m: kinds[m.lastindex - 1] if m.lastindex < 5 else m[5], word)
+def shape(kinds: bytes) -> bytes:
+    """Of a word's characters by kind: one for each run."""
+    return RUNS.sub(rb"\1", kinds)
 
 
-def slots(word: bytes) -> tuple[int, int]:
-    return zlib.crc32(word.lower()) % SLOTS[0], SLOTS[0] + zlib.crc32(shape(word)) % SLOTS[1]
+def shape_slot(kinds: bytes) -> int:
+    return zlib.crc32(shape(kinds)) % SLOTS[1]
 
 
 class Terms:
-    """A text's slots and raw weights, in the order of blocks, with where each block begins."""
+    """A text's slots and raw weights, in the order of blocks, with where each block begins. Words that share a slot each have their own weight there."""
 
     def __init__(self) -> None:
-        self.slots = Memo(slots, WORD_BYTES)
+        self.shapes = Memo(shape_slot, SHAPE_BYTES)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, tuple[int, int]] | None:
         found = words(text)
         if not found:
             return None
-        plain: dict[int, int] = {}
-        shapes: dict[int, int] = {}
         counts = Counter(found)
-        for w, n in counts.items():
-            a, b = self.slots[w]
-            plain[a] = plain.get(a, 0) + n
-            shapes[b] = shapes.get(b, 0) + n
+        each = np.fromiter(counts.values(), np.float64, len(counts))
+        spelled = b" ".join(counts)  # words hold no spaces, so their letters can be changed in one go
+        plain = np.fromiter(map(zlib.crc32, spelled.lower().split(b" ")), np.int64, len(counts)) % SLOTS[0]
+        in_shape = np.bincount(np.fromiter(map(self.shapes.__getitem__, spelled.translate(KINDS).split(b" ")), np.int64, len(counts)), each, SLOTS[1])
+        shapes = np.flatnonzero(in_shape)
         lines = [x for x in text.split("\n") if x.strip()]
         n, different = len(found), len(counts)
         facts = [
             min(11, n.bit_length() - 1), 12 + 10 * different // n, 24 + (10 * (len(lines) - len(set(lines))) // len(lines) if lines else 0), 36 + min(20, sum(map(len, found)) // n),
             60 + 10 * sum(map(eq, found, found[1:])) // n, 72 + min(11, (n // different).bit_length() - 1), 84 + 10 * max(counts.values()) // n,
         ]
-        at = np.array([*plain, *shapes, *(SLOTS[0] + SLOTS[1] + x for x in facts)], np.int32)
-        return at, np.log1p(np.array([*plain.values(), *shapes.values(), *[1] * len(facts)], np.float64)), (len(plain), len(plain) + len(shapes))
+        at = np.concatenate([plain, shapes + SLOTS[0], np.array(facts) + (SLOTS[0] + SLOTS[1])])
+        return at, np.log1p(np.concatenate([each, in_shape[shapes], np.ones(len(facts))])), (len(plain), len(plain) + len(shapes))
 
 
 def weighted(terms: tuple, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +100,12 @@ def weighted(terms: tuple, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, x
 
 
+def summed(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each slot once."""
+    slot, own = np.unique(at, return_inverse=True)
+    return slot.astype(np.int32), np.bincount(own, x)
+
+
 def frequencies(texts: DataFrame) -> np.ndarray:
     """How many of all texts have each slot; a row a slot and task is shuffled. The last number is how many texts have words."""
 
@@ -135,11 +144,11 @@ def fitted(texts: DataFrame, idf: np.ndarray, dimensions: int) -> tuple[np.ndarr
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = kept(("terms",), Terms)
         for b in batches:
-            found = [(i, y, *weighted(t, idf)) for i, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True) if (t := terms.of(x))]
+            found = [(i, y, *summed(*weighted(t, idf))) for i, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True) if (t := terms.of(x))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], b.column(0).type), pa.array([r[1] for r in found], pa.int32()), pa.array([r[2] for r in found], pa.list_(pa.int32())), pa.array([r[3] for r in found], pa.list_(pa.float64()))], ["doc_id", "label", "at", "x"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = settled(texts.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(weights, f"doc_id {kind}, label int, at array<int>, x array<double>"), "neighbours-fit").coalesce(8)
+    rows = settled(texts.select("doc_id", F.col("label").cast("int"), "text").mapInArrow(weights, f"doc_id {kind}, label int, at array<int>, x array<double>"), "neighbours-fit").coalesce(PARTS)
 
     def each(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at, x in zip(b.column(0), b.column(1), strict=True):
@@ -153,11 +162,13 @@ def fitted(texts: DataFrame, idf: np.ndarray, dimensions: int) -> tuple[np.ndarr
             q, out = told.value, np.zeros_like(told.value)
             for b in batches:
                 for at, x in each(b):
-                    np.add.at(out, at, x[:, None] * (x @ q[at]))
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["part"])
+                    out[at] += x[:, None] * (x @ q[at])  # a text's slots are different ones
+            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["part"])
 
-        out = sum((np.frombuffer(r["part"]).reshape(basis.shape) for r in rows.select("at", "x").mapInArrow(run, "part binary").collect()), np.zeros(basis.shape))
-        told.unpersist()
+        out = np.zeros(basis.shape)
+        for r in rows.select("at", "x").mapInArrow(run, "part binary").toLocalIterator():
+            out += np.frombuffer(r["part"], np.float32).reshape(basis.shape)
+        told.destroy()
         return out
 
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((ALL, dimensions + EXTRA)))[0]
