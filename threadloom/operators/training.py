@@ -1,9 +1,7 @@
-"""What surrounds the networks: draws of pairs, decaying scores, stop rules, predictions by fragment, uniqueness, accumulation over DataFrames."""
+"""What surrounds the networks: draws of pairs, decaying scores, predictions by fragment, uniqueness, accumulation over DataFrames."""
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,31 +81,3 @@ def accumulated(members: DataFrame, fragments: DataFrame, pairs: DataFrame, n: i
 
     return rows.groupBy("video_id").cogroup(pairs.groupBy("video_id")).applyInPandas(run, "video_id long, fragment_id long, identity long, round long")
 
-
-class Stop:
-    """When training ends. Call with each epoch's losses and accuracy; a reason other than "" ends it."""
-
-    def __init__(self, epochs: int, patience: int = 10, worse: int = 5, plateau: float = 0.01):
-        self.epochs, self.patience, self.worse, self.plateau = epochs, patience, worse, plateau
-        self.losses: list[float] = []
-        self.rising = 0
-
-    def __call__(self, train_loss: float, loss: float, accuracy: float) -> str:
-        done = len(self.losses)
-        self.losses.append(loss)
-        if done > 1 and (math.isnan(train_loss) or math.isnan(loss)):
-            raise RuntimeError("the model has diverged")
-        if done >= self.epochs:
-            return "epochs"
-        if done <= self.patience:
-            return ""
-        lately = [x for x in self.losses[-self.patience : -1] if not math.isnan(x)]
-        trend = sum(lately) / len(lately) if lately else math.inf
-        self.rising = self.rising + 1 if trend < loss else 0
-        if self.rising >= self.worse:
-            return "overfitting"
-        if abs(trend - loss) < self.plateau * loss:
-            return "plateau"
-        if accuracy == 1.0:
-            return "accuracy"
-        return "zero loss" if trend == 0.0 or loss == 0.0 else ""
