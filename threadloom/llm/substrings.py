@@ -10,7 +10,7 @@ Documents are dealt into chunks of about CHUNK_BYTES by a hash of id and text; h
    is estimated repeated. Of the others, with 16 counters to a window, a row mistakes 6 % and two rows 0.4 %.
 3. Each chunk passes on the windows that are estimated repeated: for windows of equal words only the earliest of the chunk, as
    the others are repeated for sure; which are equal is decided by their words. The windows that are passed on are grouped block
-   by block, by a cryptographic digest of their words (BLAKE2b, 192 bits), and all but the earliest of each group are marked. A
+   by block, by a cryptographic digest of their words (BLAKE2b, 160 bits), and all but the earliest of each group are marked. A
    window that many documents share costs one entry a chunk.
 4. Each chunk removes the words that marked windows cover, in one pass over its texts.
 
@@ -44,8 +44,8 @@ CELL_BITS = 24
 DEPTH = 2
 #: Bytes of the words whose hashes a worker remembers.
 WORD_BYTES = 32 << 20
-#: Bytes of a window's digest.
-DIGEST = 24
+#: Bytes of a window's digest, and the numbers that hold them; what is left of the last is 0, which compresses to nothing.
+DIGEST, NUMBERS = 20, 3
 LAST_ID = (1 << 63) - 1
 #: Bits of a window's start; those above number the rows of one id.
 START_BITS = 40
@@ -233,13 +233,14 @@ def heads(*keys: np.ndarray) -> np.ndarray:
 
 def digests(docs: pa.Table, row: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
     """The digests of windows' words, as rows of numbers, one text after the other."""
-    out, order = bytearray(DIGEST * len(row)), np.argsort(row, kind="stable")
+    size = 8 * NUMBERS
+    out, order = bytearray(size * len(row)), np.argsort(row, kind="stable")
     begins = np.flatnonzero(np.r_[True, np.diff(row[order]) != 0]) if len(row) else []
     for a, b in zip(begins, [*begins[1:], len(row)], strict=True):
         tokens = words(docs.column("text")[int(row[order[a]])].as_py())
         for k, s in zip(order[a:b].tolist(), start[order[a:b]].tolist(), strict=True):
-            out[k * DIGEST : (k + 1) * DIGEST] = hashlib.blake2b(b" ".join(tokens[s : s + window]), digest_size=DIGEST).digest()
-    return np.frombuffer(bytes(out), np.int64).reshape(-1, DIGEST // 8)
+            out[k * size : k * size + DIGEST] = hashlib.blake2b(b" ".join(tokens[s : s + window]), digest_size=DIGEST).digest()
+    return np.frombuffer(bytes(out), np.int64).reshape(-1, NUMBERS)
 
 
 def alike(h1: np.ndarray, ids: np.ndarray, start: np.ndarray, spelled: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +265,7 @@ def resolve(key: tuple, table: pa.Table) -> pa.Table:
     if key[0].as_py() < 0:
         return table.select(PLACES.names)
     chunks, sizes = (np.array(table.column(x), np.int64) for x in ("chunk", "n"))
-    each = [from_planes(d.as_py(), int(n), DIGEST // 8 + 2) for d, n in zip(table.column("data"), sizes, strict=True)]
+    each = [from_planes(d.as_py(), int(n), NUMBERS + 2) for d, n in zip(table.column("data"), sizes, strict=True)]
     *said, ids, start = (np.concatenate(x) for x in zip(*each, strict=True))
     chunk = np.repeat(chunks, sizes)
     begin = start & ((1 << START_BITS) - 1)
