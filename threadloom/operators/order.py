@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.sources.tables import settled
+
 #: Values of the key in a range.
 WIDTH = 1 << 12
 
 
 def _ranged(rows: DataFrame, key: str, width: int) -> DataFrame:
-    return rows.withColumn("_range", F.floor(F.col(key) / width))
+    """rows with the range of their key, as a table, as they are read twice."""
+    return settled(rows.withColumn("_range", F.floor(F.col(key) / width)), "ranges")
 
 
 def ranked(rows: DataFrame, key: str, name: str, then: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:

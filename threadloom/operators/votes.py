@@ -81,7 +81,7 @@ def available(identified: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
 def contrastive_pairs(pairs: DataFrame, fragments: DataFrame, least: int) -> DataFrame:
     """frag_a, frag_b, kind: coexisting fragments of at least `least` images are negative pairs, each fragment with itself a positive one."""
     long = fragments.where(F.col("n_images") >= least).select("fragment_id")
-    if pairs.isEmpty():
-        raise ValueError("no fragments coexist, so there are no negative pairs")
     neg = pairs.join(long.withColumnRenamed("fragment_id", "frag_a"), "frag_a", "left_semi").join(long.withColumnRenamed("fragment_id", "frag_b"), "frag_b", "left_semi")
+    if neg.isEmpty():
+        raise ValueError("no long fragments coexist, so there are no negative pairs")
     return neg.select("frag_a", "frag_b", F.lit("negative").alias("kind")).unionByName(long.select(F.col("fragment_id").alias("frag_a"), F.col("fragment_id").alias("frag_b"), F.lit("positive").alias("kind")))

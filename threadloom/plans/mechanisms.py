@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import contours, epochs, pixels, poses, splines
+from threadloom.operators import contours, epochs, linking, pixels, poses, splines
+from threadloom.plans.more import posed
 from threadloom.plans.queries import TRACKED, query, six, tracks
 from threadloom.sources import columns, posefile
 from threadloom.sources import fixtures as fx
@@ -206,3 +207,10 @@ def training_stops(spark, d):
     e = fx.table(spark, d, "events")
     own = epochs.numbered(e.select(F.col("user_id").alias("run"), "event_id", (F.col("value") / 500).alias("train_loss"), F.when(F.col("event_id") % 211 == 0, 0.0).otherwise(F.col("value") / 400).alias("loss"), F.when(F.col("event_id") % 97 == 0, 1.0).otherwise(0.5).alias("accuracy")), "event_id")
     return epochs.stops(own, STOPS)
+
+
+@query()
+def linked_poses(spark, d):
+    """The whole link step by keypoints, in both directions: partners, gaps and ambiguous instances."""
+    rows = posed(spark, d).select("frame", F.col("instance_idx").cast("long").alias("instance_idx"), "cx", "cy", "pose")
+    return linking.linked(rows, linking.Settings("keypoint", 0.1, radius=60.0)).select("frame", "instance_idx", "next_frame", "next_instance", *six("gap"), "forward", "backward", "is_overlapping")

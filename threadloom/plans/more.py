@@ -152,14 +152,21 @@ def coexistence_checks(spark, d):
 
 @query()
 def accumulated_identities(spark, d):
-    members, found = global_members(spark, d)
-    det = fx.detections(spark, d)
-    v = det.select((F.col("fragment_id") % 3 * 1000 + F.floor(F.col("frame") / 50)).alias("fragment_id"), (F.col("identity") % 3 + 1).alias("identity")).groupBy("fragment_id", "identity").agg(F.count("*").alias("n_images"))
+    """Each video apart: where a fragment begins and two others of its video run, the three are a global fragment; those of the longest shortest member come first."""
+    f = fx.fragments(spark, d)
+    both = pairs(spark, d).select("video_id", "frag_a", "frag_b")
+    starts = f.select("fragment_id", F.col("start_frame").alias("at"))
+    running = f.select(F.col("fragment_id").alias("o"), "start_frame", "end_frame")
+    near = both.select("video_id", F.col("frag_a").alias("fragment_id"), F.col("frag_b").alias("o")).unionByName(both.select("video_id", F.col("frag_b").alias("fragment_id"), F.col("frag_a").alias("o")))
+    met = near.join(starts, "fragment_id").join(running, "o").where("start_frame <= at and at < end_frame").groupBy("video_id", "fragment_id").agg(F.collect_set("o").alias("others")).where("size(others) = 2")
+    each = met.select("video_id", F.col("fragment_id").alias("g"), F.explode(F.concat("others", F.array("fragment_id"))).alias("fragment_id"))
+    least = each.join(f.select("fragment_id", (F.col("end_frame") - F.col("start_frame")).alias("long")), "fragment_id").groupBy("video_id", "g").agg(F.min("long").alias("long"))
+    order = least.withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("long"), "g")))
+    v = fx.votes(spark, d).select("fragment_id", (F.col("identity") % 3 + 1).alias("identity"), "n_images").groupBy("fragment_id", "identity").agg(F.sum("n_images").alias("n_images"))
     p = votes.p1(v, 3).groupBy("fragment_id").agg(F.sum("n_images").alias("n_images"), F.transform(F.array_sort(F.collect_list(F.struct("identity", "p1"))), lambda s: s["p1"]).alias("p1"))
-    video = F.lit(0).cast("long").alias("video_id")
-    order = fragments.ranked_globals(found, 0).select("global_fragment", F.col("by_distance").alias("place"))
-    together = members.alias("a").join(members.alias("b"), F.col("a.global_fragment") == F.col("b.global_fragment")).where("a.fragment_id < b.fragment_id").select(F.col("a.fragment_id").alias("frag_a"), F.col("b.fragment_id").alias("frag_b")).distinct()
-    return training.accumulated(members.join(order, "global_fragment").select(video, "place", "fragment_id"), p.select(video, "*", F.lit(1.0).alias("certainty")), together.select(video, "*"), 3)
+    known = f.select("video_id", "fragment_id").join(p, "fragment_id").withColumn("certainty", F.lit(1.0))
+    members = each.join(order, ["video_id", "g"]).select("video_id", "place", "fragment_id")
+    return training.accumulated(members, known, both.select((F.col("video_id") + 0).alias("video_id"), "frag_a", "frag_b"), 3)
 
 
 @query("""+ moves AS (SELECT * FROM (SELECT individual, frame, probability, lag(frame) OVER (PARTITION BY individual ORDER BY frame) AS was FROM tracks WHERE probability < 0.5)),
@@ -253,11 +260,20 @@ def full_reconciliation(spark, d):
     return collisions.full_reconciliation(all_, r)
 
 
-@query("""SELECT event_id, CASE WHEN identity = 0 AND NOT is_overlapping THEN true ELSE is_overlapping END AS is_crossing, 1 AS single, ['red', 'green', 'blue', 'orange', 'purple', 'cyan', 'magenta'][(fragment_id % 7 + 1)::INT] AS colour,
+@query("""SELECT event_id, CASE WHEN identity = 0 AND NOT is_overlapping THEN true ELSE is_overlapping END AS is_crossing,
+  ['blue #0072BD', 'orange-red #D95319', 'amber #EDB120', 'purple #7E2F8E', 'olive-green #77AC30', 'light-blue #4DBEEE', 'dark-red #A2142F'][(fragment_id % 7 + 1)::INT] AS colour,
   CASE WHEN cx <= 200 AND cy <= 400 THEN 0 WHEN cx >= 100 AND cx <= 300 AND cy >= 300 AND cy <= 800 THEN 1 END AS region FROM detections""", ("detections",))
 def detection_labels(spark, d):
     det = fx.detections(spark, d)
-    return det.select("event_id", blobs.crossing_of_refused("identity", "is_overlapping").alias("is_crossing"), F.lit(1).alias("single"), poses.colour(F.col("fragment_id")).alias("colour"), fragments.region_index(F.col("cx"), F.col("cy"), [(-1e9, -1e9, 200, 400), (100, 300, 300, 800)]).alias("region"))
+    return det.select("event_id", blobs.crossing_of_refused("identity", "is_overlapping").alias("is_crossing"), poses.colour(F.col("fragment_id")).alias("colour"), fragments.region_index(F.col("cx"), F.col("cy"), [(-1e9, -1e9, 200, 400), (100, 300, 300, 800)]).alias("region"))
+
+
+@query("SELECT fragment_id, video_id, CASE WHEN video_id % 3 = 0 THEN 1 ELSE fragment_id % 5 END AS identity FROM fragments", ("fragments",))
+def single_animals(spark, d):
+    """Videos have one, two or three animals by their number, but for the last, of which none says how many."""
+    f = fx.fragments(spark, d).withColumn("identity", F.col("fragment_id") % 5)
+    videos = f.select("video_id").distinct().where("video_id <> 49").withColumn("n_animals", F.col("video_id") % 3 + 1)
+    return identities.alone(f, videos).select("fragment_id", "video_id", "identity")
 
 
 @query("SELECT r AS region, array_to_string(list_sort(list(DISTINCT i)), ',') AS identities FROM (SELECT s_suppkey AS i, CASE WHEN s_suppkey % 5 > 0 THEN s_nationkey ELSE -1 END AS r FROM supplier) WHERE r >= 0 GROUP BY r")

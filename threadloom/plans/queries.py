@@ -12,6 +12,7 @@ from threadloom.functions import hulls
 from threadloom.operators import assignment, blobs, clusters, collisions, decisions, frames, identities, intervals, links, runs, sampling, votes
 from threadloom.sources import fixtures as fx
 from threadloom.sources import trajectories as io
+from threadloom.sources.tables import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -306,7 +307,7 @@ similar_ AS (SELECT *, exp(-d / 200) AS similarity FROM sim WHERE d <= 400)"""
 
 
 def similar(spark: SparkSession, d: str) -> DataFrame:
-    det = fx.detections(spark, d)
+    det = settled(fx.detections(spark, d).select("frame", "instance_idx", "cx", "cy"), "detections")
     return links.pair_similarities(det, links.frame_pairs(det), 200.0, 400.0)
 
 
@@ -472,9 +473,11 @@ def interleaved_frames(spark, d):
     return sampling.interleaved(fx.detections(spark, d).select("frame").distinct())
 
 
-@query("SELECT fragment_id, end_frame FROM fragments WHERE end_frame <= 1000", ("fragments",))
+@query("SELECT 'past' AS scope, fragment_id, start_frame, end_frame FROM fragments WHERE end_frame <= 2000 UNION ALL SELECT 'future', fragment_id, start_frame, end_frame FROM fragments WHERE start_frame >= 2000", ("fragments",))
 def fragments_before(spark, d):
-    return sampling.ordered_from(fx.fragments(spark, d), 1000, "past").select("fragment_id", "end_frame")
+    """Those before a frame in the middle of the data, and those after it."""
+    past, future = (sampling.ordered_from(fx.fragments(spark, d), 2000, s).select(F.lit(s).alias("scope"), "fragment_id", "start_frame", "end_frame") for s in ("past", "future"))
+    return past.unionByName(future)
 
 
 @query("""SELECT pair_id, round(probability, 9) AS probability, round(sum(probability) OVER (ORDER BY pair_id), 6) AS cumulative FROM (SELECT o_orderkey AS pair_id, (o_custkey / (SELECT sum(o_custkey) FROM orders) + o_totalprice / (SELECT sum(o_totalprice) FROM orders)) / 2 AS probability FROM orders)""")
@@ -539,7 +542,10 @@ def uniqueness_demotion(spark, d):
     return identities.assign_identities(*_neighbours(p, 5))
 
 
-@query()
+@query("""+ d AS (SELECT a.vec_id, a.label, b.label AS cluster, sum(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS s, count(*) AS n FROM vectors a, vectors b GROUP BY ALL),
+m AS (SELECT vec_id, label, cluster, CASE WHEN cluster = label AND n = 1 THEN 0 WHEN cluster = label THEN s / (n - 1) ELSE s / n END AS mean FROM d),
+o AS (SELECT a.vec_id, a.label, a.cluster, a.mean AS own, min(b.mean) AS other FROM m a LEFT JOIN m b ON b.vec_id = a.vec_id AND b.cluster <> a.cluster GROUP BY ALL)
+SELECT vec_id, label, cluster, round(coalesce((other - own) / greatest(own, other, 1e-12), 0), 6) AS silhouette FROM o""", ("vectors",))
 def hypothesis_silhouettes(spark, d):
     return clusters.hypothesis_silhouettes(fx.embeddings(spark, d)).select("vec_id", "label", "cluster", *six("silhouette"))
 
@@ -560,7 +566,11 @@ def silhouette_assignment(spark, d):
     return identities.assign_by_scores(*_neighbours(clusters.fragment_scores(clusters.hypothesis_silhouettes(v), images), 5))
 
 
-@query()
+@query("""+ RECURSIVE_o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_frame, fragment_id) AS i FROM fragments),
+r(video_id, i, fragment_id, slot, ends) AS (SELECT video_id, i, fragment_id, 1, [end_frame] FROM o WHERE i = 1
+  UNION ALL SELECT video_id, i, fragment_id, k, list_concat(list_concat(ends[1:k - 1], [end_frame]), ends[k + 1:]) FROM (
+    SELECT o.video_id, o.i, o.fragment_id, o.end_frame, r.ends, coalesce(nullif(list_position(list_transform(r.ends, lambda e: e <= o.start_frame), true), 0), len(r.ends) + 1)::INT AS k FROM r JOIN o ON o.video_id = r.video_id AND o.i = r.i + 1))
+SELECT video_id, fragment_id, slot::BIGINT AS slot FROM r""", ("fragments",))
 def slot_assignment(spark, d):
     return identities.first_free_slots(fx.fragments(spark, d))
 
@@ -634,17 +644,21 @@ def episode_invariants(spark, d):
     return frames.episode_faults(eps, n)
 
 
-@query(CENTRES + """, near AS (SELECT vec_id, label, nearest FROM (SELECT v.vec_id, v.label, c.label AS nearest, row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(list_zip(v, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.label) AS r FROM vectors v, centres c) WHERE r = 1)
-SELECT label, label AS matched, round(count(*) FILTER (nearest = label) / count(*), 6) AS share FROM near GROUP BY label""", ("vectors",))
+@query(CENTRES + """, near AS (SELECT vec_id, label, nearest FROM (SELECT v.vec_id, v.label, c.label AS nearest, row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(list_zip(v, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.label) AS r FROM vectors v, centres c) WHERE r = 1),
+k AS (SELECT label, nearest, count(*) AS n, sum(count(*)) OVER (PARTITION BY label) AS total, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, nearest) AS r FROM near GROUP BY label, nearest)
+SELECT label, nearest AS matched, round(n / total, 6) AS share FROM k WHERE r = 1""", ("vectors",))
 def cluster_matching(spark, d):
     v = fx.embeddings(spark, d)
     return assignment.matched(clusters.confusion(clusters.nearest_centres(v, clusters.label_centres(v)), "label", "nearest", 10), 10)
 
 
-@query()
+@query("SELECT event_id, round(common / (1600 + legs * legs / 2 - common), 6) AS iou FROM (SELECT *, legs * legs / 2 - pow(greatest(legs - 40, 0), 2) AS common FROM (SELECT event_id, (10 + event_id % 60) * 1.0371234::DOUBLE AS legs FROM detections))", ("detections",))
 def hull_overlaps(spark, d):
+    """A square of 40 and a right triangle in its corner, whose legs may be longer: two small triangles are outside. Both have a point within their hulls."""
     at = lambda c, *by: F.array(*(F.col(c) + x for x in by))
-    iou = hulls.hull_iou(at("cx", 0, 40, 40, 0, 20), at("cy", 0, 0, 20, 20, 10), at("cx", 10, 60, 35), at("cy", 5, 5, 30))
+    legs = (F.lit(10) + F.col("event_id") % 60) * F.lit(1.0371234)
+    zero = F.lit(0.0)
+    iou = hulls.hull_iou(at("cx", 0, 40, 40, 0, 20), at("cy", 0, 0, 40, 40, 10), at("cx", zero, legs, zero, legs / 4), at("cy", zero, zero, legs, legs / 4))
     return fx.detections(spark, d).select("event_id", F.round(iou, 6).alias("iou"))
 
 
