@@ -10,6 +10,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from threadloom.operators.sampling import lot
+from threadloom.sources.tables import settled
 
 #: Centres are broadcast up to this number.
 MOST_CENTRES = 4096
@@ -48,6 +52,28 @@ def lloyd(vectors: DataFrame, centres: DataFrame, steps: int) -> DataFrame:
     return centres
 
 
+def first_centres(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
+    """label (from 0), centre, n (0): the k rows of the least lots."""
+    some = vectors.select("vec_id", "v", lot(F.col("vec_id") + 1, seed).alias("_lot")).orderBy("_lot", "vec_id").limit(k)
+    return some.select((F.row_number().over(Window.orderBy("_lot", "vec_id")) - 1).cast("long").alias("label"), F.col("v").alias("centre"), F.lit(0).cast("long").alias("n"))  # k rows
+
+
+def mini_batches(vectors: DataFrame, centres: DataFrame, steps: int, share: int, seed: int = 1) -> DataFrame:
+    """label, centre, n after `steps` batches, each of about one row in `share`, drawn by lot. centres: label, centre, n (rows that it has had).
+
+    Each centre moves to the mean of all rows that it ever had, so at a rate of its own, one over their number. The state is a table of
+    k rows a step; a centre without rows in a batch stays.
+    """
+    now = centres
+    for step in range(steps):
+        batch = vectors.where(lot(F.col("vec_id") + 1, seed + step) % share == 0)
+        near = nearest_centres(batch, now).select(F.col("nearest").alias("label"), array_to_vector("v").alias("_v"))
+        new = near.groupBy("label").agg(F.count("*").alias("_n"), Summarizer.sum(F.col("_v")).alias("_s")).select("label", "_n", vector_to_array("_s").alias("_s"))
+        moved = F.zip_with("centre", "_s", lambda c, s: (c * F.col("n") + s) / (F.col("n") + F.col("_n")))
+        now = settled(now.join(new, "label", "left").select("label", F.when(F.col("_n").isNull(), F.col("centre")).otherwise(moved).alias("centre"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")), "centres")
+    return now
+
+
 def distance_sums(a: np.ndarray, b: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each row of a, the sums of its Euclidean distances to the runs of b's rows that begin at starts."""
     out = np.empty((len(a), len(starts)))

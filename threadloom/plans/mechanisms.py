@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from threadloom.operators import contours, epochs, linking, pixels, poses, splines
+from threadloom.operators import clusters, contours, epochs, gather, linking, pixels, poses, sessions, splines
 from threadloom.plans.more import posed
 from threadloom.plans.queries import TRACKED, query, six, tracks
 from threadloom.sources import columns, posefile
@@ -214,3 +215,75 @@ def linked_poses(spark, d):
     """The whole link step by keypoints, in both directions: partners, gaps and ambiguous instances."""
     rows = posed(spark, d).select("frame", F.col("instance_idx").cast("long").alias("instance_idx"), "cx", "cy", "pose")
     return linking.linked(rows, linking.Settings("keypoint", 0.1, radius=60.0)).select("frame", "instance_idx", "next_frame", "next_instance", *six("gap"), "forward", "backward", "is_overlapping")
+
+
+def _lot(x: str, seed: int = 1) -> str:
+    return f"((({x}) % 2147483647 * 48271 + {seed}) % 2147483647 * 16807 + 12345) % 2147483647"
+
+
+#: Each document is an image that three models judge: its own session's, those of the next two; often as it is, else one off.
+JUDGED = """j AS (SELECT source || '-' || lang AS session, doc_id, n_chars FROM documents), s AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS k, count(*) OVER () AS total FROM (SELECT DISTINCT session FROM j)),
+p AS (SELECT a.session, b.session AS model, doc_id % (3 + a.k % 3) AS identity, (doc_id % (3 + a.k % 3) + CASE WHEN n_chars % 4 = 0 THEN 1 ELSE 0 END) % (3 + b.k % 3) AS predicted FROM j JOIN s a ON a.session = j.session, range(1, 3) d(d) JOIN s b ON true WHERE b.k = (a.k + d) % a.total AND a.k <> b.k)"""
+
+
+def judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = fx.table(spark, d, "documents").select(F.concat("source", F.lit("-"), "lang").alias("session"), "doc_id", "n_chars")
+    s = ranked_sessions(docs)
+    a = docs.join(s, "session")
+    others = s.select(F.col("session").alias("model"), F.col("k").alias("m"), F.col("n_animals").alias("n_other"))
+    met = a.withColumn("d", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("m", (F.col("k") + F.col("d")) % F.col("total")).join(others, "m").where("k <> m")
+    identity = F.col("doc_id") % F.col("n_animals")
+    return met.select("session", "model", identity.alias("identity"), ((identity + F.when(F.col("n_chars") % 4 == 0, 1).otherwise(0)) % F.col("n_other")).alias("predicted")), s.select("session", "n_animals")
+
+
+def ranked_sessions(docs: DataFrame) -> DataFrame:
+    """session, k, n_animals, total: sessions are few."""
+    order = Window.orderBy("session")
+    s = docs.select("session").distinct().withColumn("k", F.row_number().over(order) - 1)
+    return s.crossJoin(F.broadcast(docs.agg(F.count_distinct("session").alias("total")))).withColumn("n_animals", F.col("k") % 3 + 3)
+
+
+@query(f"WITH {JUDGED} SELECT least(session, model) AS session, greatest(session, model) AS master, CASE WHEN session < model THEN identity ELSE predicted END AS identity, CASE WHEN session < model THEN predicted ELSE identity END AS other, count(*) FILTER (session < model) AS direct, count(*) FILTER (session > model) AS indirect, count(*) AS joined FROM p GROUP BY ALL")
+def session_matrices(spark, d):
+    return sessions.matrices(judged(spark, d)[0])
+
+
+@query()
+def session_matches(spark, d):
+    predictions, animals = judged(spark, d)
+    return sessions.matched(sessions.matrices(predictions), animals).select("session", "master", "identity", "assignment", *six("direct_score", "indirect_score", "agreement"))
+
+
+@query(f"SELECT event_id AS draw, o.o_orderkey AS pair_id, ({_lot('event_id * 2 + 1')}) % (1 + o.o_orderkey % 7) AS image_a, ({_lot('event_id * 2 + 2')}) % (1 + o.o_custkey % 5) AS image_b FROM events e JOIN orders o ON o.o_orderkey = 1 + e.user_id % 100")
+def drawn_images(spark, d):
+    """Events are draws of pairs: an order, with as many images as its key says, and its customer."""
+    e = fx.table(spark, d, "events").select(F.col("event_id").alias("draw"), (1 + F.col("user_id") % 100).alias("pair_id"))
+    o = fx.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    pairs = o.select(F.col("o_orderkey").alias("pair_id"), (F.col("o_orderkey") * 2).alias("frag_a"), (F.col("o_orderkey") * 2 + 1).alias("frag_b"))
+    sizes = o.select((F.col("o_orderkey") * 2).alias("fragment_id"), (1 + F.col("o_orderkey") % 7).alias("n_images")).unionByName(o.select((F.col("o_orderkey") * 2 + 1).alias("fragment_id"), (1 + F.col("o_custkey") % 5).alias("n_images")))
+    return gather.drawn_images(e, pairs, sizes)
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS ordinal, l_suppkey % 15 AS episode, l_partkey % 60 AS image, value FROM lineitem LEFT JOIN (SELECT user_id % 10 AS episode, event_id % 50 AS image, max(value) AS value FROM events GROUP BY ALL) i ON i.episode = l_suppkey % 15 AND i.image = l_partkey % 60")
+def gathered_images(spark, d):
+    """Line items ask for images of episodes, most of them often, some that are not there."""
+    asked = fx.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), (F.col("l_suppkey") % 15).alias("episode"), (F.col("l_partkey") % 60).alias("image"))
+    images = fx.table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("episode"), (F.col("event_id") % 50).alias("image")).agg(F.max("value").alias("value"))
+    return gather.gathered(asked, images).select("ordinal", "episode", "image", "value")
+
+
+def _batches(steps: int, k: int, share: int) -> str:
+    out = [f"c0 AS (SELECT row_number() OVER (ORDER BY {_lot('vec_id + 1')}, vec_id) - 1 AS label, v AS centre, 0::BIGINT AS n FROM vectors ORDER BY {_lot('vec_id + 1')}, vec_id LIMIT {k})"]
+    for s in range(steps):
+        out.append(f"""b{s} AS (SELECT vec_id, v, label FROM (SELECT vec_id, v, c{s}.label, row_number() OVER (PARTITION BY vec_id ORDER BY sqrt(list_sum(list_transform(list_zip(v, centre), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), c{s}.label) AS r FROM vectors, c{s} WHERE ({_lot('vec_id + 1', 1 + s)}) % {share} = 0) WHERE r = 1),
+u{s} AS (SELECT label, list(x ORDER BY i) AS total, any_value(m) AS m FROM (SELECT label, i, sum(v[i]) AS x, count(*) AS m FROM b{s}, range(1, 65) r(i) GROUP BY label, i) GROUP BY label),
+c{s + 1} AS (SELECT c.label, CASE WHEN m IS NULL THEN centre ELSE list_transform(list_zip(centre, u.total), lambda z: (z[1] * n + z[2]) / (n + m)) END AS centre, n + coalesce(m, 0) AS n FROM c{s} c LEFT JOIN u{s} u ON u.label = c.label)""")
+    return "+ " + ",\n".join(out) + f" SELECT label, n, round(centre[1], 6) AS \"first\", round(list_sum(centre), 5) AS total FROM c{steps}"
+
+
+@query(_batches(3, 10, 4), ("vectors",))
+def mini_batch_centres(spark, d):
+    """Ten centres after three batches of a quarter of the rows each."""
+    v = fx.embeddings(spark, d)
+    found = clusters.mini_batches(v, clusters.first_centres(v, 10), 3, 4)
+    return found.select("label", "n", F.round(F.col("centre")[0], 6).alias("first"), F.round(F.aggregate("centre", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
