@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import long_texts, settled
 from threadloom.llm.substrings import BASES, LAST_ID, hashes, mixed, rolled
+from threadloom.sources.tables import removed, written
 
 SHINGLE, PERCENT = 4, 80
 SLOTS, ROWS = 72, 3
@@ -45,6 +46,8 @@ SIDE, SIDE_SHINGLES = 2048, 1 << 22
 TOGETHER = 1 << 17
 #: Ids of texts to read again are broadcast up to this number, and joined beyond it.
 BROADCAST_IDS = 2_000_000
+#: Roots of large buckets whose signatures are broadcast, and bytes of their full sets.
+BROADCAST_ROOTS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -257,13 +260,17 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root: for each node of edges (u, v) the least node that it is connected with.
 
     Each step lets every node point its greater neighbours at its least one (large star), then every node its lesser ones (small
-    star), and writes the edges; these tables are the steps' only state. Sums of hashes tell when nothing has changed.
+    star), and writes the edges; these tables are the steps' only state, of which the last stays. Sums of hashes tell when nothing has changed.
     """
+    with written() as paths:
+        e = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
+        return _contracted(e, name, paths)
 
+
+def _contracted(e: DataFrame, name: str, paths: list[str]) -> DataFrame:
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
-    e = settled(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
     before = None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -276,6 +283,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         mins = least(large)
         small = large.join(mins, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(mins.withColumnRenamed("m", "v"))
         e = settled(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        removed(e.sparkSession, paths[:-1])
+        del paths[:-1]
 
 
 def grouped_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,6 +294,20 @@ def grouped_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     rows = settled(texts.mapInArrow(lambda b: _signed(b, size), "id long, n long, a long, b long, sig binary"), "near-signatures")
     classes = settled(rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("first"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")).withColumn("c", F.monotonically_increasing_id()), "near-classes")
 
+    with written() as paths:
+        roots = components(_links(texts, rows, classes, percent, size), "near-links")
+    removed(docs.sparkSession, paths[:-1])  # all but the links
+    named = classes.select("a", "b", "first").join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("a", "b", F.coalesce("root", "first").alias("component"))
+    return rows.where("n > 0").join(named, ["a", "b"]).select("id", "n", "component").unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
+
+
+def few(some: DataFrame, sure: bool) -> DataFrame:
+    """some, to be broadcast where its size has been found to be below a bound."""
+    return F.broadcast(some) if sure else some
+
+
+def _links(texts: DataFrame, rows: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
+    """u, v: links between the first documents of classes, and from documents of several texts to the classes of these."""
     bands = classes.select("c", "n", F.posexplode(F.array(*(F.xxhash64(F.lit(k), F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(SLOTS // ROWS)))).alias("band", "bucket"))
     sides = lambda k, n: F.greatest(F.ceil(k / SIDE), F.ceil(n / SIDE_SHINGLES)).cast("int")
     shared = settled(bands.groupBy("band", "bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("c").alias("root")).where("k > 1").select("band", "bucket", "root", sides(F.col("k"), F.col("n")).alias("sides")), "near-buckets")
@@ -311,12 +334,19 @@ def grouped_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHING
         stars = None
         members = bands.join(shared, ["band", "bucket"]).select("band", "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "c", F.col("c").alias("g"))
     else:
-        rooted = bands.join(F.broadcast(large) if large.count() <= BROADCAST_IDS else large, ["band", "bucket"]).where("c <> root").select("c", "root").distinct()
-        rooted = rooted.join(signed.select("c", "sig"), "c").join(signed.select(F.col("c").alias("root"), F.col("sig").alias("root_sig")), "root")
+        n_large = large.count()
+        rooted = bands.join(few(large, n_large <= BROADCAST_IDS), ["band", "bucket"]).where("c <> root").select("c", "root").distinct()
+        # roots are as few as large buckets, but each is a key that a large part of the classes may share
+        own = signed.join(few(large.select(F.col("root").alias("c")).distinct(), n_large <= BROADCAST_IDS), "c").select(F.col("c").alias("root"), F.col("sig").alias("root_sig"))
+        rooted = rooted.join(signed.select("c", "sig"), "c").join(few(own, n_large <= BROADCAST_ROOTS), "root")
         rooted = settled(rooted.select("c", "root", "sig", "root_sig").mapInArrow(near_root, "c long, root long"), "near-rooted")
-        full = full_sets(rooted.select(F.explode(F.array("c", "root")).alias("c")))
-        both = rooted.join(full, "c").join(full.select(F.col("c").alias("root"), F.col("shingles").alias("root_shingles")), "root")
+        with written() as sets_at:
+            full = full_sets(rooted.select(F.explode(F.array("c", "root")).alias("c")))
+        of_roots = full.join(rooted.select(F.col("root").alias("c")).distinct(), "c", "left_semi").select(F.col("c").alias("root"), F.col("shingles").alias("root_shingles"))
+        weight = of_roots.agg(F.sum(F.octet_length("root_shingles"))).first()[0] or 0
+        both = rooted.join(full, "c").join(few(of_roots, weight <= BROADCAST_BYTES), "root")
         stars = settled(both.select(F.col("c").alias("u"), F.col("root").alias("v"), "shingles", "root_shingles").mapInArrow(lambda b: similar_pairs(b, percent), "u long, v long"), "near-stars")
+        removed(texts.sparkSession, sets_at)
         groups = components(stars, "near-groups").select(F.col("node").alias("c"), F.col("root").alias("g"))
         named = bands.join(shared, ["band", "bucket"]).join(groups, "c", "left").withColumn("g", F.coalesce("g", "c"))
         # the largest group of a large bucket is its home; all members of another bucket are outside
@@ -343,9 +373,7 @@ def grouped_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHING
     several = rows.where("n > 0").select("id", "a", "b").distinct().groupBy("id").agg(F.count("*").alias("k")).where("k > 1 and id < 9223372036854775807")
     # an id with several texts ties their classes together
     tied = several.join(rows.where("n > 0").select("id", "a", "b").distinct(), "id").join(classes.select("a", "b", "first"), ["a", "b"]).select(F.col("id").alias("u"), F.col("first").alias("v"))
-    roots = components(links.unionByName(tied), "near-links")
-    named = classes.select("a", "b", "first").join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("a", "b", F.coalesce("root", "first").alias("component"))
-    return rows.where("n > 0").join(named, ["a", "b"]).select("id", "n", "component").unionByName(rows.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    return links.unionByName(tied)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
