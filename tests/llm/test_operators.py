@@ -267,16 +267,17 @@ def plain_model(words, steps):
 @pytest.mark.parametrize("hot", [3, 500_000])
 def test_lm_scores_are_marginal_probabilities(spark, texts, hot):
     some = [(i, t) for i, t in texts if t is None or len(t) < 3000] + [(1000 + k, f"never{k} seen \U0001f9ff\u4e2d x{'y' * k}") for k in range(30)]
-    got = rows(lm.lm_scores(spark.createDataFrame([(i, t, "r", "s", 1) for i, t in some], "doc_id long, text string, row string, rare string, score long"), hot=hot, steps=2).select("doc_id", "score"))
+    got = rows(lm.lm_scores(spark.createDataFrame([(i, t, "r", "s", 1) for i, t in some], "doc_id long, text string, row string, rare string, score long"), hot=hot, steps=2).select("doc_id", "score", "lattice_score"))
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     c = Counter(w for i, t in some if not held(i) for w in [*lm.lowered(t), b""])
     n, times = sum(c.values()), Counter(c.values())
     d = min(0.9, max(0.1, times[1] / (times[1] + 2 * times[2])))
     probability, end = plain_model(["\u2581" + w.decode() for w in c if w], 2)
     p = lambda w: max(0, c[w] - d if c[w] else 0) / n + d * len(c) / n * (probability("\u2581" + w.decode()) if w else end)
-    want = sorted(((i, sum(math.log10(p(w)) for w in [*lm.lowered(t), b""])) for i, t in some), key=lambda r: (str(r[0]), r[1]))
+    pieces = lambda w: probability("\u2581" + w.decode()) if w else end
+    want = sorted(((i, sum(math.log10(p(w)) for w in [*lm.lowered(t), b""]), sum(math.log10(pieces(w)) for w in [*lm.lowered(t), b""])) for i, t in some), key=lambda r: (str(r[0]), r[1]))
     got.sort(key=lambda r: (str(r[0]), r[1]))
-    assert [r[0] for r in got] == [r[0] for r in want] and np.allclose([r[1] for r in got], [r[1] for r in want], rtol=1e-9)
+    assert [r[0] for r in got] == [r[0] for r in want] and np.allclose([r[1:] for r in got], [r[1:] for r in want], rtol=1e-9)
 
 
 def test_lattice_sums_all_segmentations():

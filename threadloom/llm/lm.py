@@ -271,7 +271,7 @@ class Worker:
     """What a worker makes of a broadcast model, once for all its tasks: places of frequent words, their two scores, and a memory of other words' logs."""
 
     def __init__(self, told: tuple):
-        words, self.base, self.likely, *model = told
+        words, self.base, self.likely, self.pieces, *model = told
         self.index, self.lattice = {w: i for i, w in enumerate(words)}, Lattice(*model)
         self.logs: dict[bytes, float] = {}
         self.held = 0
@@ -286,7 +286,11 @@ class Worker:
 
 
 def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: int = EM_STEPS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score: a row for each row of docs.
+
+    lattice_score is the log10 of the text's marginal probability by the lattice of pieces alone; score mixes the whole word in as one more
+    arc where training has seen it.
+    """
     long_texts(docs.sparkSession)
     rest = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % MODULUS
     taken = docs.select(F.col(id_col).alias("doc_id"), (rest == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
@@ -314,14 +318,15 @@ def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: i
     spark = docs.sparkSession
     floor = math.log10(total["n"] + total["v"] + 1)
     c = np.array(frequent.column("c"), np.int64)
-    likely = np.log10((c - discount) / all_tokens + left * np.exp(np.array(frequent.column("p"), np.float64)))
-    told = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), np.log10(c + 1.0) - floor, likely, vocabulary, logs))
+    p = np.array(frequent.column("p"), np.float64)
+    likely = np.log10((c - discount) / all_tokens + left * np.exp(p))
+    told = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), np.log10(c + 1.0) - floor, likely, p / math.log(10), vocabulary, logs))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = kept(("lm", name), lambda: Worker(told.value))
-        index, base, likely = worker.index, worker.base, worker.likely
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("p", pa.float64())]))]
+        index, base, likely, pieces = worker.index, worker.base, worker.likely, worker.pieces
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("p", pa.float64())]))]
         for b in batches:
             rows, rare_of = [], []
             new = b.column(1).to_pylist()
@@ -331,24 +336,25 @@ def lm_scores(docs: DataFrame, path: str | None = None, hot: int = HOT, steps: i
                 at = np.fromiter(map(index.get, tokens, repeat(-1)), np.int64, len(tokens))
                 known = at[at >= 0]
                 rare_of.append(Counter([tokens[i] for i in np.flatnonzero(at < 0).tolist()]) if len(known) < len(tokens) else {})
-                rows.append((len(tokens), len(known), float(base[known].sum()), float(likely[known].sum())))
+                rows.append((len(tokens), len(known), float(base[known].sum()), float(likely[known].sum()), float(pieces[known].sum())))
             # words of training documents are all in the table
             worker.learn([w for rare, held in zip(rare_of, new, strict=True) if held for w in rare])
             rows = [(*row, [{"word": w, "n": k, "p": worker.logs[w] if held else None} for w, k in rare.items()]) for row, rare, held in zip(rows, rare_of, new, strict=True)]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(v, t) for v, t in zip(cols, kinds, strict=True))], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "rare"])
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *(pa.array(v, t) for v, t in zip(cols, kinds, strict=True))], ["doc_id", "held_out", "row", "n_tokens", "n_known", "base", "score", "lattice", "rare"])
 
     kind = taken.schema["doc_id"].dataType.simpleString()
-    scored = taken.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long,p:double>>")
+    scored = taken.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, score double, lattice double, rare array<struct<word:binary,n:long,p:double>>")
     scored = settled(scored, "lm-scored")
     told.unpersist()
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n", F.col("r.p").alias("own")).join(counts, "word", "left").withColumn("p", F.coalesce("own", "p"))
     ten = math.log(10)
     whole = F.when(F.col("c").isNull(), math.log10(left) + F.col("p") / ten).otherwise(F.log10((F.col("c") - discount) / all_tokens + left * F.exp("p")))
     sums = rare.groupBy("row").agg(
-        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - floor)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * whole).alias("likely")
+        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - floor)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * whole).alias("likely"), F.sum(F.col("n") * F.col("p") / ten).alias("pieces")
     )
     return scored.drop("rare").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("likely", F.lit(0.0))).alias("score"),
+        (F.col("lattice") + F.coalesce("pieces", F.lit(0.0))).alias("lattice_score"),
     )
