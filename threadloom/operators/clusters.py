@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.operators.sampling import lot
+from threadloom.operators.sampling import lot, sample
 from threadloom.sources.tables import settled
 
 #: Centres are broadcast up to this number.
@@ -52,6 +52,11 @@ def lloyd(vectors: DataFrame, centres: DataFrame, steps: int) -> DataFrame:
     return centres
 
 
+def seed_centres(vectors: DataFrame, least: int = 30, most: int = 500, seed: int = 1) -> DataFrame:
+    """label, n, centre: the mean of at most `most` rows of each label, drawn by lot; null where a label has fewer than `least`."""
+    return label_centres(sample(vectors.select("vec_id", "label", "v"), "vec_id", most, ["label"], seed), least)
+
+
 def first_centres(vectors: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """label (from 0), centre, n (0): the k rows of the least lots."""
     some = vectors.select("vec_id", "v", lot(F.col("vec_id") + 1, seed).alias("_lot")).orderBy("_lot", "vec_id").limit(k)

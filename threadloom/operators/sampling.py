@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.operators.order import ranked, running_sum
+from threadloom.sources.tables import settled
 
 
 def lot(key: Column, seed: int = 1) -> Column:
@@ -46,6 +47,15 @@ def class_weights(rows: DataFrame, by: str) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).select(by, "n", (1 - F.col("n") / F.col("_all")).alias("weight"))
 
 
+def capped(rows: DataFrame, key: str, by: str, most: int, share: float, seed: int = 1) -> DataFrame:
+    """by, key, is_train, weight: at most `most` rows of each class by lot, of which the first int(share * n + 0.99) train; a class weighs 1 - its share of those that do.
+
+    Classes may be few and large: what is ranked together is the rows that are left of one.
+    """
+    some = settled(stratified_split(sample(rows.select(by, key), key, most, [by], seed), key, by, share, seed + 1), "capped")
+    return some.join(class_weights(some.where("is_train"), by).select(by, "weight"), by).select(by, key, "is_train", "weight")
+
+
 def old_and_new(images: DataFrame, most: int, share_new: float) -> DataFrame:
     """The images to train on: of each identity up to `most`, a share of new ones; what one kind lacks the other fills. images: image_id, identity, is_new."""
     counts = images.groupBy("identity").agg(F.count_if("is_new").alias("_new"), F.count_if(~F.col("is_new")).alias("_old"))

@@ -78,6 +78,11 @@ def available(identified: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     return identified.select("fragment_id").join(held, "fragment_id", "left").select("fragment_id", F.array_except(every, F.coalesce("_held", F.array().cast("array<long>"))).alias("available"))
 
 
+def assigned_probability(rows: DataFrame, p1: DataFrame) -> DataFrame:
+    """rows (fragment_id, identity) with the probability of the identity that each was given; null where it has none, or the fragment no votes for it. p1: fragment_id, identity, p1."""
+    return rows.join(p1.select("fragment_id", "identity", F.col("p1").alias("probability")), ["fragment_id", "identity"], "left")
+
+
 def contrastive_pairs(pairs: DataFrame, fragments: DataFrame, least: int) -> DataFrame:
     """frag_a, frag_b, kind: coexisting fragments of at least `least` images are negative pairs, each fragment with itself a positive one."""
     long = fragments.where(F.col("n_images") >= least).select("fragment_id")

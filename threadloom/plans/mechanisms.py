@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.operators import clusters, contours, epochs, gather, linking, pixels, poses, sessions, splines
+from threadloom.operators import clusters, contours, epochs, gather, linking, pixels, poses, sampling, sessions, splines, votes
 from threadloom.plans.more import posed
 from threadloom.plans.queries import TRACKED, query, six, tracks
 from threadloom.sources import columns, posefile
 from threadloom.sources import fixtures as fx
+from threadloom.sources import trajectories as io
 from threadloom.sources.tables import shared_dir
 
 
@@ -287,3 +288,33 @@ def mini_batch_centres(spark, d):
     v = fx.embeddings(spark, d)
     found = clusters.mini_batches(v, clusters.first_centres(v, 10), 3, 4)
     return found.select("label", "n", F.round(F.col("centre")[0], 6).alias("first"), F.round(F.aggregate("centre", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("""+ n AS (SELECT s.fragment_id, i.identity, coalesce(v.n_images, 0) AS n FROM (SELECT DISTINCT fragment_id FROM supplier_votes) s CROSS JOIN range(1, 4) i(identity) LEFT JOIN supplier_votes v ON v.fragment_id = s.fragment_id AND v.identity = i.identity),
+p AS (SELECT a.fragment_id, a.identity, 1 / sum(pow(2.0, b.n - a.n)) AS p1 FROM n a JOIN n b ON b.fragment_id = a.fragment_id GROUP BY ALL)
+SELECT e.event_id, e.user_id % 100 + 1 AS fragment_id, event_id % 5 AS identity, round(p.p1, 6) AS probability FROM events e LEFT JOIN p ON p.fragment_id = e.user_id % 100 + 1 AND p.identity = e.event_id % 5""", ("supplier_votes",))
+def assigned_p1(spark, d):
+    """Events are images of suppliers' fragments; they were given identities 0 (none) to 4, of which three have votes."""
+    p = votes.p1(fx.supplier_votes(spark, d), 3)
+    rows = fx.table(spark, d, "events").select("event_id", (F.col("user_id") % 100 + 1).alias("fragment_id"), (F.col("event_id") % 5).alias("identity"))
+    return votes.assigned_probability(rows, p).select("event_id", "fragment_id", "identity", *six("probability"))
+
+
+@query("SELECT format('{:.3f}', frame / 30) AS time, " + ", ".join(f"format('{{:.3e}}', max(CASE WHEN individual = {k} THEN probability END)) AS probability{k + 1}" for k in range(5)) + " FROM tracks GROUP BY frame", TRACKED)
+def wide_probabilities(spark, d):
+    return io.wide(tracks(spark, d), 5, 30, ("probability",), 3, "e").drop("frame")
+
+
+@query(f"""WITH c AS (SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY {_lot('event_id')}, event_id) AS r FROM events) WHERE r <= 150),
+t AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY {_lot('event_id', 2)}, event_id) <= floor(0.9 * count(*) OVER (PARTITION BY event_type) + 0.99) AS is_train FROM c)
+SELECT event_type, event_id, is_train, round(1 - count(*) FILTER (is_train) OVER (PARTITION BY event_type) / (SELECT count(*) FROM t WHERE is_train), 6) AS weight FROM t""")
+def capped_classes(spark, d):
+    return sampling.capped(fx.table(spark, d, "events"), "event_id", "event_type", 150, 0.9).select("event_type", "event_id", "is_train", *six("weight"))
+
+
+@query(f"""+ s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_lot('vec_id')}, vec_id) AS r FROM vectors), u AS (SELECT label, v FROM s WHERE r <= 40),
+m AS (SELECT label, i, avg(v[i]) AS x FROM u, range(1, 65) q(i) GROUP BY label, i)
+SELECT u.label, count(*) AS n, round(CASE WHEN count(*) >= 39 THEN any_value(c.total) END, 5) AS total FROM u JOIN (SELECT label, sum(x) AS total FROM m GROUP BY label) c ON c.label = u.label GROUP BY u.label""", ("vectors",))
+def seed_centres(spark, d):
+    found = clusters.seed_centres(fx.embeddings(spark, d), 39, 40)
+    return found.select("label", "n", F.round(F.aggregate("centre", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))

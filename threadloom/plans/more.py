@@ -152,21 +152,21 @@ def coexistence_checks(spark, d):
 
 @query()
 def accumulated_identities(spark, d):
-    """Each video apart: where a fragment begins and two others of its video run, the three are a global fragment; those of the longest shortest member come first."""
+    """Each video apart, with two animals: where a fragment begins and one other of its video runs, both are a global fragment; those of the longest shortest member come first."""
     f = fx.fragments(spark, d)
     both = pairs(spark, d).select("video_id", "frag_a", "frag_b")
     starts = f.select("fragment_id", F.col("start_frame").alias("at"))
     running = f.select(F.col("fragment_id").alias("o"), "start_frame", "end_frame")
     near = both.select("video_id", F.col("frag_a").alias("fragment_id"), F.col("frag_b").alias("o")).unionByName(both.select("video_id", F.col("frag_b").alias("fragment_id"), F.col("frag_a").alias("o")))
-    met = near.join(starts, "fragment_id").join(running, "o").where("start_frame <= at and at < end_frame").groupBy("video_id", "fragment_id").agg(F.collect_set("o").alias("others")).where("size(others) = 2")
+    met = near.join(starts, "fragment_id").join(running, "o").where("start_frame <= at and at < end_frame").groupBy("video_id", "fragment_id").agg(F.collect_set("o").alias("others")).where("size(others) = 1")
     each = met.select("video_id", F.col("fragment_id").alias("g"), F.explode(F.concat("others", F.array("fragment_id"))).alias("fragment_id"))
     least = each.join(f.select("fragment_id", (F.col("end_frame") - F.col("start_frame")).alias("long")), "fragment_id").groupBy("video_id", "g").agg(F.min("long").alias("long"))
     order = least.withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("long"), "g")))
-    v = fx.votes(spark, d).select("fragment_id", (F.col("identity") % 3 + 1).alias("identity"), "n_images").groupBy("fragment_id", "identity").agg(F.sum("n_images").alias("n_images"))
-    p = votes.p1(v, 3).groupBy("fragment_id").agg(F.sum("n_images").alias("n_images"), F.transform(F.array_sort(F.collect_list(F.struct("identity", "p1"))), lambda s: s["p1"]).alias("p1"))
+    v = fx.votes(spark, d).select("fragment_id", (F.col("identity") % 2 + 1).alias("identity"), "n_images").groupBy("fragment_id", "identity").agg(F.sum("n_images").alias("n_images"))
+    p = votes.p1(v, 2).groupBy("fragment_id").agg(F.sum("n_images").alias("n_images"), F.transform(F.array_sort(F.collect_list(F.struct("identity", "p1"))), lambda s: s["p1"]).alias("p1"))
     known = f.select("video_id", "fragment_id").join(p, "fragment_id").withColumn("certainty", F.lit(1.0))
     members = each.join(order, ["video_id", "g"]).select("video_id", "place", "fragment_id")
-    return training.accumulated(members, known, both.select((F.col("video_id") + 0).alias("video_id"), "frag_a", "frag_b"), 3)
+    return training.accumulated(members, known, both.select((F.col("video_id") + 0).alias("video_id"), "frag_a", "frag_b"), 2)
 
 
 @query("""+ moves AS (SELECT * FROM (SELECT individual, frame, probability, lag(frame) OVER (PARTITION BY individual ORDER BY frame) AS was FROM tracks WHERE probability < 0.5)),

@@ -18,10 +18,13 @@ def timed(tracks: DataFrame, fps: float | None) -> DataFrame:
     return tracks.select(F.col("frame").cast("long").alias("frame"), (F.col("frame") / F.lit(float(fps or 1))).alias("time"), F.col("individual").cast("int").alias("individual"), "x", "y", "probability")
 
 
-def wide(tracks: DataFrame, individuals: int, fps: float | None = 1, axes: tuple[str, ...] = ("x", "y"), digits: int = 3) -> DataFrame:
-    """time, x1, y1, x2, ...: a row per frame, numbers as text with `digits` decimals, null where missing. Individuals are a fixed number, so one aggregation does it."""
+def wide(tracks: DataFrame, individuals: int, fps: float | None = 1, axes: tuple[str, ...] = ("x", "y"), digits: int = 3, form: str = "f") -> DataFrame:
+    """time, x1, y1, x2, ...: a row per frame, numbers as text with `digits` decimals, null where missing. Individuals are a fixed number, so one aggregation does it.
+
+    form: "f" for plain decimals or "e" for powers of ten, as probabilities are written (axes ("probability",)).
+    """
     at = lambda a, k: F.max(F.when(F.col("individual") == k, F.col(a)))
-    cols = [F.when(at(a, k).isNotNull(), F.format_string(f"%.{digits}f", at(a, k))).alias(f"{a}{k + 1}") for k in range(individuals) for a in axes]
+    cols = [F.when(at(a, k).isNotNull(), F.format_string(f"%.{digits}{form}", at(a, k))).alias(f"{a}{k + 1}") for k in range(individuals) for a in axes]
     return timed(tracks, fps).groupBy("frame").agg(F.format_string(f"%.{digits}f", F.first("time")).alias("time"), *cols)
 
 
