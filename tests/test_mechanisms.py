@@ -256,6 +256,36 @@ def test_points_in_holes_have_no_region(spark):
             contours.regions_of(at((1, 5.0), bad), cs, 30.0)
 
 
+def test_points_are_routed_to_the_nearest_contour(spark):
+    r = random.Random(11)
+    box = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    shapes = [(0, box(0.0, 0.0, 10.0)), (0, box(5.0, 5.0, 10.0)), (0, box(3000.0, -3000.0, 1.0)), (1, [(4.0, 4.0)]), (1, [(0.0, 0.0), (8.0, 0.0), (0.0, 8.0)])] + [(2, box(r.uniform(0, 500), r.uniform(0, 500), r.uniform(1, 60))) for _ in range(12)]
+    points = [(0, 7.0, 7.0), (0, 10.0, 2.0), (0, -90.0, 5.0), (0, 2990.0, -2000.0), (1, 4.0, 4.0), (1, 5.0, 5.0), (9, 1.0, 2.0)] + [(2, r.uniform(-300, 900), r.uniform(-300, 900)) for _ in range(80)]
+    df = spark.createDataFrame([(k, f, [{"x": x, "y": y} for x, y in c]) for k, (f, c) in enumerate(shapes)], "blob_id long, frame long, contour array<struct<x:double,y:double>>")
+    ps = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "point_id long, frame long, x double, y double")
+
+    def off(c, p):
+        out = []
+        for a, b in sides(c):
+            d = (b[0] - a[0], b[1] - a[1])
+            n = d[0] ** 2 + d[1] ** 2
+            t = max(0, min(1, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / n)) if n else 0
+            out.append(math.dist(p, (a[0] + t * d[0], a[1] + t * d[1])))
+        return 0.0 if within(c, p) else min(out)
+
+    for cell in (5.0, 700.0):
+        got = {x["point_id"]: x for x in contours.routed(ps, df, cell).collect()}
+        assert len(got) == len(points)
+        for k, (f, *p) in enumerate(points):
+            own = [(off(c, tuple(p)), i) for i, (g, c) in enumerate(shapes) if g == f]
+            if own:
+                assert got[k]["blob_id"] == min(own)[1] and abs(got[k]["distance"] - min(own)[0]) < 1e-9
+                assert [tuple(q) for q in got[k]["contour"]] == shapes[min(own)[1]][1]
+            else:
+                assert got[k]["blob_id"] is None and [tuple(q) for q in got[k]["contour"]] == [(-1.0, 0.0), (3.0, 0.0), (3.0, 4.0), (-1.0, 4.0)]
+    assert contours.routed(ps.limit(0), df, 5.0).count() == 0 and contours.routed(ps, df.limit(0), 5.0).where("blob_id is null").count() == len(points)
+
+
 # stop rules
 
 

@@ -158,6 +158,19 @@ def contour_overlaps(spark, d):
     return contours.overlapping_contours(shapes(spark, d), 64.0)
 
 
+@query(f"""+ shape AS (SELECT event_id AS blob_id, frame, cx, cy, CASE WHEN event_id % 3 = 0 THEN {_corners(SQUARE)} ELSE {_corners(ARROW)} END AS c FROM detections WHERE frame % 10 > 0),
+side AS (SELECT blob_id, frame, c[k] AS p, c[k % len(c) + 1] AS q FROM shape, range(1, 5) r(k)), pt AS (SELECT event_id AS point_id, frame, {{'x': cx * 2 - 100, 'y': (event_id * 7 % 1200)::DOUBLE}} AS o FROM detections),
+t AS (SELECT point_id, blob_id, o, p, q, greatest(0, least(1, ((o.x - p.x) * (q.x - p.x) + (o.y - p.y) * (q.y - p.y)) / (pow(q.x - p.x, 2) + pow(q.y - p.y, 2)))) AS t FROM pt JOIN side ON side.frame = pt.frame),
+far AS (SELECT point_id, blob_id, min(sqrt(pow(o.x - p.x - t * (q.x - p.x), 2) + pow(o.y - p.y - t * (q.y - p.y), 2))) AS d, count(*) FILTER ((p.y <= o.y AND q.y > o.y AND {_TURN.format("p", "q", "o")} > 0) OR (q.y <= o.y AND p.y > o.y AND {_TURN.format("p", "q", "o")} < 0)) % 2 = 1 AS inside FROM t GROUP BY point_id, blob_id),
+best AS (SELECT point_id, blob_id, CASE WHEN inside THEN 0 ELSE d END AS d FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY NOT inside, CASE WHEN inside THEN 0 ELSE d END, blob_id) AS r FROM far) WHERE r = 1)
+SELECT pt.point_id, best.blob_id, round(best.d, 6) AS distance, round(CASE WHEN best.blob_id IS NULL THEN o.x - 2 ELSE (SELECT c[1].x FROM shape WHERE shape.blob_id = best.blob_id) END, 6) AS first_x FROM pt LEFT JOIN best ON best.point_id = pt.point_id""", ("detections",))
+def routed_points(spark, d):
+    """Points of all frames to the shapes of nine frames in ten; those of the tenth get blobs of their own."""
+    points = fx.detections(spark, d).select(F.col("event_id").alias("point_id"), "frame", (F.col("cx") * 2 - 100).alias("x"), (F.col("event_id") * 7 % 1200).alias("y"))
+    found = contours.routed(points, shapes(spark, d).where("frame % 10 > 0"), 64.0)
+    return found.select("point_id", "blob_id", *six("distance"), F.round(F.col("contour")[0]["x"], 6).alias("first_x"))
+
+
 @query("""SELECT event_id, round((20 * (10 + event_id % 20))::DOUBLE, 6) AS area, round(cx, 6) AS x, round(cy, 6) AS y,
   CASE WHEN event_id % 20 <> 10 THEN round(abs(sin((event_id % 36) * pi() / 36 + CASE WHEN event_id % 20 < 10 THEN pi() / 2 ELSE 0 END)), 6) END AS slope FROM detections""", ("detections",))
 def contour_moments(spark, d):
