@@ -248,3 +248,20 @@ def test_rules_with_a_prefix_keep_matches_of_just_the_least_length(spark):
     rows = [(1, "k" + "a" * 31), (2, "k" + "a" * 30), (3, "12345678 1234567"), (4, None)]
     got = {r["doc_id"]: r["spans"] for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), rules).collect()}
     assert got == {1: "x:0:32", 2: "", 3: "y:0:8", 4: ""}
+
+
+def test_urls_that_are_very_long_or_repeated(spark):
+    r = random.Random(3)
+    rows = [(k, f"https://{r.choice(['a.example.com', 'www.example.com', 'shop.net', 'x.org', 'news.com'])}/{r.choice(['en', 'es', 'fr', 'de'])}/p{k}") for k in range(300)]
+    long = "https://long.example.com/en/" + "a1-" * 400_000 + "?" + "&".join(f"k{i}=v" for i in range(20_000))
+    odd = [(1000, long), (1001, "https://other.org/" + "%41" * 300_000), (1002, None), (1003, "no scheme at all"), (1004, "://"), (1005, ""), (None, "https://x.org/de/1")]
+    rows += odd + [(7, rows[7][1])] * 400 + [(8, "https://shop.net/es/again")] * 3
+    r.shuffle(rows)
+    df = spark.createDataFrame([(i, u, "h", "p", "v", 1.0) for i, u in rows], "page_id long, url string, host string, path string, verdict string, label double").repartition(4)
+    got = url_filter.url_filter(df).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert len(got) == len(rows) and {x["verdict"] for x in got} <= {"allow", "block"}
+    assert {(x["rule"], x["verdict"]) for x in got if x["page_id"] == 1000} == {("example.com/en/", "block")}
+    assert next(x for x in got if x["page_id"] == 1000)["path"] == "/en/" + "a1-" * 400_000
+    assert sum(x["page_id"] == 7 for x in got) == 401 and len({(x["host"], x["path"], x["verdict"]) for x in got if x["page_id"] == 7}) == 1
+    assert len({x["verdict"] for x in got if x["path"] == "/es/again"}) == 1
+    assert {(x["host"], x["path"], x["rule"]) for x in got if x["page_id"] in (1002, 1003, 1005)} == {("", "", None)}
