@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -171,8 +169,3 @@ def soft_assignment(vectors: DataFrame, centres: DataFrame, weights) -> DataFram
     d = vectors.crossJoin(known).select("vec_id", "_c", F.transform("_c", lambda c: F.sqrt(squared(c["centre"], F.col("v")))).alias("_d"))
     w = d.select("vec_id", F.arrays_zip(F.transform("_c", lambda c: c["label"]).alias("label"), weights(F.col("_d")).alias("weight")).alias("_w"))
     return w.select("vec_id", F.explode("_w").alias("_w")).select("vec_id", F.col("_w.label").alias("label"), F.col("_w.weight").alias("weight"))
-
-
-def pooled(columns: list[str]) -> Column:
-    """Mean of columns."""
-    return reduce(lambda a, b: a + b, map(F.col, columns)) / len(columns)

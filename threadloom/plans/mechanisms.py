@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.functions.config import from_toml, merged
 from threadloom.operators import clusters, contours, epochs, gather, linking, pixels, poses, sampling, sessions, splines, votes
 from threadloom.plans.more import posed
 from threadloom.plans.queries import TRACKED, query, six, tracks
@@ -226,9 +227,10 @@ def training_stops(spark, d):
 
 @query()
 def linked_poses(spark, d):
-    """The whole link step by keypoints, in both directions: partners, gaps and ambiguous instances."""
+    """The whole link step by a session's settings, keypoints and both directions among them: partners, gaps and ambiguous instances. Animals are 40 long."""
     rows = posed(spark, d).select("frame", F.col("instance_idx").cast("long").alias("instance_idx"), "cx", "cy", "pose")
-    return linking.linked(rows, linking.Settings("keypoint", 0.1, radius=60.0)).select("frame", "instance_idx", "next_frame", "next_instance", *six("gap"), "forward", "backward", "is_overlapping")
+    asked = merged(from_toml('Similarity_Method = "keypoint"\nNEIGHBOUR_RADIUS = 1.5'), {"similarity_threshold": 0.1})
+    return linking.linked(rows, linking.from_session(asked, 40.0)).select("frame", "instance_idx", "next_frame", "next_instance", *six("gap"), "forward", "backward", "is_overlapping")
 
 
 def _lot(x: str, seed: int = 1) -> str:
