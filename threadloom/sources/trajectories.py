@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,8 +25,20 @@ def wide(tracks: DataFrame, individuals: int, fps: float | None = 1, axes: tuple
     form: "f" for plain decimals or "e" for powers of ten, as probabilities are written (axes ("probability",)).
     """
     at = lambda a, k: F.max(F.when(F.col("individual") == k, F.col(a)))
-    cols = [F.when(at(a, k).isNotNull(), F.format_string(f"%.{digits}{form}", at(a, k))).alias(f"{a}{k + 1}") for k in range(individuals) for a in axes]
-    return timed(tracks, fps).groupBy("frame").agg(F.format_string(f"%.{digits}f", F.first("time")).alias("time"), *cols)
+    names = [f"{a}{k + 1}" for k in range(individuals) for a in axes]
+    rows = timed(tracks, fps).groupBy("frame").agg(F.first("time").alias("time"), F.array(*(at(a, k).cast("double") for k in range(individuals) for a in axes)).alias("_values"))
+    rows = rows.select("frame", printed(digits, "f")(F.array("time"))[0].alias("time"), printed(digits, form)("_values").alias("_values"))
+    return rows.select("frame", "time", *(F.col("_values")[k].alias(name) for k, name in enumerate(names)))
+
+
+def printed(digits: int, form: str):
+    """Arrays of numbers as text. Halves are decided by the number as it is stored: format_string goes by its shortest decimal, and writes 1.0625 or 1.2345 one up."""
+
+    @F.pandas_udf("array<string>")
+    def of(values: pd.Series) -> pd.Series:
+        return values.map(lambda row: [None if v is None or v != v else f"{v:.{digits}{form}}" for v in row])
+
+    return of
 
 
 def long(wide_rows: DataFrame, individuals: int) -> DataFrame:
