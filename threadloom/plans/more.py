@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.operators import blobs, clusters, collisions, fragments, frames, history, identities, links, poses, runs, training, votes
+from threadloom.operators import blobs, clusters, collisions, fragments, frames, history, identities, intervals, links, poses, runs, training, votes
 from threadloom.operators.order import running_sum
 from threadloom.plans.queries import CENTRES, COEXIST, NEAREST, PROB, TRACKED, moved, p2, pairs, query, resolved, similar, six, tracks
 from threadloom.sources import fixtures as fx
+from threadloom.sources.tables import settled
 
 fx.SQL["blobs"] = """blobs AS (SELECT event_id AS blob_id, frame, fragment_id AS u, cx, cy, cx < 120 AS seems_individual, floor(cx)::BIGINT % 2 AS class_id, CASE WHEN cy < 500 THEN 0 ELSE 1 END AS region, instance_idx, is_overlapping FROM detections),
 followed AS (SELECT event_id AS source, lead(event_id) OVER w AS one, lead(event_id, 2) OVER w AS two FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -146,27 +147,25 @@ def global_uniqueness(spark, d):
 @query("""+ b AS (SELECT frag_a AS f, frag_b AS o FROM pairs UNION ALL SELECT frag_b, frag_a FROM pairs)
 SELECT f.fragment_id, coalesce(avg((o % 3 > 0)::INT), 0) >= 0.5 AS enough_accumulated, coalesce(bool_or(o % 6 = f.fragment_id % 6), false) AS inconsistent FROM fragments f LEFT JOIN b ON b.f = f.fragment_id GROUP BY f.fragment_id""", COEXIST)
 def coexistence_checks(spark, d):
-    f = fx.fragments(spark, d).select("fragment_id", (F.col("fragment_id") % 6).alias("temporary_id"), (F.col("fragment_id") % 3 > 0).alias("used"))
-    return training.coexistence_checks(f, pairs(spark, d).select("frag_a", "frag_b"))
+    f = fx.fragments(spark, d).withColumns({"temporary_id": F.col("fragment_id") % 6, "used": F.col("fragment_id") % 3 > 0})
+    return training.coexistence_over(f)
 
 
 @query()
 def accumulated_identities(spark, d):
     """Each video apart, with two animals: where a fragment begins and one other of its video runs, both are a global fragment; those of the longest shortest member come first."""
     f = fx.fragments(spark, d)
-    both = pairs(spark, d).select("video_id", "frag_a", "frag_b")
-    starts = f.select("fragment_id", F.col("start_frame").alias("at"))
-    running = f.select(F.col("fragment_id").alias("o"), "start_frame", "end_frame")
-    near = both.select("video_id", F.col("frag_a").alias("fragment_id"), F.col("frag_b").alias("o")).unionByName(both.select("video_id", F.col("frag_b").alias("fragment_id"), F.col("frag_a").alias("o")))
-    met = near.join(starts, "fragment_id").join(running, "o").where("start_frame <= at and at < end_frame").groupBy("video_id", "fragment_id").agg(F.collect_set("o").alias("others")).where("size(others) = 1")
+    running = intervals.around(f.withColumns({"_n": F.lit(1), "_o": F.col("fragment_id")}), ["_n", "_o"], at_start=True).where("_n = 1")
+    met = f.select("video_id", "fragment_id").join(running.select("fragment_id", F.array("_o").alias("others")), "fragment_id")
     each = met.select("video_id", F.col("fragment_id").alias("g"), F.explode(F.concat("others", F.array("fragment_id"))).alias("fragment_id"))
     least = each.join(f.select("fragment_id", (F.col("end_frame") - F.col("start_frame")).alias("long")), "fragment_id").groupBy("video_id", "g").agg(F.min("long").alias("long"))
     order = least.withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("long"), "g")))
     v = fx.votes(spark, d).select("fragment_id", (F.col("identity") % 2 + 1).alias("identity"), "n_images").groupBy("fragment_id", "identity").agg(F.sum("n_images").alias("n_images"))
     p = votes.p1(v, 2).groupBy("fragment_id").agg(F.sum("n_images").alias("n_images"), F.transform(F.array_sort(F.collect_list(F.struct("identity", "p1"))), lambda s: s["p1"]).alias("p1"))
     known = f.select("video_id", "fragment_id").join(p, "fragment_id").withColumn("certainty", F.lit(1.0))
-    members = each.join(order, ["video_id", "g"]).select("video_id", "place", "fragment_id")
-    return training.accumulated(members, known, both.select((F.col("video_id") + 0).alias("video_id"), "frag_a", "frag_b"), 2)
+    members = settled(each.join(order, ["video_id", "g"]).select("video_id", "place", "fragment_id"), "members")
+    both = intervals.coexisting(f.join(members.select("fragment_id").distinct(), "fragment_id", "left_semi"))
+    return training.accumulated(members, known, both, 2)
 
 
 @query("""+ moves AS (SELECT * FROM (SELECT individual, frame, probability, lag(frame) OVER (PARTITION BY individual ORDER BY frame) AS was FROM tracks WHERE probability < 0.5)),
@@ -395,8 +394,7 @@ def identity_accuracy(spark, d):
 @query("""+ b AS (SELECT frag_a AS f, frag_b AS o FROM pairs UNION ALL SELECT frag_b, frag_a FROM pairs), h AS (SELECT f, list(DISTINCT o % 8) AS held FROM b GROUP BY f)
 SELECT fragment_id, array_to_string(list_sort(list_filter(range(1, 8), lambda i: NOT list_contains(coalesce(held, []), i))), ',') AS available FROM fragments LEFT JOIN h ON f = fragment_id""", COEXIST)
 def available_identities(spark, d):
-    f = fx.fragments(spark, d).select("fragment_id", (F.col("fragment_id") % 8).alias("identity"))
-    return votes.available(f, pairs(spark, d), 7).select("fragment_id", F.concat_ws(",", F.col("available").cast("array<string>")).alias("available"))
+    return votes.available_over(fx.fragments(spark, d).withColumn("identity", F.col("fragment_id") % 8), 7).select("fragment_id", F.concat_ws(",", F.col("available").cast("array<string>")).alias("available"))
 
 
 @query("SELECT frame, count(*) FILTER (NOT is_overlapping) AS n_individual, count(*) AS n FROM detections GROUP BY frame HAVING count(*) FILTER (NOT is_overlapping) >= 12", ("detections",))
