@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +35,67 @@ def best_matches(similar: DataFrame) -> DataFrame:
     return ranked.where("_rank = 1").select("frame", "i", "j", "similarity", (F.col("similarity") - F.coalesce("_second", F.lit(0.0))).alias("margin"))
 
 
+#: Pairs of detections that a task holds at once, and how many it meets in all, some 20 seconds.
+HELD, WORK = 1_000_000, 1e9
+MARGINS = "frame long, i long, j long, similarity double, margin double, swap double"
+
+
+def frame_margins(detections: DataFrame, pairs: DataFrame, scale: float, radius: float, swaps: bool = True) -> DataFrame:
+    """frame, i, j, similarity, margin, swap: best_matches of pair_similarities and their two_swap_margins (null: no other row to exchange with), without a row for a pair of detections.
+
+    Two frames' detections are a group; their distances are made a block of rows at a time.
+    """
+    place = [F.col("instance_idx").cast("long").alias("k"), F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y")]
+    a = detections.join(pairs, "frame").select("frame", F.lit(0).alias("side"), *place)
+    b = detections.select(F.col("frame").alias("next_frame"), "instance_idx", "cx", "cy").join(pairs, "next_frame").select("frame", F.lit(1).alias("side"), *place)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "k"])
+        one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        p, q = one[["x", "y"]].to_numpy(float), two[["x", "y"]].to_numpy(float)
+        j, first, second = np.full(len(p), -1), np.zeros(len(p)), np.zeros(len(p))
+        rows = max(1, HELD // max(1, len(q), len(p)))
+
+        def far(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+            d = np.sqrt((u[:, None, 0] - v[None, :, 0]) ** 2 + (u[:, None, 1] - v[None, :, 1]) ** 2)
+            d[d > radius] = np.inf
+            # unknown distances stay in reach, behind all others, with similarity 0
+            d[np.isnan(d)] = 1e300
+            return d
+
+        for at in range(0, len(p) if len(q) else 0, rows):
+            d = far(p[at : at + rows], q)
+            least = d.min(axis=1)
+            near = d <= (least + 1e-12 * scale)[:, None]
+            best = near.argmax(axis=1)
+            # where distances differ by less than similarities can tell, the lower j of the greatest similarity
+            for r in np.flatnonzero((near.sum(axis=1) > 1) & np.isfinite(least)):
+                some = np.flatnonzero(near[r])
+                best[r] = some[np.exp(-d[r, some] / scale).argmax()]
+            each = np.arange(len(d))
+            first[at : at + rows] = np.exp(-d[each, best] / scale)
+            j[at : at + rows] = np.where(np.isfinite(least), best, -1)
+            d[each, best] = np.inf
+            second[at : at + rows] = np.exp(-d.min(axis=1) / scale)
+        held = np.flatnonzero(j >= 0)
+        u, v, own = p[held], q[j[held]], first[held]
+        swap = np.full(len(held), np.inf)
+        for at in range(0, len(held) if swaps and len(held) > 1 else 0, rows):
+            s = slice(at, at + rows)
+            loss = own[s, None] + own[None, :] - np.exp(-far(u[s], v) / scale) - np.exp(-far(u, v[s]).T / scale)
+            loss[np.arange(len(loss)), np.arange(at, at + len(loss))] = np.inf
+            swap[s] = loss.min(axis=1)
+        names = [one["frame"].to_numpy()[held], one["k"].to_numpy()[held], two["k"].to_numpy()[j[held]], own, own - second[held], pd.array(swap).astype("Float64")]
+        out = pd.DataFrame(dict(zip(("frame", "i", "j", "similarity", "margin", "swap"), names, strict=True)))
+        out["swap"] = out["swap"].where(np.isfinite(swap), None)
+        return out
+
+    n = detections.groupBy("frame").agg(F.count("*").cast("double").alias("n"))
+    work = pairs.join(n, "frame").join(n.select(F.col("frame").alias("next_frame"), F.col("n").alias("m")), "next_frame").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    tasks = max(int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(work // WORK))
+    return a.unionByName(b).withColumn("_deal", F.xxhash64("frame")).repartition(tasks, "_deal").groupBy("_deal", "frame").applyInPandas(run, MARGINS)
+
+
 def two_swap_margins(similar: DataFrame, matched: DataFrame) -> DataFrame:
     """frame, i, margin: the least loss from exchanging i's partner with another row's. matched: frame, i, j."""
     m = matched.select("frame", "i", "j")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from threadloom.operators import blobs, clusters, collisions, fragments, frames, history, identities, intervals, links, poses, runs, training, votes
 from threadloom.operators.order import running_sum
-from threadloom.plans.queries import CENTRES, COEXIST, NEAREST, PROB, TRACKED, moved, p2, pairs, query, resolved, similar, six, tracks
+from threadloom.plans.queries import CENTRES, COEXIST, NEAREST, PROB, TRACKED, matches, moved, p2, pairs, query, resolved, six, tracks
 from threadloom.sources import fixtures as fx
 from threadloom.sources.tables import settled
 
@@ -348,7 +348,7 @@ best AS (SELECT s - coalesce(second, 0) AS margin FROM (SELECT *, row_number() O
 
 @query(BEST + " SELECT p AS percentile, round(CASE p WHEN 5 THEN quantile_cont(margin, 0.05) WHEN 50 THEN quantile_cont(margin, 0.5) ELSE quantile_cont(margin, 0.95) END, 6) AS margin FROM best, (SELECT unnest([5, 50, 95]) AS p) GROUP BY p", ("detections",))
 def margin_percentiles(spark, d):
-    return links.margin_percentiles(links.best_matches(similar(spark, d)), [5, 50, 95]).select("percentile", *six("margin"))
+    return links.margin_percentiles(matches(spark, d), [5, 50, 95]).select("percentile", *six("margin"))
 
 
 @query("""+ m AS (SELECT max(vec_id) AS n FROM vectors), f AS (SELECT DISTINCT floor(k * n / 19)::BIGINT AS frame FROM m, range(20) r(k)), x AS (SELECT generate_subscripts(v, 1) - 1 AS k, unnest(v) AS x FROM vectors WHERE vec_id IN (SELECT frame FROM f))
