@@ -193,16 +193,14 @@ def chains(links: DataFrame, check: bool = True) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node): of undirected edges a, b, by hooking to the least neighbour and jumping."""
+    """node, component (the least node): of undirected edges a, b, by hooking whole components to the least one that any of their nodes touches, and jumping twice."""
     both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     label = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    before = None
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_near"))
-        hooked = label.join(near, "node").select("node", F.least("component", "_near").alias("component"))
-        jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("_root"))
-        label = settled(hooked.join(jump, "component").select("node", F.col("_root").alias("component")), "labels")
-        total = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if total == before:
+        ends = both.join(label.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a").join(label.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b")
+        hook = settled(ends.where("_b < _a").groupBy(F.col("_a").alias("component")).agg(F.min("_b").alias("_to")), "hooks")
+        if hook.isEmpty():
             return label
-        before = total
+        jump = hook.select(F.col("component").alias("_to"), F.col("_to").alias("_then"))
+        hook = hook.join(jump, "_to", "left").select("component", F.coalesce("_then", "_to").alias("_to"))
+        label = settled(label.join(hook, "component", "left").select("node", F.coalesce("_to", "component").alias("component")), "labels")
