@@ -17,6 +17,8 @@ from __future__ import annotations
 import io
 import json
 import re
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -110,9 +112,9 @@ class PoseReader(DataSourceReader):
                 for c, values in held.items():
                     values.append(row[c])
                 n += 1
-            if n >= ROWS:
-                yield self.batch(held, n)
-                held, n = {c: [] for c in self.columns}, 0
+                if n >= ROWS:
+                    yield self.batch(held, n)
+                    held, n = {c: [] for c in self.columns}, 0
         if n:
             yield self.batch(held, n)
 
@@ -132,7 +134,9 @@ class PoseReader(DataSourceReader):
                 return
             if split.start > f.tell():
                 f.seek(split.start - 1)
-                f.readline()  # what began before belongs to the range before
+                # what began before belongs to the range before; if it goes on to the end of this one, no line begins here
+                if not f.readline(split.end - split.start).endswith(b"\n"):
+                    return
             while f.tell() < split.end and (line := f.readline()):
                 m = FRAME.match(line)
                 if m is None or frames.holds(int(m[1])):
@@ -148,7 +152,7 @@ class Written(WriterCommitMessage):
 
 
 class PoseWriter(DataSourceWriter):
-    """Rows of whole episodes, sorted by episode, frame and instance_idx."""
+    """Rows of whole episodes, sorted by episode, frame and instance_idx. An episode's lines wait in a local file, as the first line says its last frame."""
 
     def __init__(self, columns: list[str], path: str):
         self.columns, self.path = columns, path
@@ -156,30 +160,35 @@ class PoseWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         files, where = store(self.path)
         out: list[tuple[str, str]] = []
-        now, lines, frame = None, [], None
-
-        def flushed() -> None:
-            name = f"{where}/.{uuid.uuid4().hex}"
-            files.create_dir(where, recursive=True)
-            numbers = [x["frame"] for x in lines]
-            with files.open_output_stream(name) as f:
-                f.write((json.dumps({"first": min(numbers), "last": max(numbers)}) + "\n").encode())
-                for x in lines:
-                    f.write((json.dumps(x) + "\n").encode())
-            out.append((name, f"{where}/poses_{now}.jsonl"))
-
-        for r in rows:
-            row = dict(zip(self.columns, r, strict=True))
-            if row["episode"] != now:
-                if lines:
-                    flushed()
-                now, lines, frame = row["episode"], [], None
-            if row["frame"] != frame:
-                frame = row["frame"]
-                lines.append({"frame": frame, "instances": []})
-            lines[-1]["instances"].append({"track": row.get("track"), "score": row.get("score"), "pose": [[p["x"], p["y"]] for p in row["pose"] or ()]})
-        if lines:
-            flushed()
+        with tempfile.TemporaryFile() as held:
+            now, frame, first, last = None, None, None, None
+
+            def flushed() -> None:
+                name = f"{where}/.{uuid.uuid4().hex}"
+                files.create_dir(where, recursive=True)
+                held.write(b"]}\n")
+                held.seek(0)
+                with files.open_output_stream(name) as f:
+                    f.write((json.dumps({"first": first, "last": last}) + "\n").encode())
+                    shutil.copyfileobj(held, f, 1 << 20)
+                out.append((name, f"{where}/poses_{now}.jsonl"))
+                held.seek(0)
+                held.truncate()
+
+            for r in rows:
+                row = dict(zip(self.columns, r, strict=True))
+                if row["episode"] != now:
+                    if first is not None:
+                        flushed()
+                    now, frame, first, last = row["episode"], None, row["frame"], row["frame"]
+                if row["frame"] == frame:
+                    held.write(b", ")
+                else:
+                    held.write((b"" if frame is None else b"]}\n") + f'{{"frame": {row["frame"]}, "instances": ['.encode())
+                    frame, first, last = row["frame"], min(first, row["frame"]), max(last, row["frame"])
+                held.write(json.dumps({"track": row.get("track"), "score": row.get("score"), "pose": [[p["x"], p["y"]] for p in row["pose"] or ()]}).encode())
+            if first is not None:
+                flushed()
         return Written(out)
 
     def commit(self, messages: list[Written | None]) -> None:
