@@ -7,18 +7,21 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.order import quantiles
 
-def full_frame_statistic(blobs: DataFrame, n: int, value: str, **statistics: Column) -> DataFrame:
-    """One row of statistics of `value` over frames of exactly n blobs, or over all frames where there is none such. Statistics are expressions over a column `value`."""
+
+def full_frame_values(blobs: DataFrame, n: int, value: str) -> DataFrame:
+    """value: of blobs in frames of exactly n, or in all frames where there is none such."""
     counts = blobs.groupBy("frame").agg(F.count("*").alias("_n"))
     b = blobs.join(counts, "frame").select(F.col(value).alias("value"), (F.col("_n") == n).alias("_full"))
     any_full = b.agg(F.coalesce(F.max("_full"), F.lit(False)).alias("_any"))
-    return b.crossJoin(F.broadcast(any_full)).where(F.col("_full") | ~F.col("_any")).agg(*(e.alias(k) for k, e in statistics.items()))
+    return b.crossJoin(F.broadcast(any_full)).where(F.col("_full") | ~F.col("_any")).select("value")
 
 
 def individual_flags(blobs: DataFrame, n: int, tolerance: float = 4.0) -> DataFrame:
     """Adds seems_individual: the frame holds n blobs, or the area is under the median by full frames plus `tolerance` standard deviations."""
-    model = full_frame_statistic(blobs, n, "area", _median=F.median("value"), _std=F.stddev_pop("value"))
+    values = full_frame_values(blobs, n, "area")
+    model = quantiles(values, ["value"], [0.5]).select(F.col("value")[0].alias("_median")).crossJoin(F.broadcast(values.agg(F.stddev_pop("value").alias("_std"))))
     counts = blobs.groupBy("frame").agg(F.count("*").alias("_n"))
     b = blobs.join(counts, "frame").crossJoin(F.broadcast(model))
     return b.withColumn("seems_individual", (F.col("_n") == n) | (F.col("area") - F.col("_median") < tolerance * F.col("_std"))).drop("_n", "_median", "_std")
@@ -26,7 +29,7 @@ def individual_flags(blobs: DataFrame, n: int, tolerance: float = 4.0) -> DataFr
 
 def body_length(blobs: DataFrame, n: int) -> DataFrame:
     """One row: median extension on full frames."""
-    return full_frame_statistic(blobs, n, "extension", body_length=F.median("value"))
+    return quantiles(full_frame_values(blobs, n, "extension"), ["value"], [0.5]).select(F.col("value")[0].alias("body_length"))
 
 
 def link_degrees(blobs: DataFrame, links: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.operators.order import ranked
+from threadloom.operators.order import quantiles, ranked
 
 
 def numbered(fragments: DataFrame) -> DataFrame:
@@ -68,7 +68,8 @@ def crop_geometry(instances: DataFrame, most: int | None = 6400) -> DataFrame:
     Medians are rounded half to even. Where the area is above `most`, sides shrink by the root of the ratio, down where rounding goes above it again.
     """
     whole = lambda c: F.bround(c).cast("long")
-    raw = instances.agg(whole(F.median("x_spread")).alias("w"), whole(F.median("y_extent")).alias("h"), F.median("d_bottom").alias("bottom")).where("w is not null")
+    medians = quantiles(instances, ("x_spread", "y_extent", "d_bottom"), [0.5])
+    raw = medians.select(whole(F.col("x_spread")[0]).alias("w"), whole(F.col("y_extent")[0]).alias("h"), F.col("d_bottom")[0].alias("bottom")).where("w is not null")
     raw = raw.withColumn("cy", whole(F.col("h") - F.col("bottom")))
     large = F.lit(False) if most is None else F.col("w") * F.col("h") > most
     raw = raw.withColumn("scale", F.when(large, F.sqrt(F.lit(float(most or 1)) / (F.col("w") * F.col("h")))).otherwise(1.0))

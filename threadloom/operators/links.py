@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.geometry import centroid_similarity, distance, in_reach
-from threadloom.operators.order import ranked
+from threadloom.operators.order import quantiles, ranked
 from threadloom.sources.tables import settled
 
 
@@ -146,9 +146,9 @@ def margin_sweep(margins: DataFrame, thresholds: list[float]) -> DataFrame:
 
 
 def margin_percentiles(margins: DataFrame, percentiles: list[int]) -> DataFrame:
-    """percentile, margin: linearly interpolated, of all finite margins in one pass."""
+    """percentile, margin: linearly interpolated, of all finite margins by ranges of values."""
     known = margins.where(F.abs("margin") < float("inf"))
-    found = known.agg(F.percentile("margin", F.array(*(F.lit(p / 100) for p in percentiles))).alias("_m"))
+    found = quantiles(known, ["margin"], [p / 100 for p in percentiles]).select(F.col("margin").alias("_m"))
     return found.select(F.posexplode("_m").alias("_k", "margin")).select(F.get(F.array(*(F.lit(p) for p in percentiles)), F.col("_k")).alias("percentile"), "margin")
 
 

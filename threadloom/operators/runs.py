@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.operators.order import quantiles
+
 #: Frames in a range within which positions meet.
 SPAN = 64
 
@@ -72,7 +74,7 @@ def interpolated(tracks: DataFrame, keys: list[str], frame: str = "frame") -> Da
 
 def velocity_threshold(moved: DataFrame, percentile: float = 0.99) -> DataFrame:
     """One row: twice the percentile of all speeds, linearly interpolated."""
-    return moved.agg((2 * F.percentile("speed", F.lit(percentile))).alias("velocity_threshold"))
+    return quantiles(moved, ["speed"], [percentile]).select((2 * F.col("speed")[0]).alias("velocity_threshold"))
 
 
 def rising_edges(flags: DataFrame, flag: str, keys: list[str], frame: str = "frame") -> DataFrame:
