@@ -15,22 +15,24 @@ def _walks(blobs: DataFrame, links: DataFrame, ahead: str, behind: str) -> DataF
 
     multiple: the way has a step and ends where there are several links. crossing: some blob from the second step on is entered by
     several and no individual. blobs: blob_id, seems_individual, and the degrees named `ahead` and `behind`; links: source, target.
-    Ways are followed by doubled steps: each table knows where 2^k steps lead and what they pass.
+    Ways are followed by doubled steps: each table knows where 2^k steps lead and what they pass, for the ways that have not ended.
     """
     first = links.groupBy(F.col("source").alias("blob_id")).agg(F.min("target").alias("to"))
     b = blobs.select("blob_id", F.col(ahead).alias("n"), (F.col(behind) > 1).alias("_entered"), "seems_individual")
     met = b.select(F.col("blob_id").alias("to"), (F.col("_entered") & ~F.col("seems_individual")).alias("met"))
     # a blob of one link goes to it; every other stays where it is
     now = b.join(first, "blob_id", "left").withColumn("to", F.when(F.col("n") == 1, F.col("to")).otherwise(F.col("blob_id")))
-    now = settled(now.join(met, "to", "left").select("blob_id", "to", (F.coalesce("met", F.lit(False)) & (F.col("to") != F.col("blob_id"))).alias("met")), "walks")
-    done = None
-    while True:
-        state = now.agg(F.sum(F.col("to").cast("decimal(38,0)")), F.count_if("met")).first()
-        if state == done:
+    now = settled(now.join(met, "to", "left").select("blob_id", "to", (F.coalesce("met", F.lit(False)) & (F.col("to") != F.col("blob_id"))).alias("met"), (F.col("to") != F.col("blob_id")).alias("on")), "walks")
+    # ways that ended are tables that stay as they are; only those that go on are joined and written again
+    ended, going = now.where("not on").drop("on"), now.where("on").drop("on")
+    # no way is longer than there are blobs, unless it goes round
+    for _ in range(now.count().bit_length() + 1):
+        step = ended.unionByName(going).select(F.col("blob_id").alias("to"), F.col("to").alias("_to"), F.col("met").alias("_met"))
+        now = settled(going.join(step, "to").select("blob_id", F.col("_to").alias("to"), (F.col("met") | F.col("_met")).alias("met"), (F.col("_to") != F.col("to")).alias("on")), "walks")
+        ended, going = ended.unionByName(now.where("not on").drop("on")), now.where("on").drop("on")
+        if going.isEmpty():
             break
-        done = state
-        step = now.select(F.col("blob_id").alias("to"), F.col("to").alias("_to"), F.col("met").alias("_met"))
-        now = settled(now.join(step, "to").select("blob_id", F.col("_to").alias("to"), (F.col("met") | F.col("_met")).alias("met")), "walks")
+    now = ended.unionByName(going)
     end = b.select(F.col("blob_id").alias("to"), F.col("n").alias("_n"))
     multiple = now.join(end, "to").select("blob_id", ((F.col("to") != F.col("blob_id")) & (F.col("_n") > 1)).alias("multiple"))
     crossing = first.join(now.select(F.col("blob_id").alias("to"), "met"), "to").select("blob_id", F.col("met").alias("crossing"))
