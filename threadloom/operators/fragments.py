@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.operators.intervals import n_coexisting
 from threadloom.operators.order import quantiles, ranked
 
 
@@ -53,11 +54,10 @@ def ranked_globals(globals_: DataFrame, frame: int) -> DataFrame:
     return globals_.select("global_fragment", place(F.desc("min_distance")).alias("by_distance"), place(F.abs(F.col("start_frame") - frame)).alias("by_frame"))
 
 
-def connectivity(fragments: DataFrame, pairs: DataFrame, n_animals: int, least: int) -> DataFrame:
-    """One row: n_long, n_images, n_negative, connectivity of the individual fragments of at least `least` images, and whether clusters of n_animals can be learnt from them: enough_images, some_coexist. fragments: fragment_id, n_images."""
-    long = fragments.where(F.col("n_images") >= least).select("fragment_id", "n_images")
-    e = pairs.join(long.select(F.col("fragment_id").alias("frag_a")), "frag_a", "left_semi").join(long.select(F.col("fragment_id").alias("frag_b")), "frag_b", "left_semi")
-    both = long.agg(F.count("*").alias("n_long"), F.coalesce(F.sum("n_images"), F.lit(0)).alias("n_images")).crossJoin(F.broadcast(e.agg(F.count("*").alias("n_negative"))))
+def connectivity(fragments: DataFrame, n_animals: int, least: int) -> DataFrame:
+    """One row: n_long, n_images, n_negative, connectivity of the individual fragments of at least `least` images, and whether clusters of n_animals can be learnt from them: enough_images, some_coexist. Fragments coexist as their intervals overlap, which is counted without their pairs. fragments: video_id, fragment_id, start_frame, end_frame, n_images."""
+    long = fragments.where(F.col("n_images") >= least)
+    both = long.agg(F.count("*").alias("n_long"), F.coalesce(F.sum("n_images"), F.lit(0)).alias("n_images")).crossJoin(F.broadcast(n_coexisting(long).withColumnRenamed("n_pairs", "n_negative")))
     share = F.try_divide(2 * F.col("n_negative"), F.col("n_long") * (n_animals - 1))
     return both.select("n_long", "n_images", "n_negative", share.alias("connectivity"), (F.col("n_images") >= n_animals).alias("enough_images"), (F.col("n_negative") > 0).alias("some_coexist"))
 

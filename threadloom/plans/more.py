@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from threadloom.operators import blobs, clusters, collisions, fragments, frames, history, identities, intervals, links, poses, runs, training, votes
 from threadloom.operators.order import running_sum
-from threadloom.plans.queries import CENTRES, COEXIST, NEAREST, PROB, TRACKED, matches, moved, p2, pairs, query, resolved, six, tracks
+from threadloom.plans.queries import CENTRES, COEXIST, NEAREST, PROB, TRACKED, matches, moved, p2, query, resolved, six, tracks
 from threadloom.sources import fixtures as fx
 from threadloom.sources.tables import settled, spread
 
@@ -295,7 +295,7 @@ def crossing_fallback(spark, d):
 @query("""+ l AS (SELECT fragment_id, n_images FROM lengths WHERE n_images >= 4), e AS (SELECT count(*) AS e FROM pairs WHERE frag_a IN (SELECT fragment_id FROM l) AND frag_b IN (SELECT fragment_id FROM l))
 SELECT count(*) AS n_long, sum(n_images)::BIGINT AS n_images, max(e) AS n_negative, round(2 * max(e) / (count(*) * 7), 6) AS connectivity, sum(n_images) >= 8 AS enough_images, max(e) > 0 AS some_coexist FROM l, e""", ("fragments", "pairs", "lengths"))
 def long_connectivity(spark, d):
-    return fragments.connectivity(lengths(spark, d), pairs(spark, d), 8, 4).withColumn("connectivity", F.round("connectivity", 6))
+    return fragments.connectivity(lengths(spark, d), 8, 4).withColumn("connectivity", F.round("connectivity", 6))
 
 
 @query("SELECT l_partkey AS pair_id, round((min(l_partkey) % 10 + count(*) FILTER (l_discount > 0.05)) * 0.98, 6) AS score FROM lineitem GROUP BY l_partkey")
