@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.geometry import centroid_similarity, distance, in_reach
+from threadloom.functions.meet import touching
 from threadloom.operators.order import quantiles, ranked
 from threadloom.sources.tables import settled, spread
 
@@ -38,15 +39,109 @@ def best_matches(similar: DataFrame) -> DataFrame:
     return ranked.where("_rank = 1").select("frame", "i", "j", "similarity", (F.col("similarity") - F.coalesce("_second", F.lit(0.0))).alias("margin"))
 
 
-#: Pairs of detections that a task holds at once, and how many it meets in all, some 20 seconds.
+#: Pairs of detections that a task holds at once, and how many it would meet in all.
 HELD, WORK = 1_000_000, 1e9
 MARGINS = "frame long, i long, j long, similarity double, margin double, swap double"
 
 
+def _alike(u: np.ndarray, v: np.ndarray, scale: float, radius: float) -> np.ndarray:
+    """Similarities of places, 0 beyond the radius and where one is unknown."""
+    d = np.sqrt((u[..., 0] - v[..., 0]) ** 2 + (u[..., 1] - v[..., 1]) ** 2)
+    return np.where(d <= radius, np.exp(-d / scale), 0.0)
+
+
+def _apart(q: np.ndarray) -> float:
+    """A distance within which a place has a few of q, if they lie evenly."""
+    known = q[np.isfinite(q).all(axis=1)]
+    if not len(known):
+        return 1.0
+    side = known.max(axis=0) - known.min(axis=0)
+    return max(2 * np.sqrt(side[0] * side[1] / len(known)), side.sum() / len(known), 1e-6)
+
+
+def _met(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of rows of p and of q that are no further than r (one for each of p) along both axes."""
+    found = list(touching(np.hstack([p - r[:, None], p + r[:, None]]), np.hstack([q, q]), float(2 * np.median(r)) if len(r) else 1.0))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in (0, 1))
+
+
+def _nearest(p: np.ndarray, q: np.ndarray, scale: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of p the row of q in reach that is most similar (-1: none, the first of equal ones), and the two greatest similarities (0: none).
+
+    What lies within a distance is asked for, twice as far where that is fewer than two. Unknown distances are in reach, behind all others, with similarity 0.
+    """
+    j, first, second = np.full(len(p), -1), np.zeros(len(p)), np.zeros(len(p))
+    unknown = np.flatnonzero(~np.isfinite(q).all(axis=1))
+    known = np.isfinite(p).all(axis=1)
+    if len(q):
+        j[~known] = 0
+    left, r = np.flatnonzero(known), _apart(q)
+    while len(left):
+        last = r >= radius
+        if last and not np.isfinite(r):
+            r = np.abs(np.vstack([p[left], q[np.isfinite(q).all(axis=1)]])).max() * 4 + 1
+        after = []
+        for some in np.array_split(left, len(left) // HELD + 1):
+            i, k = _met(p[some], q, np.full(len(some), r * (1 + 1e-9)))
+            d = np.sqrt((p[some[i], 0] - q[k, 0]) ** 2 + (p[some[i], 1] - q[k, 1]) ** 2)
+            near = d <= min(r, radius)
+            i, k, s = i[near], k[near], np.exp(-d[near] / scale)
+            order = np.lexsort((k, -s, i))
+            i, k, s = i[order], k[order], s[order]
+            at, n = np.unique(i, return_index=True, return_counts=True)[1:] if len(i) else (np.zeros(0, int), np.zeros(0, int))
+            row = some[i[at]]
+            j[row], first[row] = k[at], s[at]
+            two = n > 1
+            second[row[two]] = s[at[two] + 1]
+            # what is further away is less similar by more than a rounding
+            sure = row[two][second[row[two]] > np.exp(-r / scale) * (1 + 1e-12)]
+            after.append(np.setdiff1d(some, sure, assume_unique=True))
+        left, r = np.concatenate(after), r * 2
+        if last:
+            break
+    if len(unknown):
+        j[(j < 0) & known] = unknown[0]
+    return j, first, second
+
+
+def _least_swaps(u: np.ndarray, v: np.ndarray, own: np.ndarray, scale: float, radius: float) -> np.ndarray:
+    """For each row, at u and matched with its best at v, the least loss from exchanging partners with another row (infinite: there is none).
+
+    The other row loses nothing by less than its best, so a loss is at least what the row itself loses; partners so far that this is no less
+    than the least loss found are not looked at. Rows that lose more than they have are compared with all others, a block at a time.
+    """
+    swap = np.full(len(u), np.inf)
+    if len(u) < 2:
+        return swap
+    loss = lambda i, k: own[i] + own[k] - _alike(u[i], v[k], scale, radius) - _alike(u[k], v[i], scale, radius)
+    known = np.isfinite(u).all(axis=1) & np.isfinite(v).all(axis=1)
+    left, r = np.flatnonzero(known), np.where(known, np.sqrt(((u - v) ** 2).sum(axis=1)), 0.0) + _apart(v)
+    rest = [np.flatnonzero(~known)]
+    while len(left):
+        after = []
+        for some in np.array_split(left, len(left) // HELD + 1):
+            i, k = _met(u[some], v, r[some] * (1 + 1e-9))
+            i = some[i]
+            i, k = i[i != k], k[i != k]
+            np.minimum.at(swap, i, loss(i, k))
+            after.append(some[swap[some] > own[some] - np.exp(-r[some] / scale) - 1e-12])
+        left = np.concatenate(after)
+        rest.append(left[r[left] >= radius])
+        left = left[r[left] < radius]
+        r[left] *= 2
+    rest = np.concatenate(rest)
+    for at in range(0, len(rest), rows := max(1, HELD // len(u))):
+        i = rest[at : at + rows]
+        all_ = loss(i[:, None], np.arange(len(u))[None, :])
+        all_[np.arange(len(i)), i] = np.inf
+        swap[i] = np.minimum(swap[i], all_.min(axis=1))
+    return swap
+
+
 def frame_margins(detections: DataFrame, pairs: DataFrame, scale: float, radius: float, swaps: bool = True) -> DataFrame:
     """frame, i, j, similarity, margin, swap: best_matches of pair_similarities and their two_swap_margins (null: no other row to exchange with), without a row for a pair of detections.
 
-    Two frames' detections are a group; their distances are made a block of rows at a time.
+    Two frames' detections are a group. A row looks as far around it as what it has found leaves room for something better.
     """
     place = [F.col("instance_idx").cast("long").alias("k"), F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y")]
     a = detections.join(pairs, "frame").select("frame", F.lit(0).alias("side"), *place)
@@ -56,38 +151,10 @@ def frame_margins(detections: DataFrame, pairs: DataFrame, scale: float, radius:
         pdf = pdf.sort_values(["side", "k"])
         one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         p, q = one[["x", "y"]].to_numpy(float), two[["x", "y"]].to_numpy(float)
-        j, first, second = np.full(len(p), -1), np.zeros(len(p)), np.zeros(len(p))
-        rows = max(1, HELD // max(1, len(q), len(p)))
-
-        def far(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-            d = np.sqrt((u[:, None, 0] - v[None, :, 0]) ** 2 + (u[:, None, 1] - v[None, :, 1]) ** 2)
-            d[d > radius] = np.inf
-            # unknown distances stay in reach, behind all others, with similarity 0
-            d[np.isnan(d)] = 1e300
-            return d
-
-        for at in range(0, len(p) if len(q) else 0, rows):
-            d = far(p[at : at + rows], q)
-            least = d.min(axis=1)
-            near = d <= (least + 1e-12 * scale)[:, None]
-            best = near.argmax(axis=1)
-            # where distances differ by less than similarities can tell, the lower j of the greatest similarity
-            for r in np.flatnonzero((near.sum(axis=1) > 1) & np.isfinite(least)):
-                some = np.flatnonzero(near[r])
-                best[r] = some[np.exp(-d[r, some] / scale).argmax()]
-            each = np.arange(len(d))
-            first[at : at + rows] = np.exp(-d[each, best] / scale)
-            j[at : at + rows] = np.where(np.isfinite(least), best, -1)
-            d[each, best] = np.inf
-            second[at : at + rows] = np.exp(-d.min(axis=1) / scale)
+        j, first, second = _nearest(p, q, scale, radius)
         held = np.flatnonzero(j >= 0)
-        u, v, own = p[held], q[j[held]], first[held]
-        swap = np.full(len(held), np.inf)
-        for at in range(0, len(held) if swaps and len(held) > 1 else 0, rows):
-            s = slice(at, at + rows)
-            loss = own[s, None] + own[None, :] - np.exp(-far(u[s], v) / scale) - np.exp(-far(u, v[s]).T / scale)
-            loss[np.arange(len(loss)), np.arange(at, at + len(loss))] = np.inf
-            swap[s] = loss.min(axis=1)
+        own = first[held]
+        swap = _least_swaps(p[held], q[j[held]], own, scale, radius) if swaps else np.full(len(held), np.inf)
         names = [one["frame"].to_numpy()[held], one["k"].to_numpy()[held], two["k"].to_numpy()[j[held]], own, own - second[held], pd.array(swap).astype("Float64")]
         out = pd.DataFrame(dict(zip(("frame", "i", "j", "similarity", "margin", "swap"), names, strict=True)))
         out["swap"] = out["swap"].where(np.isfinite(swap), None)
