@@ -103,11 +103,50 @@ def _hulls(a: Poses, i: np.ndarray, b: Poses, j: np.ndarray) -> np.ndarray:
     if not len(met):
         return out
     i, j = i[met], j[met]
-    both = _area(*_clipped(p[i], n[i], q[j], m[j]))
+    both, sure = _shared(p, n, i, q, m, j)
+    some = np.flatnonzero(~sure)
+    if len(some):
+        both[some] = _area(*_clipped(p[i[some]], n[i[some]], q[j[some]], m[j[some]]))
     out[met] = both / (size[i] + else_[j] - both)
     return out
 
 
+def _shared(p: np.ndarray, n: np.ndarray, i: np.ndarray, q: np.ndarray, m: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Areas that hulls p[i] and q[j] share, and whether they are sure: not where a corner of one is on the line of the other's side, or nearly.
+
+    The area within is half the sum, over the sides of both, of the cross product of the part of each side that is within the other.
+    """
+    origin = p[i, 0]
+    one, two = ([(h[k, c, 0] - origin[:, 0], h[k, c, 1] - origin[:, 1]) for c in range(h.shape[1])] for h, k in ((p, i), (q, j)))
+    n, m = n[i], m[j]
+    sure = (n > 2) & (m > 2)
+    twice = np.zeros(len(i))
+
+    def ends(corners: list, n: np.ndarray) -> list:
+        first, after = corners[0], []
+        for c in range(len(corners)):
+            x, y = corners[c + 1] if c + 1 < len(corners) else first
+            after.append((np.where(c + 1 < n, x, first[0]), np.where(c + 1 < n, y, first[1])))
+        return after
+
+    for a, k, b, w in ((one, n, two, m), (two, m, one, n)):
+        after, sides = ends(a, k), list(zip(b, ends(b, w), strict=True))
+        low, high = ([np.full(len(i), t) for _ in a] for t in (0.0, 1.0))
+        for at, ((ux, uy), (vx, vy)) in enumerate(sides):
+            dx, dy, there = vx - ux, vy - uy, at < w
+            least = 1e-9 * (np.abs(dx) + np.abs(dy)) * (1 + np.abs(ux) + np.abs(uy))
+            side = [dx * (y - uy) - dy * (x - ux) for x, y in a]
+            for c in range(len(a)):
+                sure &= (np.abs(side[c]) > least) | ~there | (c >= k)
+                s, t = side[c], np.where(c + 1 < k, side[(c + 1) % len(a)], side[0])
+                cut = s / (s - t)
+                low[c] = np.where(there & (s < 0), np.maximum(low[c], np.where(t < 0, 2.0, cut)), low[c])
+                high[c] = np.where(there & (s >= 0) & (t < 0), np.minimum(high[c], cut), high[c])
+        for c, ((x, y), (u, v)) in enumerate(zip(a, after, strict=True)):
+            twice += np.where(c < k, np.maximum(high[c] - low[c], 0.0) * (x * v - u * y), 0.0)
+    return np.abs(twice) / 2, sure
+
+
 def _keypoints(a: Poses, i: np.ndarray, b: Poses, j: np.ndarray, spread: float = 0.025) -> np.ndarray:
     box = a.box()
     scale = ((box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1]) + 2.220446049250313e-16)[i]
